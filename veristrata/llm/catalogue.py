@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from veristrata.llm import quality_rules
+from veristrata.llm import mixing, quality_rules, url_filters
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op6_url_filters": url_filters.op6_url_filters,
+        "op8_mixing": mixing.op8_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_rules.OP1_SQL,
+        "op6_url_filters": url_filters.OP6_SQL,
+        "op8_mixing": mixing.OP8_SQL,
     }
