@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from veristrata.llm import mixing, quality_rules, url_filters
+from veristrata.llm import mixing, near_dedup, quality_rules, url_filters
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op4_minhash": near_dedup.op4_minhash,
         "op6_url_filters": url_filters.op6_url_filters,
         "op8_mixing": mixing.op8_mixing,
     }
@@ -16,6 +17,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_rules.OP1_SQL,
+        "op4_minhash": near_dedup.OP4_SQL,
         "op6_url_filters": url_filters.OP6_SQL,
         "op8_mixing": mixing.OP8_SQL,
     }
