@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veristrata.llm import langid, mixing, near_dedup, pii, quality_rules, url_filters
+from veristrata.llm import decontaminate, langid, mixing, near_dedup, pii, quality_rules, url_filters
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_language_id": langid.op5_language_id,
         "op6_url_filters": url_filters.op6_url_filters,
         "op8_mixing": mixing.op8_mixing,
+        "op9_decontamination": decontaminate.op9_decontamination,
     }
 
 
