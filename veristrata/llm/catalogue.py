@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veristrata.llm import decontaminate, langid, mixing, near_dedup, pii, quality_rules, url_filters
+from veristrata.llm import decontaminate, langid, lm_score, mixing, near_dedup, pii, quality_rules, url_filters
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_minhash": near_dedup.op4_minhash,
         "op5_language_id": langid.op5_language_id,
         "op6_url_filters": url_filters.op6_url_filters,
+        "op7_suffix_tree": lm_score.op7_suffix_tree,
         "op8_mixing": mixing.op8_mixing,
         "op9_decontamination": decontaminate.op9_decontamination,
     }
