@@ -1,19 +1,21 @@
-"""Language-model scores from a probabilistic suffix tree.
-
-A text is its lower-cased words, each closed by a boundary, then one end.  The
-tree predicts the next byte (or boundary, or end) from the longest retained
-suffix of the current word, its opening boundary included.  Contexts up to
-``DEPTH`` symbols are counted over all training documents; one is retained if
-it is frequent (``MIN_SHARE`` of all positions, which bounds the tree whatever
-the corpus) and its distribution diverges from that of its next shorter suffix
-by more than ``MIN_GAIN`` nats over the corpus.  Distributions are smoothed
-towards the shorter suffix, down to a root that gives every symbol some mass.
-For scoring, the tree becomes an automaton whose states are longest suffixes.
-
-Nothing of the vocabulary's size is ever in one place.  Documents are dealt
-into blocks and words into groups, both sized by the input.  A block asks the
-groups for its distinct words only; the groups count words and contexts over
-the whole corpus and answer each block; blocks then score their documents.
+"""Language-model scores from a probabilistic suffix tree over words.
+
+Symbols are lower-cased words and an end after each text.  The tree's root is
+the smoothed distribution of single tokens; below it stand contexts of one and
+two preceding words.  A context is a candidate if it is frequent (``MIN_SHARE``
+of all training tokens, twice at least), which bounds each level of the tree to
+``1 / MIN_SHARE`` contexts and as many continuations whatever the corpus.  It
+is retained if its distribution diverges from that of its shorter suffix: the
+gain in training log likelihood must exceed ``MIN_GAIN`` plus ``ENTRY_COST``
+for each continuation it stores.  A token is scored in the longest retained
+suffix of the words before it; continuations that a context doesn't store share
+its remaining mass in proportion to the shorter suffix, so each distribution
+sums to one.
+
+The vocabulary is never in one place.  Documents are dealt into blocks and
+words into groups, both sized by the input.  A block asks the groups for its
+distinct words; the groups count them over the whole corpus and answer; blocks
+score their documents.  Only the tree is sent to all tasks.
 
 Defined results: a null or empty text is one token, the end; documents with a
 null id are scored, not learned from; repeated rows are counted and scored each;
@@ -32,23 +34,19 @@ from pyspark.sql import functions as F
 from veristrata.llm.session import bounded_batches, crc_mod, settle, table
 from veristrata.llm.words import Chunk, binary_views, chunks, mix64
 
-DEPTH = 5
-MIN_SHARE = 2e-6
-MIN_COUNT = 4
-MIN_GAIN = 12.0
-#: Pseudo-counts that a context takes from its shorter suffix; root pseudo-counts per symbol.
-SMOOTH, ROOT = 4.0, 0.05
-MAX_STATES = 40_000
-#: Characters of text in a block, and bytes of words a task holds before it sends them on.
+MIN_SHARE = 1e-6
+MIN_COUNT = 2
+MIN_GAIN, ENTRY_COST = 3.0, 1.0
+#: Pseudo-count of a context's unstored continuations.
+NOVEL = 0.5
+UNSEEN = 0.1
+#: Characters of text in a block; pairs a task holds before it sends them on.
 BLOCK_CHARS = 24_000_000
-FLUSH_BYTES = 24 << 20
-BOUNDARY, END, SYMBOLS = 0x20, 256, 257
-
-
-def gather(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The bytes of the given spans, one after another."""
-    before = np.cumsum(lengths) - lengths
-    return buf[np.arange(lengths.sum()) + np.repeat(starts - before, lengths)]
+FLUSH_PAIRS = 4_000_000
+END = np.uint64(0x454E442D4F462D54)
+#: A code is a context's rank above this many bits of the next token's rank.
+BITS = 24
+MASK = (1 << BITS) - 1
 
 
 def _plain(column, kind) -> np.ndarray:
@@ -56,219 +54,203 @@ def _plain(column, kind) -> np.ndarray:
     return np.frombuffer(raw[offsets[0] : offsets[-1]].tobytes(), kind)
 
 
-class _Pending:
-    """Distinct (block, word) pairs with their training counts, held until they are sent to their groups."""
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, which = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(which, weights=counts, minlength=len(distinct)).astype(np.int64)
+
+
+class Line:
+    """The tokens of a chunk in order, an end after each text."""
+
+    def __init__(self, chunk: Chunk):
+        hashes = chunk.word_hash()
+        self.hash = np.full(len(hashes) + chunk.n, END, np.uint64)
+        self.hash[np.arange(len(hashes)) + chunk.doc] = hashes
+        self.doc = np.repeat(np.arange(chunk.n), chunk.n_words + 1)
+        self.n = chunk.n
+
+    def per_doc(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.doc, weights=values, minlength=self.n)
 
-    def __init__(self, groups: int):
-        self.groups, self.parts, self.size = groups, [], 0
 
-    def add(self, block, hashes, counts, lengths, data):
-        self.parts.append((block, hashes, counts, lengths, data))
-        self.size += len(data)
+def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The place of each key among the sorted ones, -1 where absent."""
+    if not len(sorted_keys):
+        return np.full(len(keys), -1, np.int64)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return np.where(sorted_keys[at] == keys, at, -1)
 
-    def flush(self) -> pa.RecordBatch | None:
-        if not self.parts:
-            return None
-        block, hashes, counts, lengths, data = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        self.parts, self.size = [], 0
-        _, at, which = np.unique(mix64(hashes ^ mix64(block.astype(np.uint64))), return_index=True, return_inverse=True)
-        counts = np.bincount(which, weights=counts, minlength=len(at)).astype(np.int64)
-        block, hashes, starts, lengths = block[at], hashes[at], (np.cumsum(lengths) - lengths)[at], lengths[at]
-        group = (hashes % np.uint64(self.groups)).astype(np.int64)
-        order = np.argsort(group, kind="stable")
-        names, first = np.unique(group[order], return_index=True)
-        rows = []
-        for k, part in zip(names.tolist(), np.split(order, first[1:]), strict=True):
-            rows.append((k, block[part].astype(np.int64).tobytes(), hashes[part].tobytes(), counts[part].tobytes(), lengths[part].astype(np.int64).tobytes(), gather(data, starts[part], lengths[part]).tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 6))], names=["grp", *_SENT])
 
+def _codes(line: Line, words: np.ndarray, pairs: np.ndarray | None) -> np.ndarray:
+    """Codes of (context, token) whose parts are frequent: pairs of words, or of a frequent pair and a word."""
+    rank = find(words, line.hash)
+    same = line.doc[1:] == line.doc[:-1]
+    good = same & (rank[1:] >= 0) & (rank[:-1] >= 0)
+    code = np.where(good, (rank[:-1] << BITS) | rank[1:], -1)
+    if pairs is None:
+        return code[code >= 0]
+    place = find(pairs, code)
+    both = (place[:-1] >= 0) & (place[1:] >= 0) & same[1:] & same[:-1]
+    return ((place[:-1] << BITS) | rank[2:])[both]
+
+
+def _level(shared):
+    """Per task: sums of the codes of one level of the tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, pairs = shared.value
+        held, size = [], 0
+        for batch in batches:
+            for _, _, chunk in chunks(batch.column(0), lower=True):
+                codes = _codes(Line(chunk), words, pairs)
+                held.append(_summed(codes, np.ones(len(codes))))
+                size += len(held[-1][0])
+                if size > FLUSH_PAIRS:
+                    held = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                    size = len(held[0][0])
+                    if size > FLUSH_PAIRS // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], names=["code", "n"])
+                        held, size = [], 0
+        if held:
+            codes, n = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], names=["code", "n"])
 
-_SENT = ("blocks", "hashes", "counts", "lengths", "data")
+    return run
 
 
 def _requests(groups: int):
-    """Per task: the distinct words of each block's documents, with occurrences in training documents."""
+    """Per task and group: distinct words of each block's documents, with occurrences in training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending = _Pending(groups)
         for batch in batches:
             block = batch.column(0).to_numpy().astype(np.int64)
             learn = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            parts = []
             for i, j, chunk in chunks(batch.column(2), lower=True):
-                hashes = chunk.word_hash()
-                if not len(hashes):
-                    continue
-                mine = block[i:j][chunk.doc]
+                hashes, mine = chunk.word_hash(), block[i:j][chunk.doc]
                 _, at, which = np.unique(mix64(hashes ^ mix64(mine.astype(np.uint64))), return_index=True, return_inverse=True)
-                counts = np.bincount(which, weights=learn[i:j][chunk.doc], minlength=len(at))
-                lengths = (chunk.ends - chunk.starts)[at]
-                pending.add(mine[at], hashes[at], counts, lengths, gather(chunk.buf, chunk.starts[at], lengths))
-                if pending.size > FLUSH_BYTES:
-                    yield pending.flush()
-        last = pending.flush()
-        if last is not None:
-            yield last
+                parts.append((mine[at], hashes[at], np.bincount(which, weights=learn[i:j][chunk.doc], minlength=len(at))))
+            if not parts:
+                continue
+            mine, hashes, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+            _, at, which = np.unique(mix64(hashes ^ mix64(mine.astype(np.uint64))), return_index=True, return_inverse=True)
+            counts = np.bincount(which, weights=counts, minlength=len(at)).astype(np.int64)
+            mine, hashes = mine[at], hashes[at]
+            group = (hashes % np.uint64(groups)).astype(np.int64)
+            order = np.argsort(group, kind="stable")
+            names, first = np.unique(group[order], return_index=True)
+            sent = [(k, mine[p].tobytes(), hashes[p].tobytes(), counts[p].tobytes()) for k, p in zip(names.tolist(), np.split(order, first[1:]), strict=True)]
+            columns = [pa.array([s[0] for s in sent], pa.int64()), *(pa.array([s[i] for s in sent], pa.binary()) for i in (1, 2, 3))]
+            yield pa.RecordBatch.from_arrays(columns, names=["grp", "blocks", "hashes", "counts"])
 
     return run
 
 
-def context_counts(data: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(keys, counts)`` of (longest context, next symbol) over words with their occurrences.
+def _answers(least: int):
+    """One group of words: totals (kind 0), corpus counts for each block that asked (1), frequent words (2)."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        block, hashes, counts = (_plain(rows.column(c), k) for c, k in (("blocks", np.int64), ("hashes", np.uint64), ("counts", np.int64)))
+        distinct, which = np.unique(hashes, return_inverse=True)
+        total = np.bincount(which, weights=counts, minlength=len(distinct)).astype(np.int64)
+        order = np.lexsort((which, block))
+        pairs = np.stack([block[order], which[order]])
+        new = np.concatenate([[True], (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)])
+        to, word = pairs[:, new]
+        names, first = np.unique(to, return_index=True)
+        sent = [(distinct[w].tobytes(), total[w].tobytes()) for w in np.split(word, first[1:])]
+        often = np.flatnonzero(total >= least)
+        blank = [None] * len(often)
+        return pa.table(
+            {
+                "kind": pa.array(np.repeat(np.array([0, 1, 2], np.int32), [1, len(names), len(often)])),
+                "key": pa.array(np.concatenate([[(total > 0).sum()], names, distinct[often].view(np.int64)])),
+                "n": pa.array(np.concatenate([[total.sum()], np.zeros(len(names), np.int64), total[often]])),
+                "hashes": pa.array([None, *(s[0] for s in sent), *blank], pa.binary()),
+                "counts": pa.array([None, *(s[1] for s in sent), *blank], pa.binary()),
+            }
+        )
 
-    A key holds the context's bytes, latest lowest, its length from bit 40 and the next symbol from bit 44.
-    """
-    n = len(lengths)
-    starts = np.cumsum(lengths + 1) - lengths
-    line = np.full(int(lengths.sum()) + n + 1, BOUNDARY, np.uint64)
-    line[np.arange(len(data)) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)] = data
-    weight = np.repeat(counts, lengths + 1)
-    depth = np.arange(len(weight)) - np.repeat(starts - 1, lengths + 1) + 1
-    depth = np.minimum(depth, DEPTH).astype(np.uint64)
-    key = np.zeros(len(weight), np.uint64)
-    for k in range(1, DEPTH + 1):
-        before = np.zeros(len(weight), np.uint64)
-        before[k - 1 :] = line[: len(weight) - k + 1]
-        key += np.where(depth >= k, before << np.uint64(8 * (k - 1)), np.uint64(0))
-    key |= (depth << np.uint64(40)) | (line[1:] << np.uint64(44))
-    keys, which = np.unique(key, return_inverse=True)
-    return keys.view(np.int64), np.bincount(which, weights=weight, minlength=len(keys)).astype(np.int64)
-
-
-def _answers(rows: pa.Table) -> pa.Table:
-    """One group of words: corpus counts for each block that asked, context counts, and totals."""
-    block, hashes, counts, lengths = (_plain(rows.column(c), k) for c, k in (("blocks", np.int64), ("hashes", np.uint64), ("counts", np.int64), ("lengths", np.int64)))
-    data = _plain(rows.column("data"), np.uint8)
-    distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-    total = np.bincount(which, weights=counts, minlength=len(distinct)).astype(np.int64)
-    starts = np.cumsum(lengths) - lengths
-    seen = np.flatnonzero(total)
-    own = lengths[at[seen]]
-    keys, n = context_counts(gather(data, starts[at[seen]], own), own, total[seen]) if len(seen) else (np.zeros(0, np.int64),) * 2
-    order = np.lexsort((which, block))
-    pairs = np.stack([block[order], which[order]])
-    new = np.concatenate([[True], (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)])
-    to, word = pairs[:, new]
-    names, first = np.unique(to, return_index=True)
-    sent = [(distinct[w].tobytes(), total[w].astype(np.uint32 if total.max() < 2**32 else np.uint64).tobytes()) for w in np.split(word, first[1:])]
-    kinds = np.concatenate([np.zeros(1, np.int32), np.ones(len(names), np.int32), np.full(len(keys), 2, np.int32)])
-    empty = [None] * len(keys)
-    return pa.table(
-        {
-            "kind": pa.array(kinds),
-            "key": pa.array(np.concatenate([[len(seen)], names, keys]).astype(np.int64)),
-            "n": pa.array(np.concatenate([[total.sum()], np.zeros(len(names)), n]).astype(np.int64)),
-            "hashes": pa.array([None, *(s[0] for s in sent), *empty], pa.binary()),
-            "counts": pa.array([None, *(s[1] for s in sent), *empty], pa.binary()),
-        }
-    )
+    return run
 
 
 class SuffixTree:
-    """Retained contexts (bytes, oldest first) and the automaton over them."""
-
-    def __init__(self, counts: dict[bytes, np.ndarray], min_count: float, min_gain: float = MIN_GAIN, max_states: int = MAX_STATES):
-        root = counts.get(b"", np.zeros(SYMBOLS))
-        prob = {b"": (root + ROOT) / (root.sum() + ROOT * SYMBOLS)}
-        gains = {}
-        for s in sorted((s for s in counts if s), key=lambda s: (len(s), s)):
-            n = counts[s].sum()
-            # The shorter suffix is at least as frequent, so its distribution is here already.
-            shorter = prob[s[1:]]
-            prob[s] = (counts[s] + SMOOTH * shorter) / (n + SMOOTH)
-            if n >= min_count:
-                own = counts[s] > 0
-                share = counts[s][own] / n
-                gain = float(n * (share * np.log(share / shorter[own])).sum())
-                if gain >= min_gain:
-                    gains[s] = gain
-        kept = sorted(gains, key=lambda s: (-gains[s], s))[:max_states]
-        boundary = bytes([BOUNDARY])
-        states = {b"", boundary}
-        for s in kept:
-            # Suffixes, so that shorter states exist; prefixes, so that no longer state is missed on the way.
-            states.update(s[i:j] for i in range(len(s)) for j in range(i + 1, len(s) + 1))
-        self.retained = set(kept)
-        self.states = sorted(states, key=lambda s: (len(s), s))
-        place = {s: i for i, s in enumerate(self.states)}
-        used = np.flatnonzero(root > 0)
-        # Bytes that never occurred share one column.
-        self.column = np.full(SYMBOLS, len(used), np.int16)
-        self.column[used] = np.arange(len(used))
-        width = len(used) + 1
-        self.log = np.empty((len(self.states), width), np.float32)
-        self.next = np.zeros((len(self.states), width), np.int32)
-        rare = int(np.flatnonzero(root == 0)[0]) if (root == 0).any() else 0
-        smoothed: dict[bytes, np.ndarray] = {}
-        for i, s in enumerate(self.states):
-            own = s in self.retained or not s or s == boundary
-            shorter = smoothed[s[1:]] if s else None
-            row = prob[b""] if not s else (counts[s] + SMOOTH * shorter) / (counts[s].sum() + SMOOTH) if own and s in counts else shorter
-            smoothed[s] = row
-            self.log[i, :-1], self.log[i, -1] = np.log10(row[used]), np.log10(row[rare])
-            for c, symbol in enumerate(used.tolist()):
-                if symbol < 256 and symbol != BOUNDARY:
-                    t = s + bytes([symbol])
-                    while t and t not in place:
-                        t = t[1:]
-                    self.next[i, c] = place[t]
-        self.start = place[boundary]
-        self.boundary_column = int(self.column[BOUNDARY])
-        self.end = float(self.log[self.start, self.column[END]])
-        self.n_retained = len(self.retained)
-
-    def word_scores(self, buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, long: int = 64) -> np.ndarray:
-        """log10 probability of each word and its closing boundary."""
-        out = np.zeros(len(starts))
-        short = np.flatnonzero(lengths <= long)
-        order = short[np.argsort(-lengths[short], kind="stable")]
-        for i in range(0, len(order), 16384):
-            rows = order[i : i + 16384]
-            size = lengths[rows]
-            state, score = np.full(len(rows), self.start, np.int32), np.zeros(len(rows))
-            active = (np.arange(int(size[0])) < size[:, None]).sum(axis=0)
-            for t, m in enumerate(active.tolist()):
-                c = self.column[buf[starts[rows[:m]] + t]]
-                score[:m] += self.log[state[:m], c]
-                state[:m] = self.next[state[:m], c]
-            out[rows] = score + self.log[state, self.boundary_column]
-        for r in np.flatnonzero(lengths > long).tolist():
-            state, score = self.start, 0.0
-            for c in self.column[buf[starts[r] : starts[r] + lengths[r]]].tolist():
-                score += float(self.log[state, c])
-                state = int(self.next[state, c])
-            out[r] = score + float(self.log[state, self.boundary_column])
+    """Retained contexts and their stored continuations, as sorted codes.
+
+    ``words`` are the frequent tokens' hashes in order and ``count`` their occurrences;
+    ``pairs``/``triples`` are ``(codes, counts)`` of frequent continuations of one word and of two.
+    """
+
+    def __init__(self, words, count, pairs, triples, n: int, v: int):
+        self.words, self.floor = words, np.log10(n + UNSEEN * (v + 1))
+        root = np.log10(count + UNSEEN) - self.floor
+        codes, times = pairs
+        self.rest1, stored = self._fit(codes >> BITS, times, count.astype(float), root[codes & MASK] if len(codes) else np.zeros(0))
+        keep = stored > -np.inf
+        self.codes1, self.logs1 = codes[keep], stored[keep]
+        self.pairs = codes
+        three, often = triples
+        tail, last = codes[three >> BITS] & MASK if len(three) else three, three & MASK
+        self.rest2, stored = self._fit(three >> BITS, often, times.astype(float), self._one(tail, last, root[last] if len(three) else np.zeros(0)))
+        keep = stored > -np.inf
+        self.codes2, self.logs2 = three[keep], stored[keep]
+
+    @staticmethod
+    def _fit(context, times, size, shorter):
+        """log10 of the factor for unstored continuations by context (0: not retained) and of each stored one (-inf: dropped)."""
+        m = len(size)
+        rest, stored = np.zeros(m), np.full(len(context), -np.inf)
+        if not len(context):
+            return rest, stored
+        held = np.bincount(context, weights=times, minlength=m)
+        mass = np.bincount(context, weights=10.0**shorter, minlength=m)
+        entries = np.bincount(context, minlength=m)
+        own = np.log10(times / (size[context] + NOVEL))
+        left = np.log10((size - held + NOVEL) / (size + NOVEL)) - np.log10(np.maximum(1 - mass, 1e-9))
+        gain = (np.bincount(context, weights=times * (own - shorter), minlength=m) + (size - held) * left) * np.log(10)
+        good = (entries > 0) & (mass < 1 - 1e-9) & (gain >= MIN_GAIN + ENTRY_COST * entries)
+        rest[good] = left[good]
+        stored[good[context]] = own[good[context]]
+        return rest, stored
+
+    def _one(self, context, token, shorter):
+        """log10 probabilities after one word, given those of the root; ranks below 0 are infrequent."""
+        frequent = context >= 0
+        out = shorter + np.where(frequent, self.rest1[np.maximum(context, 0)], 0.0) if len(self.rest1) else shorter.copy()
+        at = find(self.codes1, np.where(frequent & (token >= 0), (context << BITS) | token, -1))
+        out[at >= 0] = self.logs1[at[at >= 0]]
+        return out
+
+    def score(self, line: Line, root: np.ndarray) -> np.ndarray:
+        """log10 probability of every token in its longest retained context."""
+        rank = find(self.words, line.hash)
+        before = np.concatenate([[-1], rank[:-1]])
+        before[1:][line.doc[1:] != line.doc[:-1]] = -1
+        before[:1] = -1
+        out = self._one(before, rank, root)
+        if len(self.codes2):
+            pair = find(self.pairs, np.where((before >= 0) & (rank >= 0), (before << BITS) | rank, -1))
+            context = np.concatenate([[-1], pair[:-1]])
+            context[1:][line.doc[1:] != line.doc[:-1]] = -1
+            known = context >= 0
+            out = out + np.where(known, self.rest2[np.maximum(context, 0)], 0.0)
+            at = find(self.codes2, np.where(known & (rank >= 0), (context << BITS) | rank, -1))
+            out[at >= 0] = self.logs2[at[at >= 0]]
         return out
 
 
-def _tree(rows: DataFrame, n_docs: int, positions: int) -> SuffixTree:
-    """Sum longest contexts over groups, derive all shorter ones, and keep the frequent ones: at most DEPTH / MIN_SHARE."""
-    least = max(MIN_COUNT, int(positions * MIN_SHARE))
-    whole = rows.where("kind = 2").groupBy("key").agg(F.sum("n").alias("n"))
-    length = F.shiftright("key", 40).bitwiseAND(F.lit(15)).cast("int")
-    each = whole.select(F.shiftright("key", 44).alias("symbol"), "n", F.col("key").bitwiseAND(F.lit((1 << 40) - 1)).alias("ctx"), F.explode(F.sequence(F.lit(0), length)).alias("d"))
-    short = each.select("symbol", "n", "d", F.expr("ctx & (shiftleft(1L, 8 * d) - 1)").alias("ctx")).groupBy("d", "ctx", "symbol").agg(F.sum("n").alias("n"))
-    # Arrays of (symbol, count) per context; at most SYMBOLS entries each.
-    found = short.groupBy("d", "ctx").agg(F.sum("n").alias("total"), F.collect_list(F.struct("symbol", "n")).alias("next")).where(F.col("total") >= least)
-    counts: dict[bytes, np.ndarray] = {}
-    for r in found.select("d", "ctx", "next").toLocalIterator():
-        row = np.zeros(SYMBOLS)
-        for symbol, n in r.next:
-            row[symbol] = n
-        counts[int(r.ctx).to_bytes(r.d, "big") if r.d else b""] = row
-    for s in (b"", bytes([BOUNDARY])):
-        counts.setdefault(s, np.zeros(SYMBOLS))[END] += n_docs
-    return SuffixTree(counts, least)
-
-
-def score_chunk(chunk: Chunk, known: np.ndarray, counts: np.ndarray, tree: SuffixTree, n: int, v: int, n_docs: int) -> tuple[np.ndarray, ...]:
-    """``(n_tokens, n_known, base_score, score)`` per text; ``known`` holds the block's word hashes in order."""
-    floor = np.log10(n + 0.1 * (v + 1))
-    hashes, at, which = np.unique(chunk.word_hash(), return_index=True, return_inverse=True)
-    c = counts[np.searchsorted(known, hashes)] if len(hashes) else np.zeros(0)
-    model = tree.word_scores(chunk.buf, chunk.starts[at], (chunk.ends - chunk.starts)[at])
-    n_known = chunk.per_doc((c > 0)[which]).astype(np.int64) + (n_docs > 0)
-    base = chunk.per_doc((np.log10(c + 0.1) - floor)[which]) + np.log10(n_docs + 0.1) - floor
-    return chunk.n_words + 1, n_known, base, chunk.per_doc(model[which]) + tree.end
+def grow(learned: DataFrame, words: np.ndarray, count: np.ndarray, least: int, n: int, v: int) -> SuffixTree:
+    """Count the levels of the tree one after another; each has at most ``1 / MIN_SHARE`` frequent codes."""
+    spark = learned.sparkSession
+    levels, pairs = [], None
+    for _ in range(2):
+        shared = spark.sparkContext.broadcast((words, pairs))
+        rows = learned.mapInArrow(_level(shared), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
+        codes, times = rows.column("code").to_numpy().astype(np.int64), rows.column("n").to_numpy().astype(np.int64)
+        order = np.argsort(codes)
+        levels.append((codes[order], times[order]))
+        pairs = codes[order]
+    return SuffixTree(words, count, *levels, n, v)
 
 
 def lm_scores(docs: DataFrame, learn, held_out, key: str = "doc_id") -> DataFrame:
@@ -276,40 +258,47 @@ def lm_scores(docs: DataFrame, learn, held_out, key: str = "doc_id") -> DataFram
     spark = docs.sparkSession
     bounded_batches(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    size = docs.agg(F.sum(F.length(text)).alias("n"), F.count_if(learn).alias("docs")).first()
-    blocks, n_docs = max(1, -(-(size.n or 0) // BLOCK_CHARS)), size.docs
-    dealt = docs.select(F.pmod(F.xxhash64(key, text), F.lit(blocks)).alias("block"), F.coalesce(learn, F.lit(False)).alias("learn"), text.cast("binary").alias("raw"), F.col(key).alias("id"), held_out.alias("held_out"))
-    asked = dealt.select("block", "learn", "raw").mapInArrow(_requests(blocks), "grp bigint, " + ", ".join(f"{c} binary" for c in _SENT))
-    answers = settle(asked.groupBy("grp").applyInArrow(lambda t: _answers(t), "kind int, key bigint, n bigint, hashes binary, counts binary"))
-    totals = answers.where("kind = 0").agg(F.sum("key").alias("v"), F.sum("n").alias("n")).first()
-    n, v = (totals.n or 0) + n_docs, (totals.v or 0) + (n_docs > 0)
-    positions = answers.where("kind = 2").agg(F.sum("n")).first()[0] or 0
-    shared = spark.sparkContext.broadcast(_tree(answers, n_docs, positions))
-
+    learn = F.coalesce(learn, F.lit(False))
+    tokens = F.sum(F.when(learn, F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")) + 1))
+    size = docs.agg(F.sum(F.length(text)).alias("n"), F.count_if(learn).alias("docs"), tokens.alias("tokens")).first()
+    blocks, n_docs, n = max(1, -(-(size.n or 0) // BLOCK_CHARS)), size.docs, size.tokens or 0
+    least = max(MIN_COUNT, int(np.ceil(MIN_SHARE * n)))
+    dealt = docs.select(F.pmod(F.xxhash64(key, text), F.lit(blocks)).alias("block"), learn.alias("learn"), text.cast("binary").alias("raw"), F.col(key).alias("id"), held_out.alias("held_out"))
+    asked = dealt.select("block", "learn", "raw").mapInArrow(_requests(blocks), "grp bigint, blocks binary, hashes binary, counts binary")
+    answers = settle(asked.groupBy("grp").applyInArrow(_answers(least), "kind int, key bigint, n bigint, hashes binary, counts binary"))
+    v = (answers.where("kind = 0").agg(F.sum("key")).first()[0] or 0) + (n_docs > 0)
+    often = answers.where("kind = 2").select("key", "n").toArrow()
+    words, count = often.column("key").to_numpy().astype(np.int64).view(np.uint64), often.column("n").to_numpy().astype(np.int64)
+    if n_docs >= least:
+        words, count = np.append(words, END), np.append(count, n_docs)
+    order = np.argsort(words)
+    words, count = words[order], count[order]
+    shared = spark.sparkContext.broadcast(grow(dealt.where("learn").select("raw"), words, count, least, n, v))
     kind = docs.schema[key].dataType.simpleString()
 
-    def score(texts: pa.Table, words: pa.Table) -> pa.Table:
+    def score(texts: pa.Table, rows: pa.Table) -> pa.Table:
         tree = shared.value
-        found = [np.zeros(texts.num_rows, t) for t in (np.int64, np.int64, np.float64, np.float64)]
-        known, counts = np.zeros(0, np.uint64), np.zeros(0)
-        if words.num_rows:
-            known = _plain(words.column("hashes"), np.uint64)
-            counts = np.concatenate([np.frombuffer(c, np.uint32 if len(h) == 2 * len(c) else np.uint64) for h, c in zip(words.column("hashes").to_pylist(), words.column("counts").to_pylist(), strict=True)]).astype(np.float64)
+        known, counts = np.array([END]), np.array([n_docs], np.int64)
+        if rows.num_rows:
+            known = np.append(_plain(rows.column("hashes"), np.uint64), known)
+            counts = np.append(_plain(rows.column("counts"), np.int64), counts)
             order = np.argsort(known)
             known, counts = known[order], counts[order]
+        out = [np.zeros(texts.num_rows, t) for t in (np.int64, np.int64, np.float64, np.float64)]
         for i, j, chunk in chunks(texts.column("raw"), lower=True):
-            for out, value in zip(found, score_chunk(chunk, known, counts, tree, n, v, n_docs), strict=True):
-                out[i:j] = value
-        return pa.table([texts.column("id"), texts.column("held_out"), found[0], found[1], pa.array(np.full(texts.num_rows, n)), found[2], found[3]], names=_RESULT if key == "doc_id" else [key, *_RESULT[1:]])
+            line = Line(chunk)
+            c = counts[np.searchsorted(known, line.hash)]
+            root = np.log10(c + UNSEEN) - tree.floor
+            out[0][i:j], out[1][i:j] = chunk.n_words + 1, line.per_doc(c > 0)
+            out[2][i:j], out[3][i:j] = line.per_doc(root), line.per_doc(tree.score(line, root))
+        names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        return pa.table([texts.column("id"), texts.column("held_out"), out[0], out[1], pa.array(np.full(texts.num_rows, n)), out[2], out[3]], names=names)
 
     left = dealt.select("block", "id", "held_out", "raw").groupBy("block")
     right = answers.where("kind = 1").select(F.col("key").alias("block"), "hashes", "counts").groupBy("block")
     return left.cogroup(right).applyInArrow(score, f"`{key}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
-_RESULT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-
-
 def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = crc_mod("doc_id", 10)
     return lm_scores(table(spark, sf_dir, "documents"), part != 0, F.coalesce(part == 0, F.lit(False)))
