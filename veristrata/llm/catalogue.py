@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veristrata.llm import decontaminate, langid, lm_score, mixing, near_dedup, pii, quality_rules, url_filters
+from veristrata.llm import decontaminate, langid, lm_score, mixing, near_dedup, pii, pu_quality, quality_rules, url_filters
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op7_suffix_tree": lm_score.op7_suffix_tree,
         "op8_mixing": mixing.op8_mixing,
         "op9_decontamination": decontaminate.op9_decontamination,
+        "op10_pu_quality": pu_quality.op10_pu_quality,
     }
 
 
