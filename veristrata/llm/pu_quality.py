@@ -97,9 +97,9 @@ class Scorer:
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The least ratio, over thresholds that a tenth of the positives exceed, of shares above them."""
-    cuts = np.quantile(positive, np.linspace(0, 0.9, 46))
-    above = [(unlabelled > c).mean() / (positive > c).mean() for c in cuts if (positive > c).mean() >= 0.1]
+    """The least ratio, over thresholds that half of the positives exceed, of shares above them."""
+    cuts = np.quantile(positive, np.linspace(0, 0.5, 26))
+    above = [(unlabelled > c).mean() / (positive > c).mean() for c in cuts if (positive > c).mean() >= 0.4]
     return float(np.clip(min(above, default=0.5), 0.05, 0.99))
 
 
