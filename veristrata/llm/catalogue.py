@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from veristrata.llm import decontaminate, langid, lm_score, mixing, near_dedup, pii, pu_quality, quality_rules, url_filters
+from veristrata.llm import decontaminate, langid, licenses, lm_score, mixing, near_dedup, pii, pu_quality, quality_rules, url_filters
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_pii": pii.op2_pii,
+        "op3_licenses": licenses.op3_licenses,
         "op4_minhash": near_dedup.op4_minhash,
         "op5_language_id": langid.op5_language_id,
         "op6_url_filters": url_filters.op6_url_filters,
