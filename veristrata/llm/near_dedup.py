@@ -6,7 +6,8 @@
    (optimal densification).  ``ROWS`` bins make a band.
 2. Texts with equal sets are one *node*, so exact copies never meet in pairs.
 3. A bucket (nodes with an equal band) proposes a star: each member with the
-   bucket's smallest node.  So candidates grow with members, not their square.
+   bucket's most central node, whose buckets hold most nodes.  So candidates
+   grow with members, not their square.
 4. Every proposed link is confirmed on the full sets.  First each node is
    tested with one hub only; what the resulting groups already connect needs
    no further test.
@@ -199,14 +200,19 @@ def near_groups(docs: DataFrame, k: int, percent: int = 80, key: str = "doc_id")
     while pending.head(1):
         if sets is None:
             sets = settle(_full_sets(keyed, sigs, pending.select("node").distinct(), k))
-        hubs = settle(pending.groupBy("bucket", F.pmod(F.hash("node"), F.lit(hubs_each)).alias("_s")).agg(F.min(F.struct("node", "n")).alias("h")).select("bucket", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n")))
+        # The most central member leads: the one whose buckets hold most nodes, as the text that others were copied from does.
+        sizes = pending.groupBy("bucket").agg(F.count("*").alias("_m"))
+        central = pending.join(sizes, "bucket").groupBy("node").agg(F.sum("_m").alias("reach"))
+        ranked = settle(pending.join(central, "node"))
+        lead = F.max(F.struct("reach", "node", "n")).alias("h")
+        hubs = settle(ranked.groupBy("bucket", F.pmod(F.hash("node"), F.lit(hubs_each)).alias("_s")).agg(lead).select("bucket", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.reach").alias("hub_reach")))
         fits = f"node <> hub and 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
-        pairs = settle(pending.join(hubs, "bucket").where(fits).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
-        one = pairs.groupBy("b").agg(F.min("a").alias("a"))
+        pairs = settle(ranked.join(hubs, "bucket").where(fits).groupBy(F.col("node").alias("b"), F.col("hub").alias("a")).agg(F.first("hub_reach").alias("hub_reach")))
+        one = pairs.groupBy("b").agg(F.max_by("a", F.struct("hub_reach", "a")).alias("a"))
         labels = merge_groups(labels, _confirmed(one, sets, percent))
         rest = pairs.select("a", "b", F.col("a").alias("_a"), F.col("b").alias("_b"))
         rest = _labelled(_labelled(rest, labels, "_a"), labels, "_b").where("_a <> _b").select("a", "b")
-        rest = rest.join(one.select(F.col("a"), F.col("b")), ["a", "b"], "left_anti")
+        rest = rest.join(one.select("a", "b"), ["a", "b"], "left_anti")
         labels = merge_groups(labels, _confirmed(rest, sets, percent))
         left = pending.join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti").withColumn("comp", F.col("node"))
         left = _labelled(left, labels, "comp")
