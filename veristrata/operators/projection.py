@@ -163,15 +163,19 @@ def flatten_struct(records: DataFrame, key: str, value: str) -> DataFrame:
     """The same of a typed column, by built-in functions: the paths follow from the type."""
     found = []
 
+    def items(c: Column, kind: t.DataType, path: Column, name: str | None) -> Column:
+        tail = "]" if name is None else f"].{name}"
+        leaf = lambda x, i: F.struct(F.concat(path, F.lit("["), i.cast("string"), F.lit(tail)).alias("path"), (x if name is None else x[name]).cast("string").alias("value"))
+        return F.transform(F.coalesce(c, F.array().cast(kind)), leaf)
+
     def walk(c: Column, kind: t.DataType, path: Column):
         if isinstance(kind, t.StructType):
             for f in kind.fields:
-                walk(c[f.name], f.dataType, F.concat(path, F.lit(f".{f.name}" if not isinstance(path, str) else f.name)))
+                walk(c[f.name], f.dataType, F.concat(path, F.lit(f".{f.name}")))
         elif isinstance(kind, t.ArrayType) and not isinstance(kind.elementType, (t.StructType, t.ArrayType)):
-            found.append(F.transform(F.coalesce(c, F.array().cast(kind)), lambda x, i: F.struct(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")).alias("path"), x.cast("string").alias("value"))))
+            found.append(items(c, kind, path, None))
         elif isinstance(kind, t.ArrayType) and isinstance(kind.elementType, t.StructType):
-            for f in kind.elementType.fields:
-                found.append(F.transform(F.coalesce(c, F.array().cast(kind)), lambda x, i, f=f: F.struct(F.concat(path, F.lit("["), i.cast("string"), F.lit(f"].{f.name}")).alias("path"), x[f.name].cast("string").alias("value"))))
+            found.extend(items(c, kind, path, f.name) for f in kind.elementType.fields)
         else:
             found.append(F.array(F.struct(path.alias("path"), c.cast("string").alias("value"))))
 

@@ -401,7 +401,7 @@ def fts_collection(spark, d):
     return p.select("object_id", F.col("full_text")["how"].alias("how"), F.col("sort")["part"].alias("part"))
 
 
-FTS_COLLECTION = "SELECT l_orderkey || '::' || lpad((row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1)::VARCHAR, 4, '0') AS object_id, l_returnflag || ' ' || l_linestatus AS how, l_partkey::VARCHAR AS part FROM lineitem"
+FTS_COLLECTION = "SELECT l_orderkey || '::' || lpad((row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag, l_linestatus) - 1)::VARCHAR, 4, '0') AS object_id, l_returnflag || ' ' || l_linestatus AS how, l_partkey::VARCHAR AS part FROM lineitem"
 
 ORDER_SCHEMA = {
     "type": "object",

@@ -2,7 +2,8 @@
 
 Files are read by Spark (``binaryFile``), so any store it reaches will do, and
 parsed in Arrow batches by the standard library alone.  A file that can't be
-parsed gives a row with ``error_code`` instead of failing the job.
+parsed gives a row with ``error_code`` instead of failing the job; a file
+without a byte gives no row.
 """
 
 from __future__ import annotations
