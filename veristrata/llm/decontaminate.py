@@ -228,12 +228,11 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             index = shared.value
             for batch in batches:
                 good = np.ones(batch.num_rows, bool)
-                for i, _, t in tokens_of(batch.column(batch.num_columns - 1)):
+                for i, _, t in tokens_of(batch.column(names.index("text"))):
                     good[[i + d for d, *_ in index.matches(t)]] = False
-                yield batch.select(range(len(names))).filter(pa.array(good))
+                yield batch.filter(pa.array(good))
 
-        raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("_raw")
-        docs = docs.select("*", raw).mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(run, docs.schema)
     return docs
 
 

@@ -271,7 +271,7 @@ def identify(docs: DataFrame, model: Identifier, *keep: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            has, raw = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False).astype(bool), batch.column(batch.num_columns - 1)
+            has, raw = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool), batch.column(at)
             best, score = np.full(len(raw), len(names) - 1), np.zeros(len(raw))
             if model.net is not None:
                 for i, j, chunk in chunks(raw):
@@ -279,7 +279,10 @@ def identify(docs: DataFrame, model: Identifier, *keep: str) -> DataFrame:
             best[~has], score[~has] = len(names) - 1, 0.0
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names[best], pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
-    rows = docs.select(*keep, text.rlike("\\p{L}").alias("_letter"), text.cast("binary").alias("_raw"))
+    # A text that is kept anyway is read where it stands, not sent twice.
+    at = keep.index("text") if "text" in keep else len(keep)
+    raw = [] if "text" in keep else [text.cast("binary").alias("_raw")]
+    rows = docs.select(*keep, *raw, text.rlike("\\p{L}").alias("_letter"))
     return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 

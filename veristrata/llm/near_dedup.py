@@ -12,7 +12,7 @@
    tested with one hub only; what the resulting groups already connect needs
    no further test.
 5. A bucket whose members are still in several groups gets new hubs from the
-   members that have not been hubs yet, eight times as many each round, until
+   members that have not been hubs yet, HUB_GROWTH times as many each round, until
    none is left.  Thus all links inside buckets count, whatever hub came first.
 
 Two sets at the threshold 0.8 share no band with probability
@@ -40,7 +40,9 @@ ROWS, BANDS = 8, 72
 BINS = ROWS * BANDS
 #: Most rows of (id, text key) that may be broadcast: 24 bytes each.
 BROADCAST_ROWS = 2_000_000
-HUB_GROWTH = 8
+HUB_GROWTH = 32
+#: Sets of at most this many shingles may travel with their rows into a join.
+SMALL = 256
 
 _rng = np.random.Generator(np.random.PCG64(71993))
 #: Column j lists the bins from which bin j borrows, in order; ORDER holds each bin's place there.
@@ -196,18 +198,28 @@ def near_groups(docs: DataFrame, k: int, percent: int = 80, key: str = "doc_id")
     rows = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo < _hi").select("bucket")
     pending = settle(rows.join(shared, "bucket"))
-    labels, hubs_each, sets = None, 1, None
+    labels, hubs_each, sets, small = None, 1, None, None
+    pending = pending.withColumn("comp", F.col("node"))
     while pending.head(1):
-        if sets is None:
-            sets = settle(_full_sets(keyed, sigs, pending.select("node").distinct(), k))
         # The most central member leads: the one whose buckets hold most nodes, as the text that others were copied from does.
         sizes = pending.groupBy("bucket").agg(F.count("*").alias("_m"))
         central = pending.join(sizes, "bucket").groupBy("node").agg(F.sum("_m").alias("reach"))
         ranked = settle(pending.join(central, "node"))
-        lead = F.max(F.struct("reach", "node", "n")).alias("h")
-        hubs = settle(ranked.groupBy("bucket", F.pmod(F.hash("node"), F.lit(hubs_each)).alias("_s")).agg(lead).select("bucket", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.reach").alias("hub_reach")))
-        fits = f"node <> hub and 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
-        pairs = settle(ranked.join(hubs, "bucket").where(fits).groupBy(F.col("node").alias("b"), F.col("hub").alias("a")).agg(F.first("hub_reach").alias("hub_reach")))
+        lead = F.max(F.struct("reach", "node", "n", "comp")).alias("h")
+        hubs = ranked.groupBy("bucket", F.pmod(F.hash("node"), F.lit(hubs_each)).alias("_s")).agg(lead)
+        hubs = settle(hubs.select("bucket", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.reach").alias("hub_reach"), F.col("h.comp").alias("hub_comp")))
+        fits = F.expr(f"comp <> hub_comp and 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")
+        if sets is None:
+            sets = settle(_full_sets(keyed, sigs, pending.select("node").distinct(), k))
+            rows, leads = ranked, hubs
+        else:
+            # What stars leave over is mostly unlike; small sets are compared within the join, so only links come out of it.
+            small = settle(sets.where(F.size("shingles") <= SMALL).select("node", F.col("shingles").alias("few"))) if small is None else small
+            rows = ranked.join(small, "node", "left")
+            leads = hubs.join(small.select(F.col("node").alias("hub"), F.col("few").alias("hub_few")), "hub", "left")
+            both = F.size(F.array_intersect("few", "hub_few"))
+            fits = fits & (F.col("few").isNull() | F.col("hub_few").isNull() | (100 * both >= percent * (F.col("n") + F.col("hub_n") - both)))
+        pairs = settle(rows.join(leads, (rows["bucket"] == leads["bucket"]) & fits).groupBy(F.col("node").alias("b"), F.col("hub").alias("a")).agg(F.first("hub_reach").alias("hub_reach")))
         one = pairs.groupBy("b").agg(F.max_by("a", F.struct("hub_reach", "a")).alias("a"))
         labels = merge_groups(labels, _confirmed(one, sets, percent))
         rest = pairs.select("a", "b", F.col("a").alias("_a"), F.col("b").alias("_b"))
@@ -217,7 +229,7 @@ def near_groups(docs: DataFrame, k: int, percent: int = 80, key: str = "doc_id")
         left = pending.join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti").withColumn("comp", F.col("node"))
         left = _labelled(left, labels, "comp")
         split = left.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("bucket")
-        pending, hubs_each = settle(left.join(split, "bucket").select("bucket", "node", "n")), hubs_each * HUB_GROWTH
+        pending, hubs_each = settle(left.join(split, "bucket").select("bucket", "node", "n", "comp")), hubs_each * HUB_GROWTH
     return sigs, labels
 
 
