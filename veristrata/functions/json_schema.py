@@ -169,7 +169,12 @@ def _get(v: Column, name: str) -> Column:
 
 
 def _node(v: Column, schema: dict, root: dict, path: Column) -> Column:
-    """An array with the errors of a node (nulls where a rule holds)."""
+    """An array with the errors of a node (nulls where a rule holds); the node and its kind are bound once, for all its rules."""
+    bound = F.array(F.struct(v.alias("v"), _kind(v).alias("kind")))
+    return F.flatten(F.transform(bound, lambda x: _rules(x["v"], x["kind"], schema, root, path)))
+
+
+def _rules(v: Column, kind: Column, schema: dict, root: dict, path: Column) -> Column:
     if "$ref" in schema:
         ref = str(schema["$ref"])
         target = _resolve(root, ref)
@@ -185,7 +190,6 @@ def _node(v: Column, schema: dict, root: dict, path: Column) -> Column:
             fails = F.coalesce(fails, say((hits < 1) if word == "anyOf" else (hits != 1), f" did not match {word}"))
     wanted = schema.get("type")
     names = [wanted] if isinstance(wanted, str) else wanted if isinstance(wanted, list) else None
-    kind = _kind(v)
     if names is not None:
         fits = F.lit(False)
         for n in names:

@@ -69,10 +69,21 @@ def chunk() -> Column:
     return first_failure(*map(missing, ("chunk_id", "doc_id", "text", "rerank_text")), span, not_positive("token_count"))
 
 
+SECTION_TEXT = ("doc_id", "parent_doc_id", "version_id", "section_number", "section_heading", "citation", "title", "jurisdiction", "doc_type", "source", "authority_type", "instrument_status", "body_text")
+
+
 def section() -> Column:
-    before = map(missing, ("doc_id", "parent_doc_id", "version_id"))
-    after = map(missing, ("section_number", "section_heading", "citation", "title", "jurisdiction", "doc_type", "source", "authority_type", "instrument_status"))
-    return first_failure(*before, not_positive("section_ordinal"), *after, negative("authority_rank"), missing("body_text"))
+    """Rules over one struct of the fields, so that a filter by them refers to each field's expression once."""
+    fields = F.array(F.struct(*[F.col(f) for f in (*SECTION_TEXT, "section_ordinal", "authority_rank")]))
+
+    def rules(s: Column) -> Column:
+        lost = {f: missing(f, s[f]) for f in SECTION_TEXT}
+        ordinal = F.when(F.coalesce(s["section_ordinal"], F.lit(0)) <= 0, "section_ordinal must be positive")
+        rank = F.when(F.coalesce(s["authority_rank"], F.lit(-1)) < 0, "authority_rank must not be negative")
+        before, after = SECTION_TEXT[:3], SECTION_TEXT[3:-1]
+        return first_failure(*[lost[f] for f in before], ordinal, *[lost[f] for f in after], rank, lost["body_text"])
+
+    return F.element_at(F.transform(fields, rules), 1)
 
 
 def source_location(c: str = "location") -> Column:

@@ -26,84 +26,95 @@ DIAGNOSTIC = "stage string, idx long, code string, severity string, path string,
 # ---- typed reading of JSON records -------------------------------------------------
 
 
-def raw(json: Column, name: str) -> Column:
-    return F.get_json_object(json, f"$.{name}")
+def fields_of(json: Column) -> Column:
+    """A record's fields as a map of texts, parsed once: strings as they are, other values by their JSON text."""
+    return F.from_json(json, "map<string,string>")
 
 
-def text_value(json: Column, name: str) -> Column:
-    """A non-blank string trimmed, or a number's or boolean's own text; other values count as absent."""
-    value = T.trimmed(raw(json, name))
-    return F.when(value.rlike("^[\\[{]") & F.get_json_object(json, f"$.{name}[0]").isNotNull(), None).when(value != "", value)
+def text_value(fields: Column, name: str) -> Column:
+    """A non-blank string trimmed, or a number's or boolean's own text; arrays and objects count as absent."""
+    value = T.trimmed(F.try_element_at(fields, F.lit(name)))
+    nested = value.rlike("^[\\[{]") & F.try_parse_json(value).isNotNull()
+    return F.when(nested | (value == ""), None).otherwise(value)
 
 
-def first_text(json: Column, *names: str) -> Column:
-    return F.coalesce(*[text_value(json, n) for n in names])
+def as_int(text: Column) -> Column:
+    return F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("long"))
 
 
-def int_value(json: Column, name: str) -> Column:
-    value = T.trimmed(raw(json, name))
-    return F.when(value.rlike("^[+-]?[0-9]+$"), value.try_cast("long"))
-
-
-def bool_value(json: Column, name: str) -> Column:
-    value = F.lower(T.trimmed(raw(json, name)))
+def as_bool(text: Column) -> Column:
+    value = F.lower(text)
     return F.when(value.isin("true", "1", "yes"), True).when(value.isin("false", "0", "no"), False)
 
 
-def int_array(json: Column, name: str) -> Column:
-    items = F.from_json(raw(json, name), "array<string>")
+def int_array(fields: Column, name: str) -> Column:
+    items = F.from_json(F.try_element_at(fields, F.lit(name)), "array<string>")
     return F.coalesce(F.filter(F.transform(items, lambda x: F.trim(x).try_cast("long")), lambda x: x.isNotNull()), F.array().cast("array<long>"))
 
 
-def float_array(json: Column, name: str) -> Column:
-    items = F.from_json(raw(json, name), "array<string>")
+def float_array(fields: Column, name: str) -> Column:
+    items = F.from_json(F.try_element_at(fields, F.lit(name)), "array<string>")
     return F.filter(F.transform(items, lambda x: F.trim(x).try_cast("float")), lambda x: x.isNotNull())
 
 
+#: The names under which records carry text fields.
+TEXT_FIELDS = (
+    "doc_id parent_doc_id version_id section_number section_heading citation title jurisdiction source doc_type type document_type instrument_status status part_label division_label subdivision_label "
+    "authority_type legal_authority_type court_name url source_locator locator page_locator source_format locator_confidence version_date decision_date date published_date effective_from effective_to "
+    "body_text text body content section_ordinal authority_rank court_rank version_date_days effective_from_days effective_to_days page_start page_end char_start char_end is_current"
+).split()
+
+
 # ---- normalisation and feed --------------------------------------------------------
 
 
 def normalise(records: DataFrame, json: str = "json") -> DataFrame:
     """Section fields of JSON records, by aliases and defaults; ``error`` names a required field that is absent."""
-    j = F.col(json)
-    status = F.coalesce(first_text(j, "instrument_status", "status"), F.lit("unknown"))
-    doc_type, source = first_text(j, "doc_type", "type", "document_type"), text_value(j, "source")
-    pages = int_array(j, "page_numbers")
-    located = F.coalesce(text_value(j, "source_locator"), text_value(j, "locator"), text_value(j, "page_locator"), int_value(j, "page_start").cast("string"), int_value(j, "page_end").cast("string")).isNotNull() | (F.size(pages) > 0)
-    body = first_text(j, "body_text", "text", "body", "content")
-    plain = {n: text_value(j, n) for n in ("doc_id", "parent_doc_id", "version_id", "section_number", "section_heading", "citation", "title", "jurisdiction")}
+    # Exploding a single value binds it: neither a filter nor a projection above repeats the parsing below.
+    parsed = records.select("*", F.explode(F.array(fields_of(F.col(json)))).alias("_m"))
+    read = parsed.select("*", F.explode(F.array(F.struct(*[text_value(F.col("_m"), n).alias(n) for n in TEXT_FIELDS]))).alias("_v"))
+    m = F.col("_m")
+    text = lambda *names: F.coalesce(*[F.col("_v")[n] for n in names])
+    number = lambda n: as_int(F.col("_v")[n])
+    status = F.coalesce(text("instrument_status", "status"), F.lit("unknown"))
+    doc_type, source = text("doc_type", "type", "document_type"), text("source")
+    pages = int_array(m, "page_numbers")
+    located = F.coalesce(text("source_locator", "locator", "page_locator"), number("page_start").cast("string"), number("page_end").cast("string")).isNotNull() | (F.size(pages) > 0)
+    body = text("body_text", "text", "body", "content")
+    plain = {n: text(n) for n in ("doc_id", "parent_doc_id", "version_id", "section_number", "section_heading", "citation", "title", "jurisdiction")}
     fields = plain | {
-        "section_ordinal": int_value(j, "section_ordinal"),
-        "part_label": F.coalesce(text_value(j, "part_label"), F.lit("")),
-        "division_label": F.coalesce(text_value(j, "division_label"), F.lit("")),
-        "subdivision_label": text_value(j, "subdivision_label"),
+        "section_ordinal": number("section_ordinal"),
+        "part_label": F.coalesce(text("part_label"), F.lit("")),
+        "division_label": F.coalesce(text("division_label"), F.lit("")),
+        "subdivision_label": text("subdivision_label"),
         "doc_type": doc_type,
         "source": source,
-        "authority_type": F.coalesce(first_text(j, "authority_type", "legal_authority_type"), T.authority_type(doc_type, source)),
-        "authority_rank": F.coalesce(int_value(j, "authority_rank"), T.authority_rank(doc_type, source)),
-        "court_name": text_value(j, "court_name"),
-        "court_rank": int_value(j, "court_rank"),
+        "authority_type": F.coalesce(text("authority_type", "legal_authority_type"), T.authority_type(doc_type, source)),
+        "authority_rank": F.coalesce(number("authority_rank"), T.authority_rank(doc_type, source)),
+        "court_name": text("court_name"),
+        "court_rank": number("court_rank"),
         "instrument_status": status,
-        "is_current": F.coalesce(bool_value(j, "is_current"), F.lower(status) == "current"),
-        "version_date_days": F.coalesce(int_value(j, "version_date_days"), T.date_number(first_text(j, "version_date", "decision_date", "date", "published_date"))),
-        "effective_from_days": F.coalesce(int_value(j, "effective_from_days"), T.date_number(text_value(j, "effective_from"))),
-        "effective_to_days": F.coalesce(int_value(j, "effective_to_days"), T.date_number(text_value(j, "effective_to"))),
-        "decision_date": first_text(j, "decision_date", "date", "published_date"),
-        "url": text_value(j, "url"),
-        "source_locator": first_text(j, "source_locator", "locator", "page_locator"),
-        "page_start": int_value(j, "page_start"),
-        "page_end": int_value(j, "page_end"),
+        "is_current": F.coalesce(as_bool(text("is_current")), F.lower(status) == "current"),
+        "version_date_days": F.coalesce(number("version_date_days"), T.date_number(text("version_date", "decision_date", "date", "published_date"))),
+        "effective_from_days": F.coalesce(number("effective_from_days"), T.date_number(text("effective_from"))),
+        "effective_to_days": F.coalesce(number("effective_to_days"), T.date_number(text("effective_to"))),
+        "decision_date": text("decision_date", "date", "published_date"),
+        "url": text("url"),
+        "source_locator": text("source_locator", "locator", "page_locator"),
+        "page_start": number("page_start"),
+        "page_end": number("page_end"),
         "page_numbers": pages,
-        "char_start": int_value(j, "char_start"),
-        "char_end": int_value(j, "char_end"),
-        "source_format": text_value(j, "source_format"),
-        "locator_confidence": F.coalesce(text_value(j, "locator_confidence"), F.when(~located, "unavailable")),
+        "char_start": number("char_start"),
+        "char_end": number("char_end"),
+        "source_format": text("source_format"),
+        "locator_confidence": F.coalesce(text("locator_confidence"), F.when(~located, "unavailable")),
         "body_text": T.clean(body),
-        "dense_embedding": F.coalesce(float_array(j, "dense_embedding_v1_256_native"), float_array(j, "dense_embedding")),
+        "dense_embedding": F.coalesce(float_array(m, "dense_embedding_v1_256_native"), float_array(m, "dense_embedding")),
     }
     needed = ("doc_type", "source", *plain, "section_ordinal")
     error = F.coalesce(*[F.when(fields[n].isNull(), n) for n in needed], F.when(body.isNull(), "body_text"))
-    return records.withColumns({"error": error, **fields})
+    kept = [c for c in records.columns if c not in fields and c != "error"]
+    return read.select(*kept, error.alias("error"), *[c.alias(n) for n, c in fields.items()])
 
 
 def put(sections: DataFrame) -> DataFrame:
