@@ -42,7 +42,7 @@ BINS = ROWS * BANDS
 BROADCAST_ROWS = 2_000_000
 HUB_GROWTH = 32
 #: Sets of at most this many shingles may travel with their rows into a join.
-SMALL = 256
+SMALL = 512
 
 _rng = np.random.Generator(np.random.PCG64(71993))
 #: Column j lists the bins from which bin j borrows, in order; ORDER holds each bin's place there.
@@ -150,14 +150,13 @@ def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "in
 
 
 def _roots(parents: DataFrame) -> DataFrame:
-    """``(node, comp)`` of a forest whose parents are smaller than their children, by pointer jumping."""
-    at = settle(parents)
+    """``(node, comp)`` of a settled forest whose parents are smaller than their children, by pointer jumping."""
+    at = parents
     while True:
         up = at.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        at = settle(at.join(up, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp"), F.col("next").isNotNull().alias("moved")))
-        if not at.where("moved").head(1):
-            return at.select("node", "comp")
-        at = at.select("node", "comp")
+        if not at.join(up, "comp").head(1):
+            return at
+        at = settle(at.join(up, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp")))
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None, column: str) -> DataFrame:
@@ -176,9 +175,9 @@ def merge_groups(labels: DataFrame | None, edges: DataFrame) -> DataFrame | None
     """
     while True:
         between = _labelled(_labelled(edges, labels, "a"), labels, "b").where("a <> b")
-        hung = settle(between.groupBy(F.greatest("a", "b").alias("node")).agg(F.min(F.least("a", "b")).alias("comp")))
-        if not hung.head(1):
+        if not between.head(1):
             return labels
+        hung = settle(between.groupBy(F.greatest("a", "b").alias("node")).agg(F.min(F.least("a", "b")).alias("comp")))
         roots = _roots(hung)
         if labels is None:
             labels = roots
@@ -220,12 +219,14 @@ def near_groups(docs: DataFrame, k: int, percent: int = 80, key: str = "doc_id")
             both = F.size(F.array_intersect("few", "hub_few"))
             fits = fits & (F.col("few").isNull() | F.col("hub_few").isNull() | (100 * both >= percent * (F.col("n") + F.col("hub_n") - both)))
         pairs = settle(rows.join(leads, (rows["bucket"] == leads["bucket"]) & fits).groupBy(F.col("node").alias("b"), F.col("hub").alias("a")).agg(F.first("hub_reach").alias("hub_reach")))
-        one = pairs.groupBy("b").agg(F.max_by("a", F.struct("hub_reach", "a")).alias("a"))
-        labels = merge_groups(labels, _confirmed(one, sets, percent))
-        rest = pairs.select("a", "b", F.col("a").alias("_a"), F.col("b").alias("_b"))
-        rest = _labelled(_labelled(rest, labels, "_a"), labels, "_b").where("_a <> _b").select("a", "b")
-        rest = rest.join(one.select("a", "b"), ["a", "b"], "left_anti")
-        labels = merge_groups(labels, _confirmed(rest, sets, percent))
+        if small is None:
+            # First one link a node: what the resulting groups connect needs no further test.
+            one = pairs.groupBy("b").agg(F.max_by("a", F.struct("hub_reach", "a")).alias("a"))
+            labels = merge_groups(labels, _confirmed(one, sets, percent))
+            rest = pairs.select("a", "b", F.col("a").alias("_a"), F.col("b").alias("_b"))
+            rest = _labelled(_labelled(rest, labels, "_a"), labels, "_b").where("_a <> _b").select("a", "b")
+            pairs = rest.join(one.select("a", "b"), ["a", "b"], "left_anti")
+        labels = merge_groups(labels, _confirmed(pairs.select("a", "b"), sets, percent))
         left = pending.join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti").withColumn("comp", F.col("node"))
         left = _labelled(left, labels, "comp")
         split = left.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("bucket")
