@@ -239,6 +239,14 @@ def test_suffix_tree_distributions_sum_to_one():
         assert abs(total - 1) < 1e-9, before
 
 
+def test_suffix_tree_learns_a_rare_phrase_in_a_large_corpus(spark):
+    phrase = "alpha beta gamma delta"
+    df = frame(spark, ["filler " * 2_500_000, phrase, phrase, phrase])
+    held = F.col("doc_id") == 3
+    row = lm_score.lm_scores(df, ~held, held).where("held_out").first()
+    assert row.train_tokens > 2_500_000 and row.score > row.base_score + 10
+
+
 def test_targets_are_the_reshared_weights():
     def reshared(sizes):
         names = sorted(s for s in sizes if s is not None) + [s for s in sizes if s is None]

@@ -2,20 +2,20 @@
 
 Symbols are lower-cased words and an end after each text.  The tree's root is
 the smoothed distribution of single tokens; below it stand contexts of one and
-two preceding words.  A context is a candidate if it is frequent (``MIN_SHARE``
-of all training tokens, twice at least), which bounds each level of the tree to
-``1 / MIN_SHARE`` contexts and as many continuations whatever the corpus.  It
-is retained if its distribution diverges from that of its shorter suffix: the
-gain in training log likelihood must exceed ``MIN_GAIN`` plus ``ENTRY_COST``
-for each continuation it stores.  A token is scored in the longest retained
+two preceding words.  Whatever occurs ``MIN_COUNT`` times in training rows is a
+candidate, at every size of the corpus, so the tree grows with its input.  A
+context is retained if its distribution diverges from that of its shorter
+suffix: the gain in training log likelihood must exceed ``MIN_GAIN`` plus
+``ENTRY_COST`` for each continuation it stores.  A token is scored in the longest retained
 suffix of the words before it; continuations that a context doesn't store share
 its remaining mass in proportion to the shorter suffix, so each distribution
 sums to one.
 
-The vocabulary is never in one place.  Documents are dealt into blocks and
-words into groups, both sized by the input.  A block asks the groups for its
-distinct words; the groups count them over the whole corpus and answer; blocks
-score their documents.  Only the tree is sent to all tasks.
+Neither vocabulary nor tree is ever in one place.  Documents are dealt into
+blocks, words and contexts into groups, all sized by the input.  Level by level
+a block asks the groups for its distinct words, pairs and triples; the groups
+count them over the whole corpus, decide which contexts stay and answer with
+what concerns the block, which then scores its documents in a tree of its own.
 
 Defined results: a null or empty text is one token, the end; documents with a
 null id are scored, not learned from; repeated rows are counted and scored each;
@@ -24,36 +24,28 @@ an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veristrata.llm.session import bounded_batches, crc_mod, settle, table
-from veristrata.llm.words import Chunk, binary_views, chunks, mix64
+from veristrata.llm.words import Chunk, chunks, mix64
 
-MIN_SHARE = 1e-6
 MIN_COUNT = 2
 MIN_GAIN, ENTRY_COST = 3.0, 1.0
 #: Pseudo-count of a context's unstored continuations.
 NOVEL = 0.5
 UNSEEN = 0.1
-#: Characters of text in a block; pairs a task holds before it sends them on.
-BLOCK_CHARS = 24_000_000
-FLUSH_PAIRS = 4_000_000
+#: Characters of text in a block, and groups for each block.
+BLOCK_CHARS = 12_000_000
+GROUPS = 4
 END = np.uint64(0x454E442D4F462D54)
-#: A code is a context's rank above this many bits of the next token's rank.
-BITS = 24
+#: A code is a context's rank above this many bits of the next token's rank, both within a block.
+BITS = 31
 MASK = (1 << BITS) - 1
 
 
-def _plain(column, kind) -> np.ndarray:
-    raw, offsets = binary_views(column)
-    return np.frombuffer(raw[offsets[0] : offsets[-1]].tobytes(), kind)
-
-
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     distinct, which = np.unique(keys, return_inverse=True)
     return distinct, np.bincount(which, weights=counts, minlength=len(distinct)).astype(np.int64)
@@ -81,95 +73,127 @@ def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == keys, at, -1)
 
 
-def _codes(line: Line, words: np.ndarray, pairs: np.ndarray | None) -> np.ndarray:
-    """Codes of (context, token) whose parts are frequent: pairs of words, or of a frequent pair and a word."""
+def _codes(line: Line, words: np.ndarray, pairs: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of (context, token) whose parts are frequent (pairs of words, or of a frequent pair and a word) and their texts."""
     rank = find(words, line.hash)
     same = line.doc[1:] == line.doc[:-1]
     good = same & (rank[1:] >= 0) & (rank[:-1] >= 0)
     code = np.where(good, (rank[:-1] << BITS) | rank[1:], -1)
     if pairs is None:
-        return code[code >= 0]
+        return code[code >= 0], line.doc[1:][code >= 0]
     place = find(pairs, code)
     both = (place[:-1] >= 0) & (place[1:] >= 0) & same[1:] & same[:-1]
-    return ((place[:-1] << BITS) | rank[2:])[both]
-
-
-def _level(shared):
-    """Per task: sums of the codes of one level of the tree."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs = shared.value
-        held, size = [], 0
-        for batch in batches:
-            for _, _, chunk in chunks(batch.column(0), lower=True):
-                codes = _codes(Line(chunk), words, pairs)
-                held.append(_summed(codes, np.ones(len(codes))))
-                size += len(held[-1][0])
-                if size > FLUSH_PAIRS:
-                    held = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-                    size = len(held[0][0])
-                    if size > FLUSH_PAIRS // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], names=["code", "n"])
-                        held, size = [], 0
-        if held:
-            codes, n = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], names=["code", "n"])
+    return ((place[:-1] << BITS) | rank[2:])[both], line.doc[2:][both]
+
+
+def _counted(texts: pa.Table, keys) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of a block's texts, with occurrences in training rows; ``keys`` gives those of a line and their texts."""
+    learn = texts.column("learn").to_numpy().astype(np.int64)
+    held = []
+    for i, j, chunk in chunks(texts.column("raw"), lower=True):
+        found, doc = keys(Line(chunk))
+        held.append(_summed(found, learn[i:j][doc]))
+    return _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def _arrays(rows: pa.Table, column: str, kind) -> list[np.ndarray]:
+    return [np.frombuffer(x or b"", kind) for x in rows.column(column).to_pylist()]
+
+
+ASKED = "grp bigint, block bigint, ranks binary, ids binary, sizes binary, entries binary, codes binary, names binary, counts binary, shorter binary"
+ANSWERED = "block bigint, level int, codes binary, counts binary, logs binary, ranks binary, rests binary, v bigint, n bigint"
+_KINDS = {"ranks": np.int32, "ids": np.uint64, "sizes": np.int64, "entries": np.int32, "codes": np.int64, "names": np.uint64, "counts": np.int64, "shorter": np.float64}
+
+
+def _table(names: str, rows: list[dict]) -> pa.Table:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in names.split(", ")]
+    return pa.table({name: pa.array([r.get(name) for r in rows], kinds[kind]) for name, kind in fields})
+
+
+def _ask_words(groups: int):
+    """A block's distinct tokens, dealt to their groups."""
+
+    def run(key: tuple[pa.Scalar, ...], texts: pa.Table) -> pa.Table:
+        names, counts = _counted(texts, lambda line: (line.hash, line.doc))
+        group = (names % np.uint64(groups)).astype(np.int64)
+        rows = []
+        for g in np.unique(group).tolist():
+            mine = group == g
+            rows.append({"grp": g, "block": key[0].as_py(), "names": names[mine].tobytes(), "counts": counts[mine].tobytes()})
+        return _table(ASKED, rows)
 
     return run
 
 
-def _requests(groups: int):
-    """Per task and group: distinct words of each block's documents, with occurrences in training documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            block = batch.column(0).to_numpy().astype(np.int64)
-            learn = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            parts = []
-            for i, j, chunk in chunks(batch.column(2), lower=True):
-                hashes, mine = chunk.word_hash(), block[i:j][chunk.doc]
-                _, at, which = np.unique(mix64(hashes ^ mix64(mine.astype(np.uint64))), return_index=True, return_inverse=True)
-                parts.append((mine[at], hashes[at], np.bincount(which, weights=learn[i:j][chunk.doc], minlength=len(at))))
-            if not parts:
-                continue
-            mine, hashes, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-            _, at, which = np.unique(mix64(hashes ^ mix64(mine.astype(np.uint64))), return_index=True, return_inverse=True)
-            counts = np.bincount(which, weights=counts, minlength=len(at)).astype(np.int64)
-            mine, hashes = mine[at], hashes[at]
-            group = (hashes % np.uint64(groups)).astype(np.int64)
-            order = np.argsort(group, kind="stable")
-            names, first = np.unique(group[order], return_index=True)
-            sent = [(k, mine[p].tobytes(), hashes[p].tobytes(), counts[p].tobytes()) for k, p in zip(names.tolist(), np.split(order, first[1:]), strict=True)]
-            columns = [pa.array([s[0] for s in sent], pa.int64()), *(pa.array([s[i] for s in sent], pa.binary()) for i in (1, 2, 3))]
-            yield pa.RecordBatch.from_arrays(columns, names=["grp", "blocks", "hashes", "counts"])
+def _count_words(asked: pa.Table) -> pa.Table:
+    """One group of tokens: its totals (without a block), and corpus counts for each block that asked."""
+    names = _arrays(asked, "names", np.uint64)
+    distinct, which = np.unique(np.concatenate(names), return_inverse=True)
+    total = np.bincount(which, weights=np.concatenate(_arrays(asked, "counts", np.int64)), minlength=len(distinct)).astype(np.int64)
+    rows = [{"v": int((total > 0).sum()), "n": int(total.sum())}]
+    parts = np.split(which, np.cumsum([len(x) for x in names])[:-1])
+    for block, mine, at in zip(asked.column("block").to_pylist(), names, parts, strict=True):
+        rows.append({"block": block, "level": 0, "codes": mine.tobytes(), "counts": total[at].tobytes()})
+    return _table(ANSWERED, rows)
+
+
+def _ask_level(level: int, groups: int, floor: float):
+    """A block's frequent contexts of ``level`` words and their continuations, dealt to the contexts' groups."""
+
+    def run(key: tuple[pa.Scalar, ...], texts: pa.Table, answers: pa.Table) -> pa.Table:
+        tree = SuffixTree.of_block(answers, floor)
+        codes, counts = _counted(texts, lambda line: _codes(line, tree.words, tree.pairs if level == 2 else None))
+        context, last = codes >> BITS, codes & MASK
+        if level == 1:
+            ids, sizes, shorter = tree.words, tree.count, tree.root[last]
+        else:
+            head, tail = tree.pairs >> BITS, tree.pairs & MASK
+            ids, sizes = _joined(tree.words[head], tree.words[tail]), tree.times
+            shorter = tree._one(tail[context], last, tree.root[last])
+        names = _joined(ids[context], tree.words[last])
+        entries = np.bincount(context, minlength=len(ids)).astype(np.int32)
+        group = (ids % np.uint64(groups)).astype(np.int64)
+        order, theirs = np.argsort(group, kind="stable"), np.argsort(group[context], kind="stable")
+        rows = []
+        for g in np.unique(group).tolist():
+            p = order[slice(*np.searchsorted(group[order], [g, g + 1]))]
+            e = theirs[slice(*np.searchsorted(group[context][theirs], [g, g + 1]))]
+            parts = {"ranks": p.astype(np.int32), "ids": ids[p], "sizes": sizes[p], "entries": entries[p], "codes": codes[e], "names": names[e], "counts": counts[e], "shorter": shorter[e]}
+            rows.append({"grp": g, "block": key[0].as_py()} | {k: x.tobytes() for k, x in parts.items()})
+        return _table(ASKED, rows)
 
     return run
 
 
-def _answers(least: int):
-    """One group of words: totals (kind 0), corpus counts for each block that asked (1), frequent words (2)."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        block, hashes, counts = (_plain(rows.column(c), k) for c, k in (("blocks", np.int64), ("hashes", np.uint64), ("counts", np.int64)))
-        distinct, which = np.unique(hashes, return_inverse=True)
-        total = np.bincount(which, weights=counts, minlength=len(distinct)).astype(np.int64)
-        order = np.lexsort((which, block))
-        pairs = np.stack([block[order], which[order]])
-        new = np.concatenate([[True], (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)])
-        to, word = pairs[:, new]
-        names, first = np.unique(to, return_index=True)
-        sent = [(distinct[w].tobytes(), total[w].tobytes()) for w in np.split(word, first[1:])]
-        often = np.flatnonzero(total >= least)
-        blank = [None] * len(often)
-        return pa.table(
-            {
-                "kind": pa.array(np.repeat(np.array([0, 1, 2], np.int32), [1, len(names), len(often)])),
-                "key": pa.array(np.concatenate([[(total > 0).sum()], names, distinct[often].view(np.int64)])),
-                "n": pa.array(np.concatenate([[total.sum()], np.zeros(len(names), np.int64), total[often]])),
-                "hashes": pa.array([None, *(s[0] for s in sent), *blank], pa.binary()),
-                "counts": pa.array([None, *(s[1] for s in sent), *blank], pa.binary()),
-            }
-        )
+def _joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A 64-bit name of a context with a further word."""
+    return mix64(context * np.uint64(0x9FB21C651E98DF25) + word)
+
+
+def _fit_level(level: int):
+    """One group of contexts: decided over the whole corpus, answered to each block that asked."""
+
+    def run(asked: pa.Table) -> pa.Table:
+        rows = {k: _arrays(asked, k, kind) for k, kind in _KINDS.items()}
+        all_of = {k: np.concatenate(rows[k]) for k in ("ids", "sizes", "entries", "names", "counts", "shorter")}
+        contexts, at, context = np.unique(all_of["ids"], return_index=True, return_inverse=True)
+        sizes = all_of["sizes"][at].astype(float)
+        distinct, at, which = np.unique(all_of["names"], return_index=True, return_inverse=True)
+        times = np.bincount(which, weights=all_of["counts"], minlength=len(distinct)).astype(np.int64)
+        often = times >= MIN_COUNT
+        logs = np.full(len(distinct), -np.inf)
+        rest, logs[often] = SuffixTree._fit(np.repeat(context, all_of["entries"])[at][often], times[often], sizes, all_of["shorter"][at][often])
+        # Deeper levels need every frequent continuation, the last one only those that are stored.
+        wanted = often if level == 1 else logs > -np.inf
+        out, c, e = [], 0, 0
+        for block, ranks, codes in zip(asked.column("block").to_pylist(), rows["ranks"], rows["codes"], strict=True):
+            mine, theirs = rest[context[c : c + len(ranks)]], which[e : e + len(codes)]
+            c, e = c + len(ranks), e + len(codes)
+            kept, good = mine != 0, wanted[theirs]
+            parts = {"codes": codes[good], "counts": times[theirs[good]], "logs": logs[theirs[good]], "ranks": ranks[kept], "rests": mine[kept]}
+            out.append({"block": block, "level": level} | {k: x.tobytes() for k, x in parts.items()})
+        return _table(ANSWERED, out)
 
     return run
 
@@ -195,6 +219,36 @@ class SuffixTree:
         keep = stored > -np.inf
         self.codes2, self.logs2 = three[keep], stored[keep]
 
+    @classmethod
+    def of_block(cls, answers: pa.Table, floor: float) -> SuffixTree:
+        """What the groups have answered to one block; ``known``/``known_count`` are all its tokens, in order."""
+        self = cls.__new__(cls)
+        self.floor = floor
+        level = answers.column("level").to_numpy()
+
+        def all_of(k: int, column: str, kind) -> np.ndarray:
+            return np.concatenate([np.zeros(0, kind), *_arrays(answers.filter(pa.array(level == k)), column, kind)])
+
+        known, count = all_of(0, "codes", np.uint64), all_of(0, "counts", np.int64)
+        order = np.argsort(known)
+        self.known, self.known_count = known[order], count[order]
+        often = self.known_count >= MIN_COUNT
+        self.words, self.count = self.known[often], self.known_count[often]
+        self.root = np.log10(self.count + UNSEEN) - floor
+        size = len(self.words)
+        for k in (1, 2):
+            codes, times, logs = all_of(k, "codes", np.int64), all_of(k, "counts", np.int64), all_of(k, "logs", np.float64)
+            order = np.argsort(codes)
+            codes, times, logs = codes[order], times[order], logs[order]
+            rest, keep = np.zeros(size), logs > -np.inf
+            rest[all_of(k, "ranks", np.int32)] = all_of(k, "rests", np.float64)
+            if k == 1:
+                self.pairs, self.times, size = codes, times, len(codes)
+                self.rest1, self.codes1, self.logs1 = rest, codes[keep], logs[keep]
+            else:
+                self.rest2, self.codes2, self.logs2 = rest, codes[keep], logs[keep]
+        return self
+
     @staticmethod
     def _fit(context, times, size, shorter):
         """log10 of the factor for unstored continuations by context (0: not retained) and of each stored one (-inf: dropped)."""
@@ -228,7 +282,7 @@ class SuffixTree:
         before[1:][line.doc[1:] != line.doc[:-1]] = -1
         before[:1] = -1
         out = self._one(before, rank, root)
-        if len(self.codes2):
+        if self.rest2.any():
             pair = find(self.pairs, np.where((before >= 0) & (rank >= 0), (before << BITS) | rank, -1))
             context = np.concatenate([[-1], pair[:-1]])
             context[1:][line.doc[1:] != line.doc[:-1]] = -1
@@ -239,64 +293,39 @@ class SuffixTree:
         return out
 
 
-def grow(learned: DataFrame, words: np.ndarray, count: np.ndarray, least: int, n: int, v: int) -> SuffixTree:
-    """Count the levels of the tree one after another; each has at most ``1 / MIN_SHARE`` frequent codes."""
-    spark = learned.sparkSession
-    levels, pairs = [], None
-    for _ in range(2):
-        shared = spark.sparkContext.broadcast((words, pairs))
-        rows = learned.mapInArrow(_level(shared), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-        codes, times = rows.column("code").to_numpy().astype(np.int64), rows.column("n").to_numpy().astype(np.int64)
-        order = np.argsort(codes)
-        levels.append((codes[order], times[order]))
-        pairs = codes[order]
-    return SuffixTree(words, count, *levels, n, v)
-
-
 def lm_scores(docs: DataFrame, learn, held_out, key: str = "doc_id") -> DataFrame:
     """``key, held_out, n_tokens, n_known, train_tokens, base_score, score``; ``learn`` marks training rows."""
     spark = docs.sparkSession
     bounded_batches(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    learn = F.coalesce(learn, F.lit(False))
-    tokens = F.sum(F.when(learn, F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")) + 1))
-    size = docs.agg(F.sum(F.length(text)).alias("n"), F.count_if(learn).alias("docs"), tokens.alias("tokens")).first()
-    blocks, n_docs, n = max(1, -(-(size.n or 0) // BLOCK_CHARS)), size.docs, size.tokens or 0
-    least = max(MIN_COUNT, int(np.ceil(MIN_SHARE * n)))
-    dealt = docs.select(F.pmod(F.xxhash64(key, text), F.lit(blocks)).alias("block"), learn.alias("learn"), text.cast("binary").alias("raw"), F.col(key).alias("id"), held_out.alias("held_out"))
-    asked = dealt.select("block", "learn", "raw").mapInArrow(_requests(blocks), "grp bigint, blocks binary, hashes binary, counts binary")
-    answers = settle(asked.groupBy("grp").applyInArrow(_answers(least), "kind int, key bigint, n bigint, hashes binary, counts binary"))
-    v = (answers.where("kind = 0").agg(F.sum("key")).first()[0] or 0) + (n_docs > 0)
-    often = answers.where("kind = 2").select("key", "n").toArrow()
-    words, count = often.column("key").to_numpy().astype(np.int64).view(np.uint64), often.column("n").to_numpy().astype(np.int64)
-    if n_docs >= least:
-        words, count = np.append(words, END), np.append(count, n_docs)
-    order = np.argsort(words)
-    words, count = words[order], count[order]
-    shared = spark.sparkContext.broadcast(grow(dealt.where("learn").select("raw"), words, count, least, n, v))
+    size = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_CHARS))
+    groups = GROUPS * blocks
+    dealt = docs.select(F.pmod(F.xxhash64(key, text), F.lit(blocks)).alias("block"), F.coalesce(learn, F.lit(False)).alias("learn"), text.cast("binary").alias("raw"), F.col(key).alias("id"), held_out.alias("held_out"))
+    texts = dealt.select("block", "learn", "raw").groupBy("block")
+    answers = settle(texts.applyInArrow(_ask_words(groups), ASKED).groupBy("grp").applyInArrow(_count_words, ANSWERED))
+    v, n = answers.where("block is null").agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    floor = float(np.log10(n + UNSEEN * (v + 1)))
+    answers = answers.where("block is not null")
+    for level in (1, 2):
+        asked = texts.cogroup(answers.groupBy("block")).applyInArrow(_ask_level(level, groups, floor), ASKED)
+        answers = answers.unionByName(settle(asked.groupBy("grp").applyInArrow(_fit_level(level), ANSWERED)))
     kind = docs.schema[key].dataType.simpleString()
 
-    def score(texts: pa.Table, rows: pa.Table) -> pa.Table:
-        tree = shared.value
-        known, counts = np.array([END]), np.array([n_docs], np.int64)
-        if rows.num_rows:
-            known = np.append(_plain(rows.column("hashes"), np.uint64), known)
-            counts = np.append(_plain(rows.column("counts"), np.int64), counts)
-            order = np.argsort(known)
-            known, counts = known[order], counts[order]
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        tree = SuffixTree.of_block(answers, floor)
         out = [np.zeros(texts.num_rows, t) for t in (np.int64, np.int64, np.float64, np.float64)]
         for i, j, chunk in chunks(texts.column("raw"), lower=True):
             line = Line(chunk)
-            c = counts[np.searchsorted(known, line.hash)]
-            root = np.log10(c + UNSEEN) - tree.floor
+            c = tree.known_count[np.searchsorted(tree.known, line.hash)]
+            root = np.log10(c + UNSEEN) - floor
             out[0][i:j], out[1][i:j] = chunk.n_words + 1, line.per_doc(c > 0)
             out[2][i:j], out[3][i:j] = line.per_doc(root), line.per_doc(tree.score(line, root))
         names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         return pa.table([texts.column("id"), texts.column("held_out"), out[0], out[1], pa.array(np.full(texts.num_rows, n)), out[2], out[3]], names=names)
 
     left = dealt.select("block", "id", "held_out", "raw").groupBy("block")
-    right = answers.where("kind = 1").select(F.col("key").alias("block"), "hashes", "counts").groupBy("block")
-    return left.cogroup(right).applyInArrow(score, f"`{key}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return left.cogroup(answers.groupBy("block")).applyInArrow(score, f"`{key}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
