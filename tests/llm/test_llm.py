@@ -315,6 +315,16 @@ def test_inconsistent_slots_are_no_match():
     assert not list(index.matches(tokens(b"Carl pays Dora what Emil owes and Fred thanks Gina for what Hans and Ines did")))
 
 
+def test_items_of_figures_and_short_items_are_found_literally(spark):
+    items = ["What is 3 + 4 - 5?", "12 30 kg 7 m 19 22 5 cm 81 4 66", "Define entropy", "Alice Bob Carol Dave sing together in the old town hall every evening"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    renamed = "Emma Finn Gina Hugo sing together in the old town hall every evening"
+    texts = [f"before {t} after" for t in [*items, renamed]] + ["What is 3 + 4 - 6?", "12 30 kg 7 m 19 23 5 cm 80 4 67", "define the entropy"]
+    got = {(r.doc_id, r.item_id): r.coverage for r in decontaminate.contaminated(frame(spark, texts), bench).collect()}
+    assert got == {(0, 0): 1, (1, 1): 1, (2, 2): 1, (3, 3): 1, (4, 3): 1}
+    assert {r.doc_id for r in decontaminate.clean(frame(spark, texts), bench).collect()} == {5, 6, 7}
+
+
 def test_blocks_cover_the_benchmark(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 60)
     items = [(i, " ".join(WORDS[i : i + 9])) for i in range(6)]

@@ -4,18 +4,20 @@ Tokens are words without the punctuation around them.  Numbers, units and
 capitalised names become typed placeholders (slots); other tokens count in
 lower case.  Windows of ``WINDOW`` canonical tokens are looked up by hash among
 the windows of the benchmark, so a question whose numbers or names were changed
-still meets its template.  A match then needs
+still meets its template.  Windows of which most tokens are slots would match any
+list of figures; they are looked up by their literal tokens instead.  A match then needs
 
-* ``COVERAGE`` of the item's windows somewhere in the document, and
+* ``COVERAGE`` of the item's windows somewhere in the document: of those with
+  names as slots, of those with names as words, or of all, and
 * consistent slots: each value of the item stands for one value of the
   document in ``CONSISTENT`` of its matched slots.
 
 The benchmark may be of any size: it is taken in blocks of bounded length, and
 each block's index is compared with all documents in one narrow pass.
 
-Defined results: null or empty texts match nothing; an item with fewer than
-``SHORTEST`` tokens matches nothing, one shorter than a window is one window of
-its own length; items with equal texts all match; repeated rows match alike; an
+Defined results: null or empty texts match nothing; an item shorter
+than a window is one window of its own length, with fewer than ``SHORTEST``
+tokens a literal one; an item without a token matches nothing; items with equal texts all match; repeated rows match alike; an
 empty benchmark or document table gives no matches; extra columns are ignored
 (and kept by ``clean``).
 """
@@ -35,8 +37,9 @@ from veristrata.llm.words import Chunk, chunks, mix64
 
 WINDOW = 8
 SHORTEST = 4
-#: A window needs this share of plain tokens; one of slots alone would match any list of names.
+#: A window with less than this share of plain tokens counts by its literal tokens; one of slots alone would match any list of names.
 PLAIN = 0.5
+LITERAL = 2
 COVERAGE = 0.5
 CONSISTENT = 0.75
 #: Characters of benchmark text in one block; its index has at most as many windows.
@@ -82,11 +85,12 @@ class Tokens:
         self.slot = number | unit | title
         figure = number | unit
         #: With names as slots, and with names as plain tokens (for texts in one case, where names can't be told).
-        self.codes = (np.select([number, unit, title], [_SLOT["number"], _SLOT["unit"], _SLOT["name"]], self.value), np.select([number, unit], [_SLOT["number"], _SLOT["unit"]], self.value))
-        self._open = (self.slot, figure)
+        #: Third, literal tokens, for windows that have too many slots in the second form.
+        self.codes = (np.select([number, unit, title], [_SLOT["number"], _SLOT["unit"], _SLOT["name"]], self.value), np.select([number, unit], [_SLOT["number"], _SLOT["unit"]], self.value), self.value)
+        self._open = (self.slot, figure, figure)
 
     def windows(self, width: int, form: int) -> tuple[np.ndarray, np.ndarray]:
-        """``(positions, hashes)`` of windows within one text that have enough plain tokens, in one of two forms."""
+        """``(positions, hashes)`` of windows within one text: with enough plain tokens in one of two forms, the others literally in the third."""
         code, slot = self.codes[form], self._open[form]
         n = len(code) - width + 1
         if n <= 0:
@@ -96,7 +100,10 @@ class Tokens:
         np.cumsum(slot, out=slots[1:])
         for i in range(width):
             key = key * np.uint64(0x9FB21C651E98DF25) + code[i : i + n]
-        good = (self.doc[:n] == self.doc[width - 1 :]) & (slots[width:] - slots[:-width] <= (1 - PLAIN) * width)
+        plain = slots[width:] - slots[:-width] <= (1 - PLAIN) * width
+        if width < SHORTEST:
+            plain[:] = False
+        good = (self.doc[:n] == self.doc[width - 1 :]) & (~plain if form == LITERAL else plain)
         at = np.flatnonzero(good)
         return at, mix64(key[at])
 
@@ -124,16 +131,16 @@ class Index:
         self.values: list[np.ndarray] = []
         self.slots: list[np.ndarray] = []
         by_width: dict[tuple[int, int], dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        self.total = np.zeros(len(items), np.int64)
+        self.total = np.zeros((len(items), 3), np.int64)
         for k, (_, text) in enumerate(items):
             # One text, one chunk.
             (_, _, t), *_ = list(tokens_of(pa.array([text], pa.binary()))) or [(0, 0, None)]
             self.values.append(t.value)
             self.slots.append(t.slot)
             width = min(WINDOW, len(t.value))
-            for form in (0, 1) if width >= SHORTEST else ():
+            for form in range(3) if width else ():
                 at, keys = t.windows(width, form)
-                self.total[k] = max(self.total[k], len(at))
+                self.total[k, form] = len(at)
                 for p, h in zip(at.tolist(), keys.tolist(), strict=True):
                     by_width[(width, form)][h].append((k, p))
         self.by_width = {w: dict(d) for w, d in by_width.items()}
@@ -143,29 +150,38 @@ class Index:
             self.sieve[w] = np.zeros(1 << 20, bool)
             self.sieve[w][keys & np.uint64((1 << 20) - 1)] = True
 
-    def hits(self, t: Tokens) -> Iterator[tuple[int, int, int, int]]:
-        """``(token position, item, item position, width)`` of equal windows."""
+    def hits(self, t: Tokens) -> Iterator[tuple[int, int, int, int, int]]:
+        """``(token position, item, item position, width, form)`` of equal windows."""
         for (w, form), keys in self.sorted.items():
             at, found = t.windows(w, form)
             maybe = np.flatnonzero(self.sieve[(w, form)][found & np.uint64((1 << 20) - 1)])
             place = np.minimum(np.searchsorted(keys, found[maybe]), len(keys) - 1)
             for k in maybe[keys[place] == found[maybe]].tolist():
                 for item, p in self.by_width[(w, form)][int(found[k])]:
-                    yield int(at[k]), item, p, w
+                    yield int(at[k]), item, p, w, form
 
     def matches(self, t: Tokens) -> Iterator[tuple[int, int, float, float]]:
         """``(text, item, coverage, consistency)`` of accepted matches."""
         seen: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-        for at, item, p, w in self.hits(t):
+        places: dict[tuple[int, int], tuple[set, set, set]] = defaultdict(lambda: (set(), set(), set()))
+        for at, item, p, w, form in self.hits(t):
             seen[(int(t.doc[at]), item)].append((at, p, w))
+            places[(int(t.doc[at]), item)][form].add(p)
         for (doc, item), found in seen.items():
-            coverage = len({p for _, p, _ in found}) / self.total[item]
+            coverage = self._coverage(item, *places[(doc, item)])
             if coverage < COVERAGE:
                 continue
             share = self._consistency(t, item, found)
             if share >= CONSISTENT:
                 yield doc, item, coverage, share
 
+    def _coverage(self, item: int, renamed: set, named: set, literal: set) -> float:
+        """The greatest share: of windows with names as slots, of those with figures as slots, and of all."""
+        # What has enough plain tokens with names as slots has them in the second form too.
+        slots, figures, rest = self.total[item].tolist()
+        shares = ((renamed, slots), (renamed | named, figures), (renamed | named | literal, figures + rest))
+        return max(len(places) / n for places, n in shares if n)
+
     def _consistency(self, t: Tokens, item: int, found) -> float:
         """Share of matched slots whose value in the text is the usual one for the item's value."""
         slots, values = self.slots[item], self.values[item]
