@@ -325,6 +325,15 @@ def test_items_of_figures_and_short_items_are_found_literally(spark):
     assert {r.doc_id for r in decontaminate.clean(frame(spark, texts), bench).collect()} == {5, 6, 7}
 
 
+def test_a_passage_of_a_long_item_is_found(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(150)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    texts = [" ".join(["x", *words[40:100], "y"]), " ".join(words[5:18]), " ".join(words[5:17]), " ".join([*words[5:17], "z", *words[60:72]])]
+    got = {r.doc_id: r for r in decontaminate.contaminated(frame(spark, texts), bench).collect()}
+    assert set(got) == {0, 1} and got[0].coverage < decontaminate.COVERAGE
+    assert {r.doc_id for r in decontaminate.clean(frame(spark, texts), bench).collect()} == {2, 3}
+
+
 def test_blocks_cover_the_benchmark(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 60)
     items = [(i, " ".join(WORDS[i : i + 9])) for i in range(6)]

@@ -10,7 +10,9 @@ list of figures; they are looked up by their literal tokens instead.  A match th
 * ``COVERAGE`` of the item's windows somewhere in the document: of those with
   names as slots, of those with names as words, or of all, and
 * consistent slots: each value of the item stands for one value of the
-  document in ``CONSISTENT`` of its matched slots.
+  document in ``CONSISTENT`` of its matched slots;
+
+or ``RUN`` equal tokens of the item in order, however long the item is.
 
 The benchmark may be of any size: it is taken in blocks of bounded length, and
 each block's index is compared with all documents in one narrow pass.
@@ -42,6 +44,8 @@ PLAIN = 0.5
 LITERAL = 2
 COVERAGE = 0.5
 CONSISTENT = 0.75
+#: Literal tokens in a row that are a match by themselves.
+RUN = 13
 #: Characters of benchmark text in one block; its index has at most as many windows.
 BLOCK_CHARS = 8_000_000
 #: Units that count as one placeholder.
@@ -169,11 +173,12 @@ class Index:
             places[(int(t.doc[at]), item)][form].add(p)
         for (doc, item), found in seen.items():
             coverage = self._coverage(item, *places[(doc, item)])
-            if coverage < COVERAGE:
-                continue
-            share = self._consistency(t, item, found)
+            share = self._consistency(t, item, found) if coverage >= COVERAGE else 0.0
             if share >= CONSISTENT:
                 yield doc, item, coverage, share
+            elif self._has_run(t, item, found):
+                # Equal tokens stand for themselves.
+                yield doc, item, coverage, 1.0
 
     def _coverage(self, item: int, renamed: set, named: set, literal: set) -> float:
         """The greatest share: of windows with names as slots, of those with figures as slots, and of all."""
@@ -182,6 +187,23 @@ class Index:
         shares = ((renamed, slots), (renamed | named, figures), (renamed | named | literal, figures + rest))
         return max(len(places) / n for places, n in shares if n)
 
+    def _has_run(self, t: Tokens, item: int, found) -> bool:
+        """Whether ``RUN`` tokens in order are literally equal; windows of every form lead to them."""
+        values = self.values[item]
+        if len(values) < RUN:
+            return False
+        equal: dict[int, set[int]] = defaultdict(set)
+        for at, p, w in found:
+            equal[at - p].update(k for k in range(p, p + w) if values[k] == t.value[at - p + k])
+        for places in equal.values():
+            length, last = 0, None
+            for k in sorted(places):
+                length = length + 1 if last == k - 1 else 1
+                if length >= RUN:
+                    return True
+                last = k
+        return False
+
     def _consistency(self, t: Tokens, item: int, found) -> float:
         """Share of matched slots whose value in the text is the usual one for the item's value."""
         slots, values = self.slots[item], self.values[item]
