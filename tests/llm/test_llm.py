@@ -179,6 +179,17 @@ def test_language_id(spark):
     assert [r.lang_pred for r in langid.identify(frame(spark, ["a", None]), none, "doc_id").collect()] == ["und", "und"]
 
 
+def test_every_language_label_is_learned(spark):
+    names = [f"l{i:02d}" for i in range(70)]
+    lang = {i: names[i // 2] for i in range(140)}
+    # Each language has three letters of its own, in its own part of the alphabets.
+    texts = ["".join(chr(0x4E00 + 64 * (i // 2) + k) for k in range(3)) * 4 for i in range(140)]
+    df = frame(spark, texts, lang=lang)
+    sample = langid.training_sample(df, F.lit(True))
+    model = langid.train(sample)
+    assert sorted({name for name, _ in sample}) == model.languages == names
+
+
 def brute_rule(url):
     host, path = url_filters.split_url(url)
     fits = [(len(t), a, t) for a, t in url_filters.HOST_RULES if (host == t.split("/", 1)[0] or host.endswith("." + t.split("/", 1)[0])) and path.startswith("/" + t.split("/", 1)[1])]

@@ -26,12 +26,15 @@ from pyspark.sql import functions as F
 from veristrata.llm.session import bounded_batches, crc_mod, table
 from veristrata.llm.words import chunks
 
-#: Bounds of the training sample: documents a language, characters of each (a window at a hashed place), languages.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_LANGUAGES = 96, 2000, 64
+#: Bounds of the training sample: documents a language, characters of each (a window at a hashed place).
+SAMPLE_DOCS, SAMPLE_CHARS = 96, 2000
+#: Words that are read in training, for each language.
+SAMPLE_WORDS = 15_000
 HIDDEN = 12
 #: A longer word is read in pieces of this many bytes, all of them.
 PIECE = 48
-CACHE_WORDS = 300_000
+#: Words kept with their scores, and words run at once, of up to 64 languages; of more languages accordingly fewer.
+CACHE_WORDS, RUN_WORDS = 300_000, 4096
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -95,9 +98,10 @@ class BiGRU:
         logits -= np.log(np.exp(logits).sum(axis=2, keepdims=True))
         return logits, inside
 
-    def word_scores(self, codes: np.ndarray, lengths: np.ndarray, block: int = 4096) -> np.ndarray:
+    def word_scores(self, codes: np.ndarray, lengths: np.ndarray, block: int = RUN_WORDS) -> np.ndarray:
         """Sum over each word's positions of the log probabilities, (n, L)."""
         order = np.argsort(-lengths, kind="stable")
+        block = max(1, block * 64 // max(64, self.labels))
         out = np.zeros((len(lengths), self.labels), np.float64)
         for i in range(0, len(order), block):
             rows = order[i : i + block]
@@ -203,7 +207,7 @@ class Identifier:
         if len(new):
             lengths = ends[new] - starts[new]
             out[~hit] = self.net.word_scores(byte_matrix(chunk.buf, starts[new], lengths), lengths)
-            if len(self._known) + len(new) <= CACHE_WORDS:
+            if len(self._known) + len(new) <= CACHE_WORDS * 64 // max(64, len(self.languages)):
                 where = np.searchsorted(self._known, hashes[~hit])
                 self._known, self._scores = np.insert(self._known, where, hashes[~hit]), np.insert(self._scores, where, out[~hit], axis=0)
         return out, which
@@ -226,9 +230,8 @@ def training_sample(docs: DataFrame, learn) -> list[tuple[str, bytes]]:
     spark = docs.sparkSession
     seen = F.xxhash64(F.lit("langid"), F.col("doc_id"))
     labelled = docs.where(F.col("lang").isNotNull() & learn)
-    frequent = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_LANGUAGES).select("lang")
     chosen = labelled.select("lang", "doc_id", seen.alias("h")).groupBy("lang", F.pmod("h", F.lit(SAMPLE_DOCS)).alias("k")).agg(F.min(F.struct("h", "doc_id")).alias("m"))
-    ids = [(r.lang, r.doc_id) for r in chosen.join(F.broadcast(frequent), "lang").select("lang", "m.doc_id").collect()]
+    ids = [(r.lang, r.doc_id) for r in chosen.select("lang", "m.doc_id").collect()]
     if not ids:
         return []
     small = spark.createDataFrame(ids, labelled.select("lang", "doc_id").schema)
@@ -238,8 +241,10 @@ def training_sample(docs: DataFrame, learn) -> list[tuple[str, bytes]]:
     return sorted((r.lang, r.t.encode("utf-8", "surrogatepass")) for r in rows.collect() if r.t)
 
 
-def train(sample: list[tuple[str, bytes]], most_words: int = 60_000) -> Identifier:
+def train(sample: list[tuple[str, bytes]], most_words: int | None = None) -> Identifier:
+    """A network for every language of the sample, from ``SAMPLE_WORDS`` words a language if not told otherwise."""
     languages = sorted({lang for lang, _ in sample})
+    most_words = SAMPLE_WORDS * len(languages) if most_words is None else most_words
     if not languages:
         return Identifier([], None)
     parts, targets = [], []
