@@ -6,7 +6,7 @@ the next one's ``docs``.  All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veristrata.llm import decontaminate, langid, mixing, near_dedup, pii
@@ -26,10 +26,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each group of near copies: five-word shingles, similarity 0.8."""
-    found = near_dedup.near_duplicates(docs, k=5)
-    drop = settle(found.where(~F.col("kept")).select(F.col("doc_id")).distinct())
-    return near_dedup.join_checked(docs, drop, ["doc_id"], "left_anti")
+    """Keep the row of the smallest id of each group of near copies: five-word shingles, similarity 0.8.
+
+    Rows are told apart by id (null ids last), text and their number among equal ones, so that repeated rows, rows
+    without an id and several texts of one id are judged each.
+    """
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    # Ties of this order are the same in every column.
+    number = F.row_number().over(Window.partitionBy("doc_id", text).orderBy(*[c for c in docs.columns if c != "doc_id"]))
+    row = F.struct(F.isnull("doc_id").alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), text.alias("text_key"), number.alias("number"))
+    rows = docs.withColumn("_row", row)
+    found = near_dedup.near_duplicates(rows, k=5, key="_row")
+    drop = settle(found.where(~F.col("kept")).select("_row"))
+    return near_dedup.join_checked(rows, drop, ["_row"], "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

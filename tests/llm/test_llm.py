@@ -421,6 +421,16 @@ def test_licenses_equal_brute_force(spark):
     assert licenses.scan(df.limit(0)).count() == 0 and licenses.scan(df.unionByName(df)).count() == 2 * len(files)
 
 
+def test_pipeline_drops_copies_by_row(spark):
+    import corpus_pipeline
+
+    copy, other = " ".join(WORDS), " ".join(reversed(WORDS))
+    rows = [(1, copy), (1, copy), (None, copy), (None, copy), (2, copy), (2, other), (None, "a text of its own"), (3, None)]
+    df = spark.createDataFrame([(i, t, None, None, None, "x", 7) for i, t in rows], DOCS)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
+    assert Counter(got) == Counter([(1, copy), (2, other), (None, "a text of its own"), (3, None)])
+
+
 def test_pipeline(spark):
     import os
 
