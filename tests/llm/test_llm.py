@@ -138,6 +138,35 @@ def test_near_duplicates_equal_brute_force(spark, k):
     assert all(r.kept == (r.component_id == r.doc_id) for r in rows.values())
 
 
+def test_a_large_family_just_below_the_threshold_loses_no_link(spark):
+    """2,000 copies of one text of 150 words with 4 to 13 words replaced, of which some repeat another copy's changes."""
+    rng = random.Random(33)
+    base, texts = [f"w{i}" for i in range(150)], []
+    for i in range(2000):
+        copy = list(base)
+        if i % 10 == 0 and i:
+            copy = texts[rng.randrange(i)].split()
+        for _ in range(rng.randint(4, 13) if i % 10 else rng.randint(1, 6)):
+            copy[rng.randrange(150)] = f"x{i}y{rng.randrange(40)}" if rng.random() < 0.8 else rng.choice(base)
+        texts.append(" ".join(copy))
+    ids: dict = {}
+    rows = [[ids.setdefault(pair, len(ids)) for pair in zip(t.split(), t.split()[1:], strict=False)] for t in texts]
+    marks = np.zeros((2000, len(ids)), np.float32)
+    for i, r in enumerate(rows):
+        marks[i, r] = 1
+    both, n = marks @ marks.T, marks.sum(axis=1)
+    near = 100 * both >= 80 * (n[:, None] + n[None, :] - both)
+    want = np.arange(2000)
+    while True:
+        least = np.where(near, want[None, :], 2000).min(axis=1)
+        if (least == want).all():
+            break
+        want = least
+    assert 20 < len(set(want.tolist())) < 1900 and near.sum() > 4000
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, texts), k=2).collect()}
+    assert [got[i] for i in range(2000)] == want.tolist()
+
+
 def test_near_duplicates_of_nothing_and_of_repeated_rows(spark):
     assert near_dedup.near_duplicates(frame(spark, []), k=2).count() == 0
     df = frame(spark, ["a b c", "a b c", "x"])

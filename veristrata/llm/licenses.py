@@ -28,8 +28,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veristrata.llm.near_dedup import join_checked
-from veristrata.llm.session import settle, table
+from veristrata.llm.session import join_checked, settle, table
 
 MIN_COSINE = 0.7
 TOKEN = "[a-z0-9]+(?:[.][0-9]+)*"

@@ -6,22 +6,32 @@
    (optimal densification).  ``ROWS`` bins make a band.
 2. Texts with equal sets are one *node*, so exact copies never meet in pairs.
 3. A bucket (nodes with an equal band) proposes a star: each member with the
-   bucket's most central node, whose buckets hold most nodes.  So candidates
-   grow with members, not their square.
+   bucket's most central node (the hub), whose buckets hold most nodes.  So
+   candidates grow with members, not their square.
 4. Every proposed link is confirmed on the full sets.  First each node is
    tested with one hub only; what the resulting groups already connect needs
    no further test.
-5. A bucket whose members are still in several groups gets new hubs from the
-   members that have not been hubs yet, HUB_GROWTH times as many each round, until
-   none is left.  Thus all links inside buckets count, whatever hub came first.
-
-Two sets at the threshold 0.8 share no band with probability
-``(1 - 0.8**ROWS) ** BANDS`` = 2e-6, less for more similar ones.
+5. Where a star leaves its bucket in several groups, two members of different
+   groups may still be alike.  Then their *differences* from the hub (shingles
+   that only one of the two sets holds) must overlap: with sets of sizes a and
+   b, differences x and y and q = (100 - percent) / (100 + percent), a link
+   means a symmetric difference of at most q (a + b), hence an overlap of at
+   least (x + y - q (a + b)) / 2; and x > q (a + hub size) for a member that is
+   not linked with the hub.  So at least half of either difference is shared, and
+   a prefix of each, in the order of their rarity among the hub's members, must
+   meet (prefix filter, then the positions of the meeting token).  The family's
+   common core is in no difference, so large families of texts just below the
+   threshold give few candidates.  Those are confirmed on the full sets too.
+
+The bounds of step 5 are exact: no link inside a bucket is lost.  Two sets at
+the threshold 0.8 share no band with probability ``(1 - 0.8**ROWS) ** BANDS`` =
+2e-6, less for more similar ones.
 
 Defined results: a text without words (or null) has an empty set and links
-with nothing; rows that repeat an id are linked by their texts like any
-others; a null id never becomes a group's id; extra columns are ignored, an
-empty table gives an empty result.
+with nothing; a very long text is one set of all its shingles; rows that repeat
+an id are linked by their texts like any others; equal texts (ties) share a
+group, whose id is its smallest; a null id never becomes a group's id; extra
+columns are ignored whatever their names, an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,16 +43,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veristrata.llm.session import bounded_batches, settle, table, with_bytes
+from veristrata.llm.session import bounded_batches, join_checked, release, settle, table, with_bytes
 from veristrata.llm.words import Chunk, chunks, mix64
 
 ROWS, BANDS = 8, 72
 BINS = ROWS * BANDS
-#: Most rows of (id, text key) that may be broadcast: 24 bytes each.
-BROADCAST_ROWS = 2_000_000
-HUB_GROWTH = 32
-#: Sets of at most this many shingles may travel with their rows into a join.
-SMALL = 512
+#: Members of a hub that are compared with one copy of its set.
+HUB_ROWS = 1000
 
 _rng = np.random.Generator(np.random.PCG64(71993))
 #: Column j lists the bins from which bin j borrows, in order; ORDER holds each bin's place there.
@@ -144,11 +151,6 @@ def _sets(k: int):
     return run
 
 
-def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join a settled small side: broadcast if it has few rows, else by shuffling both."""
-    return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
-
-
 def _roots(parents: DataFrame) -> DataFrame:
     """``(node, comp)`` of a settled forest whose parents are smaller than their children, by pointer jumping."""
     at = parents
@@ -188,58 +190,96 @@ def merge_groups(labels: DataFrame | None, edges: DataFrame) -> DataFrame | None
 
 def near_groups(docs: DataFrame, k: int, percent: int = 80, key: str = "doc_id") -> tuple[DataFrame, DataFrame | None]:
     """``(signatures, labels)``: a row per document with its node, and nodes' groups."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     keyed = docs.select(F.col(key).alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key"), F.col("text"))
     sigs = settle(with_bytes(keyed, "id", "text_key").mapInArrow(_signatures(k), f"id {kind}, text_key bigint, n bigint, node bigint, bands array<bigint>"))
     nodes = sigs.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
     rows = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo < _hi").select("bucket")
-    pending = settle(rows.join(shared, "bucket"))
-    labels, hubs_each, sets, small = None, 1, None, None
-    pending = pending.withColumn("comp", F.col("node"))
-    while pending.head(1):
-        # The most central member leads: the one whose buckets hold most nodes, as the text that others were copied from does.
-        sizes = pending.groupBy("bucket").agg(F.count("*").alias("_m"))
-        central = pending.join(sizes, "bucket").groupBy("node").agg(F.sum("_m").alias("reach"))
-        ranked = settle(pending.join(central, "node"))
-        lead = F.max(F.struct("reach", "node", "n", "comp")).alias("h")
-        hubs = ranked.groupBy("bucket", F.pmod(F.hash("node"), F.lit(hubs_each)).alias("_s")).agg(lead)
-        hubs = settle(hubs.select("bucket", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.reach").alias("hub_reach"), F.col("h.comp").alias("hub_comp")))
-        fits = F.expr(f"comp <> hub_comp and 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")
-        if sets is None:
-            sets = settle(_full_sets(keyed, sigs, pending.select("node").distinct(), k))
-            rows, leads = ranked, hubs
-        else:
-            # What stars leave over is mostly unlike; small sets are compared within the join, so only links come out of it.
-            small = settle(sets.where(F.size("shingles") <= SMALL).select("node", F.col("shingles").alias("few"))) if small is None else small
-            rows = ranked.join(small, "node", "left")
-            leads = hubs.join(small.select(F.col("node").alias("hub"), F.col("few").alias("hub_few")), "hub", "left")
-            both = F.size(F.array_intersect("few", "hub_few"))
-            fits = fits & (F.col("few").isNull() | F.col("hub_few").isNull() | (100 * both >= percent * (F.col("n") + F.col("hub_n") - both)))
-        pairs = settle(rows.join(leads, (rows["bucket"] == leads["bucket"]) & fits).groupBy(F.col("node").alias("b"), F.col("hub").alias("a")).agg(F.first("hub_reach").alias("hub_reach")))
-        if small is None:
-            # First one link a node: what the resulting groups connect needs no further test.
-            one = pairs.groupBy("b").agg(F.max_by("a", F.struct("hub_reach", "a")).alias("a"))
-            labels = merge_groups(labels, _confirmed(one, sets, percent))
-            rest = pairs.select("a", "b", F.col("a").alias("_a"), F.col("b").alias("_b"))
-            rest = _labelled(_labelled(rest, labels, "_a"), labels, "_b").where("_a <> _b").select("a", "b")
-            pairs = rest.join(one.select("a", "b"), ["a", "b"], "left_anti")
-        labels = merge_groups(labels, _confirmed(pairs.select("a", "b"), sets, percent))
-        left = pending.join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti").withColumn("comp", F.col("node"))
-        left = _labelled(left, labels, "comp")
-        split = left.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("bucket")
-        pending, hubs_each = settle(left.join(split, "bucket").select("bucket", "node", "n", "comp")), hubs_each * HUB_GROWTH
+    members = settle(rows.join(shared, "bucket"))
+    if not members.head(1):
+        release(members)
+        return sigs, None
+    sets = settle(_full_sets(keyed, sigs, members.select("node").distinct(), k))
+    stars = _stars(members)
+    labels = _star_links(stars, sets, percent)
+    labels = merge_groups(labels, _beyond_stars(stars, sets, labels, percent))
+    release(members, stars, sets)
     return sigs, labels
 
 
+def _stars(members: DataFrame) -> DataFrame:
+    """``bucket, node, n, hub, hub_n, reach``: every member of a bucket but its hub, which is the member whose buckets hold most nodes, as the text that others were copied from does."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("_m"))
+    central = members.join(sizes, "bucket").groupBy("node").agg(F.sum("_m").alias("reach"))
+    lead = F.max(F.struct("reach", "node", "n")).alias("h")
+    hubs = settle(members.join(central, "node").groupBy("bucket").agg(lead).select("bucket", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.reach").alias("reach")))
+    stars = settle(members.join(hubs, "bucket").where("node <> hub"))
+    release(hubs)
+    return stars
+
+
+def _star_links(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Groups by the links between members and their hubs."""
+    fits = f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
+    pairs = settle(stars.where(fits).groupBy(F.col("node").alias("b"), F.col("hub").alias("a")).agg(F.first("reach").alias("reach")))
+    # First one link a node: what the resulting groups connect needs no further test.
+    one = pairs.groupBy("b").agg(F.max_by("a", F.struct("reach", "a")).alias("a"))
+    labels = merge_groups(None, _confirmed(one, sets, percent))
+    rest = pairs.select("a", "b", F.col("a").alias("_a"), F.col("b").alias("_b"))
+    rest = _labelled(_labelled(rest, labels, "_a"), labels, "_b").where("_a <> _b").select("a", "b")
+    labels = merge_groups(labels, _confirmed(rest.join(one.select("a", "b"), ["a", "b"], "left_anti"), sets, percent))
+    release(pairs)
+    return labels
+
+
+def _beyond_stars(stars: DataFrame, sets: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between members of one bucket that are in different groups after the stars."""
+    less, more = 100 - percent, 100 + percent
+    at = settle(_labelled(stars.withColumn("comp", F.col("node")), labels, "comp"))
+    split = settle(at.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("bucket"))
+    spokes = settle(at.join(split, "bucket").select("hub", "hub_n", "node", "n", "comp"))
+    spokes = settle(_labelled(spokes.distinct().withColumn("hub_comp", F.col("hub")), labels, "hub_comp"))
+    release(at, split)
+    # A hub with many members is compared in parts, each with a copy of its set.
+    parts = spokes.groupBy("hub").agg(F.count("*").alias("_m")).select("hub", F.ceil(F.col("_m") / HUB_ROWS).alias("_parts"))
+    copies = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("_of_hub")).join(parts, "hub")
+    copies = copies.select("hub", "_parts", "_of_hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part"))
+    dealt = spokes.join(parts, "hub").withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_parts"))).drop("_parts").join(sets, "node")
+    both = dealt.join(copies.drop("_parts"), ["hub", "_part"])
+    off = F.concat(F.array_except("shingles", "_of_hub"), F.array_except("_of_hub", "shingles"))
+    differ = settle(both.select("hub", "node", "n", "comp", (F.col("comp") == F.col("hub_comp")).alias("near"), "hub_n", off.alias("off")))
+    tokens = differ.select("hub", "node", F.explode("off").alias("token"))
+    often = tokens.groupBy("hub", "token").agg(F.count("*").alias("_times")).where("_times > 1")
+    ranked = tokens.join(often, ["hub", "token"]).groupBy("hub", "node").agg(F.array_sort(F.collect_list(F.struct("_times", "token"))).alias("ranked"))
+    # Tokens of one member alone come first in the order and meet nothing.
+    x, alone = F.size("off"), F.size("off") - F.size("ranked")
+    half = x - F.floor((x + (F.col("hub_n") - F.col("n")) * F.lit(less) / F.lit(more)) / 2 - 1e-9)
+    long = F.least(x, F.floor(F.col("n") * F.lit(less / more * (1 + 100 / percent)) + 1e-9) + 1)
+    # Of two members in different groups one is not linked with the hub, so the other's half holds; a member in the hub's group meets only others.
+    cut = differ.join(ranked, ["hub", "node"]).select("hub", "node", "n", "comp", "near", x.alias("x"), alone.alias("alone"), "ranked", F.least(half, long).alias("half"), F.when(F.col("near"), F.least(half, long)).otherwise(long).alias("upto"))
+    prefix = cut.withColumn("_r", F.slice("ranked", 1, F.greatest(F.col("upto") - F.col("alone"), F.lit(0)).cast("int")))
+    prefix = settle(prefix.select("hub", "node", "n", "comp", "near", "x", "half", "alone", F.posexplode("_r")).select("hub", "node", "n", "comp", "near", "x", "half", F.col("col.token").alias("token"), (F.col("alone") + F.col("pos")).alias("at")))
+    a, b = prefix.alias("a"), prefix.alias("b")
+    first = "a.node < b.node and a.comp <> b.comp"
+    sized = f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) and {more} * abs(a.x - b.x) <= {less} * (a.n + b.n)"
+    inside = "if(a.near or b.near, (not a.near or a.at < a.half) and (not b.near or b.at < b.half), a.at < a.half and b.at < b.half)"
+    placed = f"2 * {more} * least(a.x - a.at, b.x - b.at) >= {more} * (a.x + b.x) - {less} * (a.n + b.n)"
+    meet = F.expr(f"a.hub = b.hub and a.token = b.token and {first} and {sized} and {inside} and {placed}")
+    found = settle(a.join(b, meet).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
+    links = _confirmed(found.distinct(), sets, percent)
+    release(spokes, differ, prefix, found)
+    return links
+
+
 def _full_sets(keyed: DataFrame, sigs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """``(node, shingles)`` of one document per wanted node, from its text."""
     chosen = sigs.where("n > 0").join(wanted, "node").groupBy("node").agg(F.min(F.struct("text_key", F.col("id"))).alias("r"))
     chosen = settle(chosen.select("node", F.col("r.text_key").alias("text_key"), F.coalesce(F.hash("r.id"), F.lit(0)).alias("_i")))
     texts = join_checked(keyed.withColumn("_i", F.coalesce(F.hash("id"), F.lit(0))), chosen, ["text_key", "_i"])
-    return with_bytes(texts, "node").mapInArrow(_sets(k), "node bigint, shingles array<bigint>")
+    # Rows that repeat an id and its text give a set each.
+    return with_bytes(texts, "node").mapInArrow(_sets(k), "node bigint, shingles array<bigint>").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

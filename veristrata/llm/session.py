@@ -1,4 +1,4 @@
-"""What the operators need of a session: a shared folder, bounded batches, sources."""
+"""What the operators need of a session: a shared folder, bounded batches, sources, checked broadcasts."""
 
 from __future__ import annotations
 
@@ -7,9 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 #: Bytes of one Arrow batch sent to a Python worker; a longer single text is one batch.
 BATCH_BYTES = 4 << 20
+#: A side of a join is broadcast up to this size.
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,26 +25,67 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (as in tests), one of our own."""
+    """The folder named by ``spark.checkpoint.dir``; a session on one machine that names none (as in tests) gets one of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into a table in the shared folder and read it from there.
 
     The table has true statistics, so that later joins are planned by its real
-    size, and survives lost executors; it goes when the session ends.
+    size, and survives lost executors; it goes when it is released or the session ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/settled/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    place, files = _hadoop_path(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more."""
+    for t in tables:
+        place, files = _hadoop_path(t.sparkSession, t._settled_at)
+        files.delete(place, True)
+
+
+def size_in_bytes(df: DataFrame) -> int:
+    """Rows at eight bytes a plain field, and what strings hold."""
+    strings = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, (StringType, BinaryType))]
+    held = F.lit(16 * len(df.columns))
+    for s in strings:
+        held = held + s
+    return df.agg(F.sum(held)).first()[0] or 0
+
+
+def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join with a settled small side: broadcast if its bytes are bounded, else by shuffling both."""
+    return big.join(F.broadcast(small) if size_in_bytes(small) <= BROADCAST_BYTES else small, on, how)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like the wanted ones that ``df`` doesn't have, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def with_bytes(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
