@@ -320,6 +320,49 @@ def test_flow_repeats_only_what_single_passes_cannot_fill():
     assert sum(flow.values()) == 15 and max(flow[(("a",), "a")], 0) <= 10
 
 
+def test_flow_is_the_cheapest_of_all(spark):
+    """Random small networks against every split of every pattern: most words, then fewest repeats."""
+    rng = random.Random(17)
+    for _ in range(40):
+        names = ["a", "b", "c"][: rng.randint(1, 3)]
+        pool = [p for n in range(1, len(names) + 1) for p in itertools.combinations(names, n)]
+        capacity = {p: rng.randint(0, 3) for p in rng.sample(pool, min(len(pool), 3))}
+        quota = {s: rng.randint(0, 5) for s in names}
+        splits = [[x for x in itertools.product(range(2 * n + 1), repeat=len(p)) if sum(x) <= 2 * n] for p, n in capacity.items()]
+        best = (0, 0)
+        for pick in itertools.product(*splits):
+            into = Counter()
+            for p, x in zip(capacity, pick, strict=True):
+                into.update(dict(zip(p, x, strict=True)))
+            if all(into[s] <= quota[s] for s in names):
+                repeats = sum(max(0, sum(x) - n) for x, n in zip(pick, capacity.values(), strict=True))
+                best = max(best, (sum(into.values()), -repeats))
+        flow = mixing.route(capacity, quota)
+        used = {p: sum(n for (q, _), n in flow.items() if q == p) for p in capacity}
+        assert (sum(flow.values()), -sum(max(0, used[p] - capacity[p]) for p in capacity)) == best
+        assert all(used[p] <= 2 * capacity[p] for p in capacity)
+
+
+def test_mix_of_overlapping_sources(spark):
+    """A document of two sources serves the one that its own documents can't fill."""
+    rng = random.Random(18)
+    rows = [(i, "w " * rng.randint(1, 20), ["a"] if i % 10 else ["a", "b"]) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, at array<string>")
+    out = mixing.mix(df, F.col("at")).collect()
+    again = {r.doc_id: r.taken for r in mixing.mix(df.repartition(5), F.col("at")).collect()}
+    assert len(out) == 600 and again == {r.doc_id: r.taken for r in out} and all(r.taken <= 2 * r.size for r in out)
+    total = {s: sum(r.size for r in out if s in r.at) for s in "ab"}
+    want = sum(min(t, 2 * total[s]) for s, t in mixing.source_targets(total).items())
+    assert abs(sum(r.taken for r in out) - min(want, 2 * sum(r.size for r in out))) <= 45
+
+
+def test_repeated_ids_are_taken_alike(spark):
+    rows = [(i % 7, "w " * (i % 5 + 1), "a" if i % 3 else "b") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [Counter((r.doc_id, r.size, r.taken) for r in mixing.mix_by_source(df.repartition(n)).collect()) for n in (1, 3, 6)]
+    assert runs[0] == runs[1] == runs[2]
+
+
 def test_mix_takes_near_its_targets(spark):
     rng = random.Random(8)
     source = {i: rng.choice(["a", "a", "a", "b", "c", None]) for i in range(400)}
@@ -348,11 +391,10 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(frame(spark, texts), bench.limit(0)).count() == 0 and decontaminate.contaminated(frame(spark, []), bench).count() == 0
 
 
-def test_inconsistent_slots_are_no_match():
-    index = decontaminate.Index([(1, b"Anna pays Bert what Anna owes and Bert thanks Anna for what Anna and Bert did")])
-    tokens = lambda t: next(decontaminate.tokens_of(pa.array([t], pa.binary())))[2]
-    assert list(index.matches(tokens(b"Carl pays Dora what Carl owes and Dora thanks Carl for what Carl and Dora did")))
-    assert not list(index.matches(tokens(b"Carl pays Dora what Emil owes and Fred thanks Gina for what Hans and Ines did")))
+def test_inconsistent_slots_are_no_match(spark):
+    bench = spark.createDataFrame([(1, "Anna pays Bert what Anna owes and Bert thanks Anna for what Anna and Bert did")], "item_id long, text string")
+    texts = ["Carl pays Dora what Carl owes and Dora thanks Carl for what Carl and Dora did", "Carl pays Dora what Emil owes and Fred thanks Gina for what Hans and Ines did"]
+    assert [r.doc_id for r in decontaminate.contaminated(frame(spark, texts), bench).collect()] == [0]
 
 
 def test_items_of_figures_and_short_items_are_found_literally(spark):
@@ -374,13 +416,85 @@ def test_a_passage_of_a_long_item_is_found(spark):
     assert {r.doc_id for r in decontaminate.clean(frame(spark, texts), bench).collect()} == {2, 3}
 
 
-def test_blocks_cover_the_benchmark(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 60)
-    items = [(i, " ".join(WORDS[i : i + 9])) for i in range(6)]
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    assert sum(len(b.items) for b in decontaminate.blocks(bench)) == 6
-    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, [t for _, t in items]), bench).collect()}
-    assert {(i, i) for i in range(6)} <= got
+def test_item_ids_of_any_type_null_and_repeated(spark):
+    items = [("x", QUESTION), (None, QUESTION), ("x", QUESTION), ("y", None)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    docs = frame(spark, [f"a b {QUESTION}", "nothing here"])
+    got = decontaminate.contaminated(docs.unionByName(docs), bench).collect()
+    assert Counter((r.doc_id, r.item_id) for r in got) == {(0, "x"): 4, (0, None): 2}
+
+
+def brute_decontaminate(texts, items):
+    """The rules in plain Python, from the words on; tokens in ASCII."""
+    units = set(decontaminate.UNITS)
+
+    def canon(t):
+        out = []
+        for w in words_of(t):
+            w = re.sub("^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "", w.decode())
+            if w:
+                low = w.lower()
+                kind = "#n" if w[0].isdigit() else "#u" if low in units else "#t" if w[0].isupper() and (len(w) == 1 or re.search("[a-z]", w[1:])) else None
+                out.append((low, kind))
+        return out
+
+    def windows(toks, width):
+        found = {}
+        for p in range(len(toks) - width + 1):
+            w = toks[p : p + width]
+            for form, slots in ((0, ("#n", "#u", "#t")), (1, ("#n", "#u"))):
+                if width >= decontaminate.SHORTEST and sum(k in slots for _, k in w) <= width / 2:
+                    found.setdefault((form, tuple(k if k in slots else v for v, k in w)), []).append(p)
+            if width < decontaminate.SHORTEST or sum(k in ("#n", "#u") for _, k in w) > width / 2:
+                found.setdefault((2, tuple(v for v, _ in w)), []).append(p)
+        return found
+
+    out = set()
+    for j, item in enumerate(items):
+        it = canon(item)
+        width = min(decontaminate.WINDOW, len(it))
+        if not width:
+            continue
+        mine = windows(it, width)
+        total = [sum(len(ps) for (f, _), ps in mine.items() if f == k) for k in range(3)]
+        for i, text in enumerate(texts):
+            doc = canon(text)
+            theirs = windows(doc, width)
+            met = [(f, p, a) for key, ps in mine.items() for a in theirs.get(key, ()) for p in ps for f in [key[0]]]
+            places = lambda *fs: len({p for f, p, _ in met if f in fs})  # noqa: E731, B023
+            shares = [n / of for n, of in ((places(0), total[0]), (places(0, 1), total[1]), (places(0, 1, 2), total[1] + total[2])) if of]
+            cells = {(p - a, p + k): (it[p + k], doc[a + k]) for _, p, a in met for k in range(width)}
+            by_copy = {}
+            for (shift, _), (m, d) in cells.items():
+                if m[1]:
+                    by_copy.setdefault(shift, {}).setdefault(m[0], Counter())[d[0]] += 1
+            same = max((sum(max(c.values()) for c in u.values()) / sum(sum(c.values()) for c in u.values()) for u in by_copy.values()), default=1.0)
+            run = max((len(list(g)) for s in {s for s, _ in cells} for _, g in itertools.groupby(enumerate(sorted(k for z, k in cells if z == s and cells[z, k][0][0] == cells[z, k][1][0])), lambda x: x[1] - x[0])), default=0)
+            if (max(shares, default=0) >= decontaminate.COVERAGE and same >= decontaminate.CONSISTENT) or run >= decontaminate.RUN:
+                out.add((i, j))
+    return out
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(21)
+    names = ["Anna", "Bert", "Carl", "Dora", "Emil"]
+    word = lambda: rng.choice([rng.choice(WORDS[:12]), rng.choice(WORDS[:12]), rng.choice(names), str(rng.randint(1, 9)), rng.choice(["kg", "days"])])
+    items = [" ".join(word() for _ in range(rng.choice([2, 5, 9, 14, 30]))) for _ in range(25)]
+    texts = []
+    for _ in range(60):
+        parts = [word() for _ in range(rng.randint(0, 20))]
+        it = rng.choice(items).split()
+        a = rng.randint(0, len(it) // 2)
+        piece = it[a:] if rng.random() < 0.4 else it
+        swap = dict(zip(names, rng.sample(names, 5), strict=True)) if rng.random() < 0.5 else {}
+        piece = [swap.get(w, str(rng.randint(1, 9)) if w.isdigit() and rng.random() < 0.3 else w) for w in piece]
+        if rng.random() < 0.3:
+            piece[rng.randrange(len(piece))] = word()
+        texts.append(" ".join(parts + piece + [word() for _ in range(rng.randint(0, 5))]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, texts), bench).collect()}
+    want = brute_decontaminate(texts, items)
+    assert got == want and len(want) > 30
 
 
 def test_quality_classifier(spark):
@@ -399,24 +513,37 @@ def test_quality_classifier(spark):
 
 
 def brute_licenses(files):
-    tokens = lambda t: re.findall(licenses.TOKEN, t.lower())
-    vocabulary = {t for _, x in licenses.TEMPLATES for t in tokens(x)}
+    """Cosines of all units with all templates, by plain sums; ``(license, origin)`` of each path."""
+    tokens = lambda t: re.findall("[a-z0-9]+(?:[.][0-9]+)*", t.lower())
+    templates = [*((n, t, False) for n, t in licenses.TEMPLATES), *((n, t, True) for n, t in licenses.TITLES)]
+    vocabulary = {t for _, x, _ in templates for t in tokens(x)}
     found = Counter(t for _, text in files for t in set(tokens(text or "")) & vocabulary)
-    w = licenses.Weights(len(files), found)
+    idf = {t: math.log((len(files) + 1) / (found[t] + 1)) + 1 for t in vocabulary}
+    # The mean is over distinct terms.
+    other = sum(idf.values()) / len(idf)
+
+    def vector(text):
+        v = {t: (1 + math.log(n)) * idf.get(t, other) for t, n in Counter(tokens(text)).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    known = [(n, vector(x), title) for n, x, title in templates]
     own = {}
     for path, text in files:
+        bare = re.sub("^[^A-Za-z0-9]+", "", text or "")
+        units = [(0, i, x) for i, x in enumerate(bare.split("\n"))]
+        units += [(1, i, x) for i, x in enumerate(re.split("\n(?:[^A-Za-z0-9\n]*\n)+", bare)) if "\n" in x]
+        units += [(2, 0, bare)] if "\n" in bare else []
         hits = []
-        for no, line in enumerate((text or "").split("\n")):
-            v = {t: (1 + math.log(n)) * w.idf.get(t, w.other) for t, n in Counter(tokens(line)).items()}
-            norm = math.sqrt(sum(x * x for x in v.values()))
-            dots = Counter()
-            for k, name, t, x in w.rows:
-                dots[(k, name)] += v.get(t, 0) * x
-            best = max(((round(s / norm, 9), -k, name) for (k, name), s in dots.items() if norm), default=(0, 0, None))
-            if best[0] >= licenses.MIN_COSINE:
-                hits.append((best[0], -no, best[2], len(words_of(line))))
+        for kind, no, x in units:
+            v = vector(x) if tokens(x) else {}
+            for wanted in (False, True):
+                best = max(((round(sum(v.get(t, 0) * w for t, w in u.items()), 9), -k, name) for k, (name, u, title) in enumerate(known) if title == wanted), default=(0, 0, None))
+                if best[0] >= licenses.MIN_COSINE and (not wanted or (no == 0 and kind < 2)):
+                    hits.append((best[0], -no, -kind, best[2], len(words_of(x)), wanted))
         if hits:
-            own[path] = (max(hits)[2], 2 * sum(h[3] for h in hits) >= len(words_of(text)))
+            most = max(sum(h[4] for h in hits if h[2] == -k and not h[5]) for k in (0, 1))
+            own[path] = (max(hits)[3], any(h[5] or h[2] == -2 for h in hits) or 2 * most >= len(words_of(text)))
     votes = Counter((p.rsplit("/", 1)[0], name) for p, (name, whole) in own.items() if whole)
     out = {}
     for path, _ in files:
@@ -435,6 +562,26 @@ def brute_licenses(files):
     return out
 
 
+def test_licence_files_and_source_headers(spark):
+    mit = dict(licenses.TEMPLATES[19:20])["MIT"]
+    wrapped = "\n".join(mit[i : i + 70] for i in range(0, len(mit), 70))
+    body = " ".join(f"clause{i % 97} of the terms" for i in range(3000))
+    gpl = [t for n, t in licenses.TEMPLATES if n == "GPL-3.0"][-1]
+    header = "/*\n * tool - does things\n *\n * Copyright (C) 2020 A. Person\n *\n" + "\n".join(" * " + gpl[i : i + 60] for i in range(0, len(gpl), 60)) + "\n */\n" + "int main() { return 0; }\n" * 40
+    files = [
+        ("/a/LICENSE", "MIT License\n\nCopyright (c) 2024 Someone\n\n" + wrapped), ("/a/x.py", "print(1)"),
+        ("/b/LICENSE", "\n    Apache License\n    Version 2.0, January 2004\n    http://www.apache.org/licenses/\n\n" + body), ("/b/deep/er/y.py", "print(2)"),
+        ("/c/COPYING", "   GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n" + body), ("/c/z.c", "int x;"),
+        ("/d/main.c", header), ("/d/other.c", "int y;"),
+        ("/e/LICENSE", mit), ("/e/w.py", None),
+    ]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(files)], "doc_id long, path string, text string")
+    got = {r.path: (r.license, r.origin) for r in licenses.scan(df).collect()}
+    assert got == brute_licenses(files)
+    assert got["/a/x.py"] == ("MIT", "inherited") and got["/b/deep/er/y.py"] == ("Apache-2.0", "inherited") and got["/c/z.c"] == ("GPL-3.0", "inherited")
+    assert got["/d/main.c"] == ("GPL-3.0", "own") and got["/d/other.c"] == (None, None) and got["/e/w.py"] == ("MIT", "inherited")
+
+
 def test_licenses_equal_brute_force(spark):
     rng = random.Random(11)
     notes = [t for _, t in licenses.TEMPLATES]
@@ -483,6 +630,31 @@ def test_pipeline(spark):
     assert all("<EMAIL>" in r.text or r.text == all_texts[r.doc_id] or "<" in r.text for r in out)
 
 
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, letter int, raw string, row_key int, place int, _t string, _spans int, _doc int, _u int, _k int, size int, taken int, kept int, node int, doc_key int"
+
+
+def test_stages_keep_columns_of_any_name_and_all_rows(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(WORDS, k=30)) for _ in range(12)] + ["mail a@b.co " + " ".join(WORDS), None, ""]
+    rows = [(i, x, "en", "s", len(x or ""), 0.5, "zz", 1, "r", 2, 3, "secret a@b.co", 4, 5, 6, 7, 8, 9, 10, 11, 12) for i, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, CLASHING)
+    folder = "/root/testdata/sf0.001"
+    for stage in (corpus_pipeline.language_id, corpus_pipeline.near_duplicates, corpus_pipeline.decontamination, corpus_pipeline.personal_data):
+        if stage is corpus_pipeline.decontamination and not __import__("os").path.isdir(folder):
+            continue
+        out = stage(spark, df, folder)
+        assert out.columns == df.columns
+        got = {r.doc_id: r for r in out.collect()}
+        assert set(range(13)) <= set(got), stage
+        assert all(r[5:] == rows[i][5:] for i, r in got.items()), stage
+        assert stage(spark, df.limit(0), folder).count() == 0
+    assert "<EMAIL>" in {r.doc_id: r.text for r in corpus_pipeline.personal_data(spark, df, "").collect()}[12]
+    mixed = corpus_pipeline.source_mix(spark, df, "")
+    assert {"_u", "_k", "_doc", "score", "target"} <= set(mixed.columns) and all(r["_u"] == 6 for r in mixed.collect())
+
+
 def test_import_guard_is_in_the_entry_alone():
     import __spark_entry__ as entry
 

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 #: Bytes of one Arrow batch sent to a Python worker; a longer single text is one batch.
 BATCH_BYTES = 4 << 20
@@ -65,7 +65,8 @@ def release(*tables: DataFrame) -> None:
 
 def size_in_bytes(df: DataFrame) -> int:
     """Rows at eight bytes a plain field, and what strings hold."""
-    strings = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, (StringType, BinaryType))]
+    strings = [F.coalesce(F.octet_length(col(f.name)), F.lit(0)) for f in df.schema if isinstance(f.dataType, (StringType, BinaryType))]
+    strings += [8 * F.greatest(F.size(col(f.name)), F.lit(0)) for f in df.schema if isinstance(f.dataType, ArrayType)]
     held = F.lit(16 * len(df.columns))
     for s in strings:
         held = held + s
@@ -88,6 +89,11 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def col(name: str):
+    """A column by its whole name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def with_bytes(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """``keep`` and the text as UTF-8 bytes named ``raw``; a null text is empty."""
     return df.select(*[F.col(k) for k in keep], F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("raw"))
