@@ -6,12 +6,16 @@ There a flow network routes word capacity from patterns to the sources'
 quotas: the first pass over a pattern costs nothing, each repetition costs
 more, so repeats are used only for what single passes cannot fill.  Documents
 are then chosen in the order of a seeded hash, by a threshold per pattern that
-two levels of bounded windows find; no whole source is sorted anywhere.
-
-Defined results: a null text has size 0 and is never taken; null sources form
-one source, ordered last; repeated rows of one id stand next to each other in
-the seeded order; an empty table gives an empty mix; extra columns are kept by
-``mix`` unless they carry the name of an output column.
+three levels of bounded sums find; no whole source is sorted anywhere, and the
+thresholds (one row a pattern, of at most ``MAX_PATTERNS``) go to the documents,
+so no document is shuffled.
+
+Defined results: a null or empty text has size 0 and is never taken; a very long
+text counts all its words and is taken or left as a whole; null sources form
+one source, ordered last; repeated rows of one id share a place in the seeded
+order (a tie) and are taken or left together; an empty table gives an empty mix;
+extra columns are kept by ``mix`` whatever their names, unless they carry the name
+of an output column, which takes their place.
 """
 
 from __future__ import annotations
@@ -22,14 +26,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veristrata.llm.session import settle, table
+from veristrata.llm.session import col, settle, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_PASSES = 2
 SEED = "mix-1"
-#: Hash buckets of a pattern; a window holds this many sums, or one bucket's documents.
-BUCKET_BITS = 16
+#: Bits of the seeded hash, and bits by which each of two levels of sums narrows a pattern's threshold.
+HASH_BITS, LEVEL_BITS = 60, 8
+#: Membership patterns that the driver routes; more are refused.
+MAX_PATTERNS = 200_000
 
 
 def n_words(text: str = "text"):
@@ -116,6 +122,32 @@ def seeded(key: str, seed: str = SEED):
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
 
 
+def _limits(rows: DataFrame, plans: DataFrame) -> DataFrame:
+    """``_k, _limit``: the greatest hash of a pattern's rows that its rest of words still takes.
+
+    Two levels narrow a pattern to the bucket in which its rest ends, each by at
+    most 2**LEVEL_BITS sums; the last goes through that bucket's hashes.  ``plans`` and the
+    levels' results have a row a pattern.
+    """
+    edge = plans.where("_rest > 0").select("_k", "_rest", F.lit(0).cast("long").alias("_from"), F.lit(0).cast("long").alias("_before"))
+    for level in (1, 2, 3):
+        width = max(HASH_BITS - level * LEVEL_BITS, 0) if level < 3 else 0
+        inside = F.shiftright("_u", HASH_BITS - (level - 1) * LEVEL_BITS) == F.shiftright("_from", HASH_BITS - (level - 1) * LEVEL_BITS)
+        sums = rows.join(F.broadcast(edge), "_k").where(inside)
+        sums = sums.groupBy("_k", "_rest", "_before", F.shiftright("_u", width).alias("_b")).agg(F.sum("size").alias("n"))
+        upto = W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+        sums = sums.withColumn("_at", F.col("_before") + F.coalesce(F.sum("n").over(upto), F.lit(0)))
+        if level < 3:
+            found = sums.where((F.col("_at") <= F.col("_rest")) & (F.col("_at") + F.col("n") > F.col("_rest")))
+            edge = settle(found.select("_k", "_rest", F.shiftleft("_b", width).alias("_from"), F.col("_at").alias("_before")))
+        else:
+            # The last whose middle is not beyond the rest.
+            taken = sums.groupBy("_k").agg(F.max(F.when(2 * F.col("_at") + F.col("n") <= 2 * F.col("_rest"), F.col("_b"))).alias("_last"))
+            taken = taken.join(F.broadcast(edge.select("_k", "_from")), "_k")
+            return settle(taken.select("_k", F.coalesce("_last", F.col("_from") - 1).alias("_limit")))
+    raise AssertionError
+
+
 def mix(docs: DataFrame, sources, key: str = "doc_id", weights=WEIGHTS, share: float = SHARE, passes: int = MAX_PASSES, seed: str = SEED, texts: bool = True) -> DataFrame:
     """``docs`` (without their texts unless ``texts``) with ``size, source_size, target, taken``.
 
@@ -123,10 +155,16 @@ def mix(docs: DataFrame, sources, key: str = "doc_id", weights=WEIGHTS, share: f
     ``target`` are those of its first source in code point order.
     """
     spark = docs.sparkSession
-    bare = docs.select(*[c for c in docs.columns if c not in ("size", "source_size", "target", "taken")])
-    drawn = bare.withColumns({"size": n_words(), "_u": seeded(key, seed), "_p": F.array_sort(F.array_distinct(sources))})
-    rows = settle(drawn.drop("text")).withColumns({"_b": F.shiftright("_u", 60 - BUCKET_BITS), "_k": F.to_json(F.struct("_p"))})
-    sums = {tuple(r["_p"]): r["n"] for r in rows.groupBy("_p").agg(F.sum("size").alias("n")).collect()}
+    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken") and (texts or c != "text")]
+    member = F.array_sort(F.array_distinct(sources))
+    pattern = F.to_json(F.struct(member.alias("p")))
+    # What the documents carry travels in one column, so that no name of theirs meets one of ours.
+    drawn = docs.select(F.struct(*[col(c) for c in kept]).alias("_doc"), n_words().alias("size"), seeded(key, seed).alias("_u"), member.alias("_p"), pattern.alias("_k"))
+    rows = settle(drawn.drop("_doc"))
+    found = rows.groupBy("_k").agg(F.first("_p").alias("p"), F.sum("size").alias("n")).limit(MAX_PATTERNS + 1).collect()
+    if len(found) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    sums = {tuple(r.p): r.n for r in found}
     sizes: dict = {}
     for p, n in sums.items():
         for s in p:
@@ -134,24 +172,16 @@ def mix(docs: DataFrame, sources, key: str = "doc_id", weights=WEIGHTS, share: f
     targets = source_targets(sizes, weights, share, passes)
     flow = route(sums, {s: int(t + 0.5) for s, t in targets.items()}, passes)
     plan = []
-    for p, n in sums.items():
+    for r in found:
+        p = tuple(r.p)
         words = sum(flow[(p, s)] for s in p)
-        whole = words // n if n else 0
-        plan.append((list(p), sizes[p[0]], targets[p[0]], whole, words - whole * n))
-    kind = rows.schema["_p"].dataType.simpleString()
-    plans = spark.createDataFrame(plan, f"_p {kind}, source_size long, target double, _whole long, _rest long").withColumn("_k", F.to_json(F.struct("_p"))).drop("_p")
-    # Which bucket of each pattern the remainder ends in, from at most 2**BUCKET_BITS sums a pattern.
-    upto = W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    buckets = rows.groupBy("_k", "_b").agg(F.sum("size").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
-    edge = buckets.join(plans.select("_k", "_rest"), "_k").where((F.col("_before") <= F.col("_rest")) & (F.col("_before") + F.col("n") > F.col("_rest"))).select("_k", "_b", "_before", "_rest")
-    # Within that bucket, the documents one by one: the last whose middle is not beyond the remainder.
-    inside = W.partitionBy("_k").orderBy("_u").rowsBetween(W.unboundedPreceding, -1)
-    last = rows.select("_k", "_b", "_u", "size").join(edge, ["_k", "_b"]).withColumn("_at", F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    last = last.groupBy("_k").agg(F.max(F.when(2 * F.col("_at") + F.col("size") <= 2 * F.col("_rest"), F.col("_u"))).alias("_u"), F.first("_b").alias("_b"))
-    limit = plans.join(last.select("_k", F.coalesce("_u", F.shiftleft(F.col("_b"), 60 - BUCKET_BITS) - 1).alias("_limit")), "_k", "left")
-    # Texts are never shuffled or kept: where they are wanted, the limits go to the documents.
-    chosen = (drawn.withColumn("_k", F.to_json(F.struct("_p"))) if texts else rows).join(limit, "_k").withColumn("taken", F.col("size") * (F.col("_whole") + F.when((F.col("_rest") > 0) & (F.col("_u") <= F.col("_limit")), 1).otherwise(0)))
-    return chosen.drop("_p", "_k", "_b", "_u", "_whole", "_rest", "_limit")
+        whole = words // r.n if r.n else 0
+        plan.append((r["_k"], sizes[p[0]], targets[p[0]], whole, words - whole * r.n))
+    plans = spark.createDataFrame(plan, "_k string, source_size long, target double, _whole long, _rest long")
+    limit = plans.join(_limits(rows, plans), "_k", "left")
+    again = F.when((F.col("_rest") > 0) & (F.col("_u") <= F.col("_limit")), 1).otherwise(0)
+    chosen = drawn.join(F.broadcast(limit), "_k")
+    return chosen.select("_doc.*", "size", "source_size", "target", (F.col("size") * (F.col("_whole") + again)).alias("taken"))
 
 
 def mix_by_source(docs: DataFrame, texts: bool = True) -> DataFrame:
