@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
-from veristrata.llm.session import bounded_batches, crc_mod, table
+from veristrata.llm.session import bounded_batches, col, crc_mod, free_names, table
 from veristrata.llm.words import chunks
 
 #: Bounds of the training sample: documents a language, characters of each (a window at a hashed place).
@@ -267,28 +268,29 @@ def train(sample: list[tuple[str, bytes]], most_words: int | None = None) -> Ide
     return Identifier(languages, BiGRU(len(languages)).fit(codes, lengths, target))
 
 
-def identify(docs: DataFrame, model: Identifier, *keep: str) -> DataFrame:
-    """``keep``, ``lang_pred`` and ``score`` of every whole text; one narrow pass."""
+def identify(docs: DataFrame, model: Identifier, *keep: str, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep``, the language and its score (columns ``names``) of every whole text; one narrow pass."""
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    names = np.array([*model.languages, "und"], dtype=object)
+    kept = [col(c) for c in keep]
+    schema = t.StructType([*docs.select(*kept).schema.fields, t.StructField(names[0], t.StringType()), t.StructField(names[1], t.DoubleType())])
+    labels = np.array([*model.languages, "und"], dtype=object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             has, raw = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool), batch.column(at)
-            best, score = np.full(len(raw), len(names) - 1), np.zeros(len(raw))
+            best, score = np.full(len(raw), len(labels) - 1), np.zeros(len(raw))
             if model.net is not None:
                 for i, j, chunk in chunks(raw):
                     best[i:j], score[i:j] = model.predict(chunk)
-            best[~has], score[~has] = len(names) - 1, 0.0
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names[best], pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+            best[~has], score[~has] = len(labels) - 1, 0.0
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(labels[best], pa.string()), pa.array(score)], names=schema.names)
 
     # A text that is kept anyway is read where it stands, not sent twice.
     at = keep.index("text") if "text" in keep else len(keep)
-    raw = [] if "text" in keep else [text.cast("binary").alias("_raw")]
-    rows = docs.select(*keep, *raw, text.rlike("\\p{L}").alias("_letter"))
-    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    raw = [] if "text" in keep else [text.cast("binary").alias(free_names(docs, "raw")[0])]
+    rows = docs.select(*kept, *raw, text.rlike("\\p{L}").alias(free_names(docs, "letter")[0]))
+    return rows.mapInArrow(run, schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

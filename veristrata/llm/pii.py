@@ -11,9 +11,11 @@ non-overlapping search.  Patterns start at the edge of a run and use
 possessive repetition, so each text is scanned in linear time and no match
 recurses, however long the run.
 
-Defined results: a null text counts as empty and has no spans; a null id is
-kept; repeated rows are searched separately; extra columns are ignored (and
-kept by ``redact``).
+Defined results: a null or empty text has no spans; a very long text is searched
+whole; a null id is kept; repeated rows are searched separately; of spans that
+start together (ties) the longer comes last in a redaction and the kind decides
+nothing; an empty table gives an empty result; extra columns are ignored whatever
+their names (and kept by ``redact``, which changes ``text`` and ``n_chars`` only).
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veristrata.llm.session import table
+from veristrata.llm.session import col, table
 
 CONTEXT = 40
 MIN_SCORE = 0.6
@@ -103,8 +105,8 @@ def _found(k: Kind, text: str) -> str:
 
 
 def with_spans(docs: DataFrame, text: str = "text", kinds=KINDS, min_score: float = MIN_SCORE) -> DataFrame:
-    """``docs`` with ``_base`` and ``_spans``: arrays of spans by kind as listed, then start."""
-    t = docs.withColumn("_t", F.coalesce(F.col(text).cast("string"), F.lit("")))
+    """``_doc`` (a struct of all columns of ``docs``), its text ``_t``, an array of spans by each kind, ``_base`` and ``_spans``: by kind as listed, then start."""
+    t = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("_doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
     for k in kinds:
         t = t.withColumn(f"_{k.name}", F.expr(_found(k, "_t")))
     t = t.withColumn("_base", F.concat(*[F.col(f"_{k.name}") for k in kinds if k.base]))
@@ -122,12 +124,11 @@ def find_pii(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     t = with_spans(docs.select(key, "text"))
     counts = [F.size(f"_{k.name}").cast("long").alias(f"n_{k.name}") for k in KINDS if k.base]
     scores = F.array_join(F.transform("_spans", lambda s: s["score"].cast("string")), ",")
-    return t.select(key, *counts, F.sha2(_joined("_base"), 256).alias("base_sha256"), _joined("_spans").alias("spans"), scores.alias("scores"))
+    return t.select(F.col("_doc")[key].alias(key), *counts, F.sha2(_joined("_base"), 256).alias("base_sha256"), _joined("_spans").alias("spans"), scores.alias("scores"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; texts without spans are untouched, ``n_chars`` follows."""
-    names = docs.columns
     t = with_spans(docs).withColumn("_cut", F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"], s["end"], s["kind"]))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -137,10 +138,11 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(s["end"], acc["at"]).alias("at"), F.when(free, piece).otherwise(acc["out"]).alias("out"))
 
     clean = F.aggregate("_cut", start, step, lambda acc: F.concat(acc["out"], F.col("_t").substr(acc["at"] + 1, F.length("_t"))))
-    t = t.withColumn("text", F.when(F.size("_cut") > 0, clean).otherwise(F.col("text")))
-    if "n_chars" in names:
-        t = t.withColumn("n_chars", F.when(F.size("_cut") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return t.select(*names)
+    of = lambda c: F.col("_doc")[c]
+    changed = {c: of(c) for c in docs.columns} | {"text": F.when(F.size("_cut") > 0, clean).otherwise(of("text"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.size("_cut") > 0, F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(of("n_chars"))
+    return t.select(*[v.alias(c) for c, v in changed.items()])
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
