@@ -19,9 +19,9 @@ def one(df):
 
 
 def test_clean_text(spark):
-    raw = "﻿Part&nbsp;1  Preliminary\r\n\r\n\r\n6  Personal information &amp; records—meaning\r\n"
+    raw = "\ufeffCanal&nbsp;2  Upper lock\r\n\r\n\r\n9  Barges &amp; tugs\u2014tolls\r\n"
     r = one(spark.createDataFrame([(raw,)], "t string").select(T.clean(F.col("t")).alias("c"), T.full_lines(T.clean(F.col("t"))).alias("n")))
-    assert (r.c, r.n) == ("Part 1 Preliminary\n\n6 Personal information & records-meaning", 2)
+    assert (r.c, r.n) == ("Canal 2 Upper lock\n\n9 Barges & tugs-tolls", 2)
     assert one(spark.createDataFrame([("&amp;lt;",)], "t string").select(T.clean(F.col("t")).alias("c"))).c == "<"
 
 
@@ -87,8 +87,8 @@ def test_profile_is_checked():
 def test_jaro_winkler_and_fuzzy(spark):
     assert round(evidence.jaro_winkler("frederick", "fredericka"), 2) == 0.98
     assert evidence.jaro_winkler("", "a") == 0 and evidence.jaro_winkler("ab", "cd") == 0
-    leaves = spark.createDataFrame([(1, "name", "Alex Chen"), (1, "x", "signed"), (2, "y", "gone"), (1, "b", " ")], "doc_id int, path string, value string")
-    sections = spark.createDataFrame([(1, 0, "contract signed by Alex Ch en on the eleventh"), (1, 1, "signed again")], "doc_id int, section_ord int, text string")
+    leaves = spark.createDataFrame([(1, "name", "Vera Holm"), (1, "x", "signed"), (2, "y", "gone"), (1, "b", " ")], "doc_id int, path string, value string")
+    sections = spark.createDataFrame([(1, 0, "a ledger signed by Vera Ho lm in the harbour"), (1, 1, "signed again")], "doc_id int, section_ord int, text string")
     r = {x.path: x for x in evidence.cite(leaves, sections).collect()}
     assert 0.85 <= r["name"].score < 1 and r["x"].score == 1 and r["x"].section_ord == 0
     assert r["y"].score == 0 and r["y"].quote == "gone" and "b" not in r
@@ -272,3 +272,61 @@ def test_stream_writes_each_batch_once(spark, tmp_path):
     q = ingest.into(ingest.cleaned(ingest.watch(spark, src, spark.read.parquet(src).schema)), str(tmp_path / "out"), str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r.clean for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a b", "&"}
+
+
+def test_json_schema_numbers_patterns_and_repeated_keys_in_both_forms(spark):
+    schema = {"properties": {"a": {"enum": [1.5, 2, "x", None]}, "b": {"pattern": "^\\p{L}+$"}, "c": {"maximum": 10}, "d": {"minimum": 1e25}, "e": {"type": "integer"}}}
+    good = ['{"a":1.5}', '{"a":1.50}', '{"a":2}', '{"a":"x"}', '{"a":null}', '{"b":"é"}', '{"c":10.0}', '{"d":1e26}', '{"e":123456789012345678901234567890}']
+    bad = ['{"a":2.5}', '{"a":"1.5"}', '{"b":"1"}', '{"c":1e30}', '{"c":10.000000000000000001}', '{"d":3}', '{"e":1.5}', '{"c":123456789012345678901234567890}']
+    twice = '{"c":1,"c":2}'
+    df = spark.createDataFrame([(x,) for x in [*good, *bad, twice]], "j string")
+    for form in (json_schema.compiled, json_schema.interpreted):
+        got = {r.j: r.e for r in df.select("j", form(F.col("j"), schema).alias("e")).collect()}
+        assert all(got[x] == [] for x in good), [(x, got[x]) for x in good]
+        assert all(len(got[x]) == 1 for x in bad), [(x, got[x]) for x in bad]
+        assert got[twice] is None
+    bad_pattern = {"pattern": "("}
+    one_text = spark.createDataFrame([('"x"',)], "j string")
+    assert all(one(one_text.select(form(F.col("j"), bad_pattern).alias("e"))).e == ["$ has invalid pattern ("] for form in (json_schema.compiled, json_schema.interpreted))
+
+
+def test_schema_from_text_and_path(tmp_path):
+    (tmp_path / "s.json").write_text('{"type": "object"}')
+    assert json_schema.load(tmp_path / "s.json") == json_schema.load('{"type": "object"}') == {"type": "object"}
+    for wrong in (" ", "{", "[1]"):
+        with pytest.raises(ValueError):
+            json_schema.load(wrong)
+
+
+def test_values_of_one_path_are_cited_each_with_their_place(spark):
+    leaves = spark.createDataFrame([(1, "p", "oak"), (1, "p", "elm"), (1, "p", "yew tree")], "doc_id int, path string, value string")
+    sections = spark.createDataFrame([(1, 0, "an elm", 3, 7), (1, 1, "an oak", 4, 9)], "doc_id int, section_ord int, text string, page_start int, line_start int")
+    got = {r.value: (r.quote, r.page_start, r.line_start, r.char_offset) for r in evidence.cite(leaves, sections).collect()}
+    assert got["oak"] == ("oak", 4, 9, 0) and got["elm"] == ("elm", 3, 7, 0) and len(got) == 3
+    nowhere = evidence.cite(leaves, sections.limit(0)).collect()
+    assert len(nowhere) == 3 and all((r.page_start, r.page_end, r.line_start, r.line_end, r.char_offset, r.score) == (1, 1, 1, 1, 0, 0.0) for r in nowhere)
+    kept = lambda *a, **k: sorted(r.path for r in evidence.kept_citations(spark.createDataFrame([("a",), ("b",)], "path string"), *a, **k).collect())
+    assert kept(("a",)) == ["a"] and kept() == [] and kept(("a",), provenance=True) == ["a", "b"]
+
+
+def test_malformed_trees_and_records_are_rows(spark):
+    geometry = spark.createDataFrame([(1, 1, 100.0, 100.0)], "doc_id int, page int, width double, height double")
+    trees = spark.createDataFrame([(1, "{"), (2, '{"kids":[{"type":"paragraph","content":"x"}]}')], "doc_id int, json string")
+    got = {r.doc_id: (r.error_code, r.text) for r in layout.map_trees(trees, geometry).collect()}
+    assert got == {1: ("TREE_PARSE_FAILED", None), 2: (None, "x")}
+    flat = projection.flatten_json(spark.createDataFrame([(1, "{"), (2, '{"a":1.50}')], "k int, j string"), "k", "j").collect()
+    assert {(r.k, r.path, r.value, r.error) for r in flat} == {(1, None, None, "JSON_PARSE_FAILED"), (2, "a", "1.50", None)}
+
+
+def test_csv_cells_may_be_long():
+    assert files.parse_csv(b"a," + b"x" * 500_000)[1][0][2][0][1] == "x" * 500_000
+
+
+def test_items_at_a_dotted_path(spark):
+    df = spark.createDataFrame([("r", {"a": [{"b": [{"n": "1"}, {"n": "2"}]}, {"b": [{"n": "3"}]}, {"b": None}]})], "id string, v struct<a:array<struct<b:array<struct<n:string>>>>>")
+    got = projection.project_items(df, "id", "v.a.b", [projection.Mapping("n", "n", "filter")]).select("object_id", F.col("filter")["n"].alias("n")).collect()
+    assert [(r.object_id, r.n) for r in got] == [("r::0000", "1"), ("r::0001", "2"), ("r::0002", "3")]
+    with pytest.raises(ValueError):
+        projection.project_items(df, "id", "v.a.b.n", [])
+    with pytest.raises(ValueError):
+        projection.field_at(df, "v.c")

@@ -4,7 +4,10 @@ A schema without recursive references compiles to one Column: an array of
 error texts, built from the parsed VARIANT by plain expressions.  A recursive
 schema runs the same rules in an Arrow UDF.  Only local references count;
 keywords beside one are ignored.  ``additionalProperties: false`` needs
-``properties``; given as a schema it isn't enforced.
+``properties``; given as a schema it isn't enforced.  Numbers of schemas and
+texts are compared as decimals.  Patterns are Java's: compiled in the JVM, or
+read by a module of the same syntax in the UDF.  A text that repeats a key within one
+object doesn't parse, in either form.  The wordings of violations are fixed values.
 """
 
 from __future__ import annotations
@@ -14,10 +17,15 @@ import re
 from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
+try:
+    import regex
+except ImportError:  # patterns with properties of characters are then invalid in the UDF
+    regex = re
+
 
 def errors_of(value, schema: dict, root: dict, path: str = "$") -> list[str]:
     """All violations of one parsed value, in rule order. Numbers are Decimal; integers are int."""
@@ -61,13 +69,13 @@ def _scalar_errors(value, schema: dict, path: str) -> list[str]:
         count("maxLength", len(value), int.__gt__)
         if isinstance(schema.get("pattern"), str):
             try:
-                if not re.search(schema["pattern"], value):
+                if not regex.search(schema["pattern"], value):
                     out.append(f"{path} violates pattern {schema['pattern']}")
-            except re.error:
+            except regex.error:
                 out.append(f"{path} has invalid pattern {schema['pattern']}")
     elif isinstance(value, (int, Decimal)) and not isinstance(value, bool):
         for word, wrong in _BOUNDS.items():
-            if isinstance(schema.get(word), (int, float, Decimal)) and not isinstance(schema[word], bool) and wrong(Decimal(value), Decimal(str(schema[word]))):
+            if isinstance(schema.get(word), (int, Decimal)) and not isinstance(schema[word], bool) and wrong(Decimal(value), Decimal(schema[word])):
                 out.append(f"{path} violates {word} {schema[word]}")
     elif isinstance(value, list):
         count("minItems", len(value), int.__lt__)
@@ -106,16 +114,51 @@ def _equal(a, b) -> bool:
     return type(a) is type(b) and a == b
 
 
+def _once(pairs: list) -> dict:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise ValueError("a key is repeated")
+    return out
+
+
 def parse(text: str):
-    return jsonlib.loads(text, parse_float=Decimal)
+    return jsonlib.loads(text, parse_float=Decimal, object_pairs_hook=_once)
+
+
+def load(source) -> dict:
+    """A schema from its JSON text, or from a file given as a path; ValueError if blank, no JSON or no object."""
+    text = source if isinstance(source, str) else source.read_text(encoding="utf-8")
+    if not text.strip():
+        raise ValueError("a schema must not be blank")
+    try:
+        found = jsonlib.loads(text)
+    except jsonlib.JSONDecodeError as e:
+        raise ValueError(f"not a JSON Schema: {e}") from e
+    if not isinstance(found, dict):
+        raise ValueError("not a JSON Schema: an object is needed")
+    return found
+
+
+def exact(schema: dict) -> dict:
+    """The schema with its numbers as decimals, integers aside."""
+    return jsonlib.loads(jsonlib.dumps(schema, default=_number_text), parse_float=Decimal)
+
+
+def _number_text(value):
+    if isinstance(value, Decimal):
+        return int(value) if value == value.to_integral_value() else float(value)
+    raise TypeError(type(value))
 
 
 def validate(json: Column, schema: dict) -> Column:
     """Errors of each JSON text as an array; null for text that doesn't parse."""
+    schema = exact(schema)
     return compiled(json, schema) if not _recursive(schema) else interpreted(json, schema)
 
 
 def interpreted(json: Column, schema: dict) -> Column:
+    schema = exact(schema)
+
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:
         def one(text):
@@ -150,6 +193,7 @@ _KINDS = {"object": "OBJECT%", "array": "ARRAY%", "string": "STRING", "boolean":
 
 
 def compiled(json: Column, schema: dict) -> Column:
+    schema = exact(schema)
     v = F.try_parse_json(json)
     return F.when(v.isNotNull(), F.array_compact(_node(v, schema, schema, F.lit("$"))))
 
@@ -159,9 +203,43 @@ def _none() -> Column:
 
 
 def _kind(v: Column) -> Column:
-    """Integral tokens have no fraction digits in their type; a decimal or double does."""
+    """Integers are whole numbers that a long holds, and longer ones; fractions, such as 2.0, are short decimals or doubles."""
     s = F.schema_of_variant(v)
-    return F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s == "VOID", "null").when(s == "BIGINT", "integer").otherwise("number")
+    return F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s == "VOID", "null").when((s == "BIGINT") | s.rlike("^DECIMAL\\((19|[23][0-9]),0\\)$"), "integer").otherwise("number")
+
+
+def _compared(v: Column, other: Decimal, test) -> Column:
+    """``test(v, other)`` exactly where either decimal type holds the number, else by doubles."""
+    narrow, wide = F.try_variant_get(v, "$", "decimal(38,18)"), F.try_variant_get(v, "$", "decimal(38,0)")
+    fits = len(other.as_tuple().digits) <= 38 and abs(other.adjusted()) < 38
+    rough = test(F.try_variant_get(v, "$", "double"), F.lit(float(other)))
+    if not fits:
+        return rough
+    # A whole number may be too large for the one type, a fraction never for the other.
+    return F.when(narrow.isNotNull(), test(narrow, F.lit(other))).when(wide.isNotNull(), test(wide, F.lit(other))).otherwise(rough)
+
+
+def _same(v: Column, kind: Column, e) -> Column:
+    if e is None:
+        return kind == "null"
+    if isinstance(e, (int, Decimal)) and not isinstance(e, bool):
+        return (kind == type_name(e)) & _compared(v, Decimal(e), lambda a, b: a == b)
+    return (kind == type_name(e)) & (F.try_variant_get(v, "$", "string") == F.lit(e if isinstance(e, str) else jsonlib.dumps(e, default=str)))
+
+
+def _java_pattern(pattern: str) -> bool:
+    """Whether Java's expressions, by which columns are matched, know the pattern."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import IllegalArgumentException
+
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return True
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, IllegalArgumentException):
+        return False
+    return True
 
 
 def _get(v: Column, name: str) -> Column:
@@ -199,22 +277,20 @@ def _rules(v: Column, kind: Column, schema: dict, root: dict, path: Column) -> C
     if "enum" in schema:
         same = F.lit(False)
         for e in schema["enum"]:
-            same = same | F.coalesce((kind == type_name(e)) & (F.try_variant_get(v, "$", "string") == F.lit(e if isinstance(e, str) else jsonlib.dumps(e))), F.lit(False)) | ((kind == "null") if e is None else F.lit(False))
+            same = same | F.coalesce(_same(v, kind, e), F.lit(False))
         rules.append(say(~same, " is not one of the allowed values"))
     text = F.when(kind == "string", F.try_variant_get(v, "$", "string"))
-    number = F.when(kind.isin("integer", "number"), F.try_variant_get(v, "$", "decimal(38,18)"))
     for word, bad in (("minLength", lambda n: F.length(text) < n), ("maxLength", lambda n: F.length(text) > n)):
         if isinstance(schema.get(word), int):
             rules.append(say(bad(schema[word]), f" violates {word} {schema[word]}"))
     if isinstance(schema.get("pattern"), str):
-        try:
-            re.compile(schema["pattern"])
+        if _java_pattern(schema["pattern"]):
             rules.append(say(~text.rlike(schema["pattern"]), f" violates pattern {schema['pattern']}"))
-        except re.error:
+        else:
             rules.append(say(text.isNotNull(), f" has invalid pattern {schema['pattern']}"))
     for word, bad in _COLUMN_BOUNDS.items():
-        if isinstance(schema.get(word), (int, float)) and not isinstance(schema[word], bool):
-            rules.append(say(bad(number, F.lit(Decimal(str(schema[word])))), f" violates {word} {schema[word]}"))
+        if isinstance(schema.get(word), (int, Decimal)) and not isinstance(schema[word], bool):
+            rules.append(say(kind.isin("integer", "number") & _compared(v, Decimal(schema[word]), bad), f" violates {word} {schema[word]}"))
     items = F.when(kind == "array", F.try_variant_get(v, "$", "array<variant>"))
     for word, bad in (("minItems", lambda n: F.size(items) < n), ("maxItems", lambda n: F.size(items) > n)):
         if isinstance(schema.get(word), int):

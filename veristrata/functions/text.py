@@ -30,8 +30,12 @@ ENTITIES = (
 DASHES = "‐‑‒–—−"
 
 
+#: The characters of SPACE, one by one.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def is_blank(c: Column) -> Column:
@@ -91,6 +95,7 @@ def authority_type(doc_type: Column, source: Column) -> Column:
     kind, origin = F.lower(doc_type), F.lower(source)
     return (
         F.when(kind.contains("act") | kind.contains("legislation"), "legislation")
+        # Fixed value: the name of one regulator.
         .when(origin.contains("oaic") | origin.contains("regulator") | kind.contains("guideline"), "regulator_guidance")
         .when(kind.contains("case") | kind.contains("judgment"), "case_law")
         .otherwise("other")

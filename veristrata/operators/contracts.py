@@ -69,6 +69,7 @@ def chunk() -> Column:
     return first_failure(*map(missing, ("chunk_id", "doc_id", "text", "rerank_text")), span, not_positive("token_count"))
 
 
+#: The text fields that a section needs.
 SECTION_TEXT = ("doc_id", "parent_doc_id", "version_id", "section_number", "section_heading", "citation", "title", "jurisdiction", "doc_type", "source", "authority_type", "instrument_status", "body_text")
 
 

@@ -7,6 +7,7 @@ exact match reach the fuzzy scorer.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,6 +21,10 @@ STRONG = 0.85
 #: Fuzzy windows: prefix length, positions taken from prefix hits, least stride.
 PREFIX, PREFIX_HITS, STRIDE = 5, 8, 8
 ANCHOR_WORDS = 3
+#: Items without a run of whole words, which are looked for in every text, go out in blocks of so many.
+SHORT_ITEMS = 5_000
+#: Where a citation stands; the place of a value that no section holds.
+LOCATION = {"page_start": 1, "page_end": 1, "line_start": 1, "line_end": 1, "char_offset": 0}
 
 
 def jaro_winkler(a: str, b: str) -> float:
@@ -72,8 +77,16 @@ def windows(needle: str, text: str) -> Iterator[str]:
 
 
 def best_window(needle: str, text: str) -> tuple[float, str | None]:
-    best, quote = -1.0, None
+    best, quote, marks = -1.0, None, Counter(needle)
     for w in windows(needle, text):
+        # No more characters can match than both have; then Jaro's share and the largest bonus bound the score.
+        shared = sum(min(n, w.count(ch)) for ch, n in marks.items())
+        if shared:
+            most = (shared / len(needle) + shared / len(w) + 1) / 3
+            if most + 0.4 * (1 - most) <= best:
+                continue
+        elif best >= 0:
+            continue
         score = jaro_winkler(needle, w)
         if score > best:
             best, quote = score, w
@@ -100,34 +113,65 @@ def fuzzy_by_doc(leaves: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def cite(leaves: DataFrame, sections: DataFrame) -> DataFrame:
-    """Every leaf with ``section_ord, quote, score``: 1 for an exact match, else the best window's, else 0 without a section."""
+    """Every leaf with ``section_ord, quote, score`` and its place: 1 for an exact match, else the best window's, else 0 without a section.
+
+    A leaf is its document, path and value, so several values of one path are cited each.  The place
+    is that of the section, by the columns of LOCATION it has; without a section it is the document's start.
+    """
+    key = ["doc_id", "path", "value"]
     leaves = leaves.where(F.col("value").isNotNull() & ~T.is_blank(F.col("value")))
-    exact = exact_by_doc(leaves, sections).select("doc_id", "path", "section_ord", F.col("value").alias("quote"), F.lit(1.0).alias("score"))
-    rest = leaves.join(exact.select("doc_id", "path"), ["doc_id", "path"], "left_anti")
-    near = fuzzy_by_doc(rest, sections).select("doc_id", "path", "section_ord", "quote", "score")
-    found = exact.unionByName(near)
-    out = leaves.join(found, ["doc_id", "path"], "left")
-    return out.withColumn("quote", F.coalesce("quote", "value")).withColumn("score", F.coalesce("score", F.lit(0.0)))
+    each = leaves.select(*key).distinct()
+    exact = exact_by_doc(each, sections).select(*key, "section_ord", F.col("value").alias("quote"), F.lit(1.0).alias("score"))
+    rest = each.join(exact.select(*key), key, "left_anti")
+    near = fuzzy_by_doc(rest, sections).select(*key, "section_ord", "quote", "score")
+    there = [c for c in LOCATION if c in sections.columns]
+    found = exact.unionByName(near).join(sections.select("doc_id", "section_ord", *there).dropDuplicates(["doc_id", "section_ord"]), ["doc_id", "section_ord"], "left")
+    out = leaves.join(found, key, "left")
+    place = {c: F.coalesce(F.col(c) if c in there else F.lit(None), F.lit(at)).cast("long") for c, at in LOCATION.items()}
+    return out.withColumns({"quote": F.coalesce("quote", "value"), "score": F.coalesce("score", F.lit(0.0)), **place})
+
+
+def kept_citations(citations: DataFrame, required: tuple[str, ...] = (), provenance: bool = False, confidence: bool = False) -> DataFrame:
+    """All citations if provenance or confidence is recorded, else those of required paths, else none."""
+    if provenance or confidence:
+        return citations
+    return citations.where(F.col("path").isin(*required) if required else F.lit(False))
 
 
 def exact_anywhere(items: DataFrame, sections: DataFrame, key: str = "item_id") -> DataFrame:
-    """``key, doc_id, pos`` of every section that contains an item's text.
+    """``key, doc_id, pos, line_start`` of every section that contains an item's text.
 
     A text of enough words holds complete inner words, so sections and items
-    meet by a run of ANCHOR_WORDS of them; only shorter items are compared with
-    every section, by a filter over the broadcast few.
+    meet by the hash of a run of ANCHOR_WORDS of them, the item's longest in characters, which
+    is seldom a common one.  Only numbers are exploded and shuffled; the texts of
+    sections that have met an item are fetched once.  Items with fewer words are
+    looked for in every text, in blocks of SHORT_ITEMS.
     """
+    n = ANCHOR_WORDS
     words = F.split("text", f"{T.SPACE}+")
-    rare = F.array_join(F.slice(words, 2, ANCHOR_WORDS), " ")
-    spaced = F.regexp_replace("text", f"{T.SPACE}+", " ")
-    item = items.select(F.col(key), F.col("text").alias("needle"), F.size(words).alias("_n"), rare.alias("anchor"))
-    usable = (F.col("_n") >= ANCHOR_WORDS + 2)
-    runs = F.expr(f"transform(sequence(1, greatest(1, size(_w) - {ANCHOR_WORDS - 1})), i -> array_join(slice(_w, i, {ANCHOR_WORDS}), ' '))")
-    anchored = sections.select("doc_id", "text", F.split(spaced, " ").alias("_w")).select("doc_id", "text", F.explode(F.array_distinct(runs)).alias("anchor"))
-    long = anchored.join(item.where(usable), "anchor").where(F.instr("text", F.col("needle")) > 0)
-    short = sections.join(item.where(~usable & (F.length("needle") > 0)), F.instr(sections["text"], F.col("needle")) > 0)
-    pick = [F.col(key), F.col("doc_id"), F.instr("text", F.col("needle")).alias("pos"), F.col("text")]
-    return long.select(*pick).unionByName(short.select(*pick)).withColumn("line_start", (F.length(F.expr("substring(text, 1, pos - 1)")) - F.length(F.replace(F.expr("substring(text, 1, pos - 1)"), F.lit("\n"))) + 1).cast("long")).drop("text")
+    run = "xxhash64(" + ", ".join(f"_w[i + {k}]" for k in range(n)) + ")"
+    item = items.select(F.col(key), F.col("text").alias("needle"), words.alias("_w")).where(F.length("needle") > 0)
+    usable = F.size("_w") >= n + 2
+    inner = F.expr(f"transform(sequence(1, size(_w) - {n + 1}), i -> struct(length(array_join(slice(_w, i + 1, {n}), ' ')) as size, -i as at, {run} as anchor))")
+    long = item.where(usable).select(key, "needle", F.array_max(inner)["anchor"].alias("anchor"))
+    texts = sections.select("doc_id", "text", F.xxhash64("text").alias("_h"))
+    hashed = sections.select("doc_id", F.xxhash64("text").alias("_h"), words.alias("_w")).where(F.size("_w") >= n)
+    hashed = hashed.select("doc_id", "_h", F.explode(F.array_distinct(F.expr(f"transform(sequence(0, size(_w) - {n}), i -> {run})"))).alias("anchor"))
+    met = hashed.join(long, "anchor").select("doc_id", "_h", key, "needle").distinct()
+    found = [texts.join(met, ["doc_id", "_h"]).where(F.instr("text", F.col("needle")) > 0)]
+    short = item.where(~usable).select(key, "needle")
+    blocks = -(-short.count() // SHORT_ITEMS)
+    for b in range(blocks):
+        few = short.where(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == b)
+        found.append(texts.join(F.broadcast(few), F.instr("text", F.col("needle")) > 0))
+    start = F.instr("text", F.col("needle"))
+    before = F.expr("substring(text, 1, instr(text, needle) - 1)")
+    line = (F.length(before) - F.length(F.replace(before, F.lit("\n"))) + 1).cast("long")
+    out = [f.select(F.col(key), "doc_id", start.alias("pos"), line.alias("line_start")) for f in found]
+    whole = out[0]
+    for more in out[1:]:
+        whole = whole.unionByName(more)
+    return whole
 
 
 def rationale(score: Column) -> Column:

@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from veristrata.functions import text as T
 from veristrata.operators import contracts
 
-REQUIRED_TEXT = ("doc_id", "parent_doc_id", "version_id", "section_number", "section_heading", "citation", "title", "jurisdiction", "doc_type", "source", "authority_type", "instrument_status", "body_text")
+REQUIRED_TEXT = contracts.SECTION_TEXT
 #: Fixed value: the document id prefix of the feed.
 PUT_PREFIX = "id:legal:legal_doc::"
+#: The lanes that queries may use, and the codes ``E_...`` and ``W_...`` of all diagnostics below.
 LANES = ("bm25", "fuzzy", "prefix", "dense")
 DIAGNOSTIC = "stage string, idx long, code string, severity string, path string, message string, source_id string"
 
@@ -26,16 +27,11 @@ DIAGNOSTIC = "stage string, idx long, code string, severity string, path string,
 # ---- typed reading of JSON records -------------------------------------------------
 
 
-def fields_of(json: Column) -> Column:
-    """A record's fields as a map of texts, parsed once: strings as they are, other values by their JSON text."""
-    return F.from_json(json, "map<string,string>")
-
-
-def text_value(fields: Column, name: str) -> Column:
+def text_value(value: Column) -> Column:
     """A non-blank string trimmed, or a number's or boolean's own text; arrays and objects count as absent."""
-    value = T.trimmed(F.try_element_at(fields, F.lit(name)))
-    nested = value.rlike("^[\\[{]") & F.try_parse_json(value).isNotNull()
-    return F.when(nested | (value == ""), None).otherwise(value)
+    plain = T.trimmed(value)
+    nested = (plain.startswith("[") | plain.startswith("{")) & F.try_parse_json(plain).isNotNull()
+    return F.when((plain == "") | nested, None).otherwise(plain)
 
 
 def as_int(text: Column) -> Column:
@@ -47,22 +43,34 @@ def as_bool(text: Column) -> Column:
     return F.when(value.isin("true", "1", "yes"), True).when(value.isin("false", "0", "no"), False)
 
 
-def int_array(fields: Column, name: str) -> Column:
-    items = F.from_json(F.try_element_at(fields, F.lit(name)), "array<string>")
+def int_array(json: Column) -> Column:
+    items = F.from_json(json, "array<string>")
     return F.coalesce(F.filter(F.transform(items, lambda x: F.trim(x).try_cast("long")), lambda x: x.isNotNull()), F.array().cast("array<long>"))
 
 
-def float_array(fields: Column, name: str) -> Column:
-    items = F.from_json(F.try_element_at(fields, F.lit(name)), "array<string>")
+def float_array(json: Column) -> Column:
+    items = F.from_json(json, "array<string>")
     return F.filter(F.transform(items, lambda x: F.trim(x).try_cast("float")), lambda x: x.isNotNull())
 
 
-#: The names under which records carry text fields.
+def bound(rows: DataFrame, name: str, inputs: Column, build) -> DataFrame:
+    """``rows`` with the column ``name = build(inputs)``, computed once a row in one lambda.
+
+    No projection or filter above repeats the work, and the lambda is evaluated
+    node by node, so a wide record makes no generated method that is too long to compile.
+    """
+    return rows.select("*", F.explode(F.transform(F.array(inputs), build)).alias(name))
+
+
+#: The names under which records carry text fields, and arrays.
 TEXT_FIELDS = (
-    "doc_id parent_doc_id version_id section_number section_heading citation title jurisdiction source doc_type type document_type instrument_status status part_label division_label subdivision_label "
-    "authority_type legal_authority_type court_name url source_locator locator page_locator source_format locator_confidence version_date decision_date date published_date effective_from effective_to "
-    "body_text text body content section_ordinal authority_rank court_rank version_date_days effective_from_days effective_to_days page_start page_end char_start char_end is_current"
-).split()
+    "doc_id", "parent_doc_id", "version_id", "section_number", "section_heading", "citation", "title", "jurisdiction", "source", "doc_type", "type",
+    "document_type", "instrument_status", "status", "part_label", "division_label", "subdivision_label", "authority_type", "legal_authority_type",
+    "court_name", "url", "source_locator", "locator", "page_locator", "source_format", "locator_confidence", "version_date", "decision_date", "date",
+    "published_date", "effective_from", "effective_to", "body_text", "text", "body", "content", "section_ordinal", "authority_rank", "court_rank",
+    "version_date_days", "effective_from_days", "effective_to_days", "page_start", "page_end", "char_start", "char_end", "is_current",
+)
+ARRAY_FIELDS = ("page_numbers", "dense_embedding_v1_256_native", "dense_embedding")
 
 
 # ---- normalisation and feed --------------------------------------------------------
@@ -70,15 +78,22 @@ TEXT_FIELDS = (
 
 def normalise(records: DataFrame, json: str = "json") -> DataFrame:
     """Section fields of JSON records, by aliases and defaults; ``error`` names a required field that is absent."""
-    # Exploding a single value binds it: neither a filter nor a projection above repeats the parsing below.
-    parsed = records.select("*", F.explode(F.array(fields_of(F.col(json)))).alias("_m"))
-    read = parsed.select("*", F.explode(F.array(F.struct(*[text_value(F.col("_m"), n).alias(n) for n in TEXT_FIELDS]))).alias("_v"))
-    m = F.col("_m")
-    text = lambda *names: F.coalesce(*[F.col("_v")[n] for n in names])
-    number = lambda n: as_int(F.col("_v")[n])
+    # One parse into a record of texts: strings as they are, other values by their JSON text.
+    schema = ", ".join(f"{n} string" for n in (*TEXT_FIELDS, *ARRAY_FIELDS))
+    parsed = bound(records, "_m", F.col(json), lambda j: F.from_json(j, schema))
+    read = bound(parsed, "_v", F.array(*[F.col("_m")[n] for n in TEXT_FIELDS]), lambda texts: F.transform(texts, text_value))
+    inputs = F.struct(F.col("_v").alias("v"), *[F.col("_m")[n].alias(n) for n in ARRAY_FIELDS])
+    made = bound(read, "_n", inputs, _section)
+    kept = [c for c in records.columns if c not in made.schema["_n"].dataType.names]
+    return made.select(*kept, "_n.*")
+
+
+def _section(x: Column) -> Column:
+    text = lambda *names: F.coalesce(*[x["v"][TEXT_FIELDS.index(n)] for n in names])
+    number = lambda n: as_int(text(n))
     status = F.coalesce(text("instrument_status", "status"), F.lit("unknown"))
     doc_type, source = text("doc_type", "type", "document_type"), text("source")
-    pages = int_array(m, "page_numbers")
+    pages = int_array(x["page_numbers"])
     located = F.coalesce(text("source_locator", "locator", "page_locator"), number("page_start").cast("string"), number("page_end").cast("string")).isNotNull() | (F.size(pages) > 0)
     body = text("body_text", "text", "body", "content")
     plain = {n: text(n) for n in ("doc_id", "parent_doc_id", "version_id", "section_number", "section_heading", "citation", "title", "jurisdiction")}
@@ -109,47 +124,59 @@ def normalise(records: DataFrame, json: str = "json") -> DataFrame:
         "source_format": text("source_format"),
         "locator_confidence": F.coalesce(text("locator_confidence"), F.when(~located, "unavailable")),
         "body_text": T.clean(body),
-        "dense_embedding": F.coalesce(float_array(m, "dense_embedding_v1_256_native"), float_array(m, "dense_embedding")),
+        "dense_embedding": F.coalesce(float_array(x["dense_embedding_v1_256_native"]), float_array(x["dense_embedding"])),
     }
     needed = ("doc_type", "source", *plain, "section_ordinal")
     error = F.coalesce(*[F.when(fields[n].isNull(), n) for n in needed], F.when(body.isNull(), "body_text"))
-    kept = [c for c in records.columns if c not in fields and c != "error"]
-    return read.select(*kept, error.alias("error"), *[c.alias(n) for n, c in fields.items()])
+    return F.struct(error.alias("error"), *[c.alias(n) for n, c in fields.items()])
+
+
+#: Columns of sections that feed rows are made of.
+_FED = (
+    *contracts.SECTION_TEXT, "section_ordinal", "part_label", "division_label", "subdivision_label", "authority_rank", "is_current", "decision_date", "url", "source_locator", "source_format", "court_name", "locator_confidence",
+    "page_start", "page_end", "page_numbers", "char_start", "char_end", "court_rank", "version_date_days", "effective_from_days", "effective_to_days", "dense_embedding",
+)
 
 
 def put(sections: DataFrame) -> DataFrame:
     """Feed rows ``put, fields`` (a struct) of valid sections; optional fields are null where absent, and so left out of JSON."""
-    c = F.col
-    empty = lambda n: F.coalesce(c(n), F.lit(""))
-    present = lambda n: F.when(~T.is_blank(c(n)), c(n))
-    always = {
-        **{n: c(n) for n in ("doc_id", "parent_doc_id", "version_id")},
-        "chunk_type": F.lit("section"),
-        "section_ordinal": c("section_ordinal"),
-        "section_number": c("section_number"),
-        "section_number_attr": F.lower("section_number"),
-        "section_tokens": T.search_tokens(c("section_number")),
-        "section_heading": c("section_heading"),
-        "heading_tokens": T.search_tokens(c("section_heading")),
-        "part_label": c("part_label"),
-        "division_label": c("division_label"),
-        "subdivision_label": empty("subdivision_label"),
-        "citation": c("citation"),
-        "citation_attr": F.lower("citation"),
-        "citation_tokens": T.search_tokens(c("citation")),
-        "title": c("title"),
-        "title_tokens": T.search_tokens(c("title")),
-        **{n: c(n) for n in ("jurisdiction", "doc_type", "source", "authority_type", "authority_rank", "instrument_status")},
-        "is_current": c("is_current").cast("int"),
-        "decision_date": empty("decision_date"),
-        "url": empty("url"),
-        "body_text": c("body_text"),
-    }
-    optional = {n: present(n) for n in ("source_locator", "source_format", "court_name", "locator_confidence")}
-    optional |= {n: c(n) for n in ("page_start", "page_end", "char_start", "char_end", "court_rank", "version_date_days", "effective_from_days", "effective_to_days")}
-    optional |= {"page_numbers": F.when(F.size("page_numbers") > 0, c("page_numbers")), "dense_embedding_v1_256_native": c("dense_embedding")}
-    fields = F.struct(*[v.alias(k) for k, v in (always | optional).items()])
-    return sections.where(contracts.section().isNull()).select(F.concat(F.lit(PUT_PREFIX), "doc_id").alias("put"), fields.alias("fields"))
+    def row(x: Column) -> Column:
+        c = lambda n: x[n]
+        empty = lambda n: F.coalesce(c(n), F.lit(""))
+        present = lambda n: F.when(~T.is_blank(c(n)), c(n))
+        always = {
+            **{n: c(n) for n in ("doc_id", "parent_doc_id", "version_id")},
+            "chunk_type": F.lit("section"),
+            "section_ordinal": c("section_ordinal"),
+            "section_number": c("section_number"),
+            "section_number_attr": F.lower(c("section_number")),
+            "section_tokens": T.search_tokens(c("section_number")),
+            "section_heading": c("section_heading"),
+            "heading_tokens": T.search_tokens(c("section_heading")),
+            "part_label": c("part_label"),
+            "division_label": c("division_label"),
+            "subdivision_label": empty("subdivision_label"),
+            "citation": c("citation"),
+            "citation_attr": F.lower(c("citation")),
+            "citation_tokens": T.search_tokens(c("citation")),
+            "title": c("title"),
+            "title_tokens": T.search_tokens(c("title")),
+            **{n: c(n) for n in ("jurisdiction", "doc_type", "source", "authority_type", "authority_rank", "instrument_status")},
+            "is_current": c("is_current").cast("int"),
+            "decision_date": empty("decision_date"),
+            "url": empty("url"),
+            "body_text": c("body_text"),
+        }
+        optional = {n: present(n) for n in ("source_locator", "source_format", "court_name", "locator_confidence")}
+        optional |= {n: c(n) for n in ("page_start", "page_end", "char_start", "char_end", "court_rank", "version_date_days", "effective_from_days", "effective_to_days")}
+        optional |= {"page_numbers": F.when(F.size(c("page_numbers")) > 0, c("page_numbers")), "dense_embedding_v1_256_native": c("dense_embedding")}
+        return F.struct(*[v.alias(k) for k, v in (always | optional).items()])
+
+    # Bound before the filter: its rules would else repeat what the sections are computed by.
+    valid = sections.where(contracts.section().isNull())
+    names = [n for n in sections.columns if n in _FED]
+    fed = bound(valid, "_fields", F.struct(*names), row)
+    return fed.select(F.concat(F.lit(PUT_PREFIX), "doc_id").alias("put"), F.col("_fields").alias("fields"))
 
 
 # ---- preflight ---------------------------------------------------------------------
@@ -338,13 +365,61 @@ def feed_diagnostics(feed: DataFrame, spark: SparkSession, schema: SchemaSpec, j
     return bad.unionByName(seen).unionByName(lost)
 
 
+def sections_of(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(sections, diagnostics)`` of JSON lines ``path, line_no, json``.
+
+    Sections count from zero among their file's lines that parse.  Lines that don't are
+    E_JSONL_PARSE_FAILED by their number, other values than objects E_SECTION_PARSE_FAILED, and
+    objects without a required field E_REQUIRED_FIELD_EMPTY; only whole ones are sections.
+    """
+    shape = F.schema_of_variant(F.try_parse_json("json"))
+    seen = lines.withColumn("_shape", shape)
+    broken = seen.where("_shape is null").select(F.lit("sections").alias("stage"), F.col("line_no").alias("idx"), F.explode(F.array(diagnostic("E_JSONL_PARSE_FAILED", F.format_string("sections:%d", F.col("line_no") + 1), "not JSON"))).alias("d"))
+    values = seen.where("_shape is not null").withColumn("idx", (F.row_number().over(W.partitionBy("path").orderBy("line_no")) - 1).cast("long"))
+    read = normalise(values.select("path", "line_no", "idx", "json", F.col("_shape").startswith("OBJECT").alias("_object")))
+    at = F.format_string("sections[%d]", F.col("idx"))
+    lost = F.when(~F.col("_object"), diagnostic("E_SECTION_PARSE_FAILED", at, "not an object")).when(F.col("error").isNotNull(), diagnostic("E_REQUIRED_FIELD_EMPTY", F.concat(at, F.lit("."), "error"), F.concat("error", F.lit(" is missing or empty"))))
+    bad = read.where(~F.col("_object") | F.col("error").isNotNull()).select(F.lit("sections").alias("stage"), "idx", lost.alias("d"))
+    return read.where("_object and error is null").drop("_object", "error"), broken.unionByName(bad).select("stage", "idx", "d.*")
+
+
+#: The stages of a report, in order.
+STAGES = ("schema", "sections", "feed", "query")
+
+
+def united(*found: DataFrame) -> DataFrame:
+    """Diagnostics of all stages with ``stage_no``, their place in the report."""
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.withColumn("stage_no", F.array_position(F.array(*[F.lit(s) for s in STAGES]), F.col("stage")))
+
+
+def report(diagnostics: DataFrame, schema: str, feed_preview_count: int = 0) -> DataFrame:
+    """The report's head as one row: ``report`` (JSON), ``has_errors``, ``exit_code``."""
+    errors = F.count_if(F.col("severity") == "error")
+    d = diagnostics.agg(errors.alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    head = F.struct(F.lit(schema).alias("schema"), (F.col("errors") > 0).alias("has_errors"), "errors", "warnings", F.lit(feed_preview_count).alias("feed_preview_count"))
+    return d.select(F.to_json(head).alias("report"), (F.col("errors") > 0).alias("has_errors"), F.when(F.col("errors") > 0, 1).otherwise(0).alias("exit_code"))
+
+
+def write_report(diagnostics: DataFrame, folder: str, schema: str, feed_preview_count: int = 0) -> int:
+    """Write the head and, in stage order, all diagnostics as JSON lines; returns the exit code."""
+    head = report(diagnostics, schema, feed_preview_count).first()
+    spark = diagnostics.sparkSession
+    spark.createDataFrame([(head.report,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{folder}/report")
+    whole = diagnostics if "stage_no" in diagnostics.columns else united(diagnostics)
+    whole.orderBy("stage_no", "idx", "path").select(F.to_json(F.struct(*[c for c in whole.columns if c != "stage_no"])).alias("value")).write.mode("errorifexists").text(f"{folder}/diagnostics")
+    return head.exit_code
+
+
 def has_errors(diagnostics: DataFrame) -> DataFrame:
     return diagnostics.agg(F.coalesce(F.bool_or(F.col("severity") == "error"), F.lit(False)).alias("has_errors"))
 
 
 def first_errors(diagnostics: DataFrame, n: int = 10) -> DataFrame:
     """The report's head: ``n`` errors in stage order."""
-    order = F.array_position(F.array(*[F.lit(s) for s in ("schema", "sections", "feed", "query")]), F.col("stage"))
+    order = F.array_position(F.array(*[F.lit(s) for s in STAGES]), F.col("stage"))
     return diagnostics.where("severity = 'error'").orderBy(order, "idx", "path").limit(n)
 
 

@@ -85,13 +85,48 @@ def project(records: DataFrame, mappings: list[Mapping]) -> DataFrame:
     return records.withColumns({**out, "error": error})
 
 
+def path_items(kind: t.DataType, value: Column, steps: list[str]) -> Column:
+    """The objects at a dotted path, as an array: arrays on the way are fanned out, one at the end is spread by one level, scalars give nothing."""
+    if not steps:
+        if isinstance(kind, t.ArrayType):
+            return F.coalesce(value, F.array().cast(kind))
+        return F.filter(F.array(value), lambda x: x.isNotNull())
+    if isinstance(kind, t.ArrayType):
+        inner = kind.elementType
+        return F.flatten(F.transform(F.coalesce(value, F.array().cast(kind)), lambda x: path_items(inner, x, steps)))
+    return path_items(kind[steps[0]].dataType, value[steps[0]], steps[1:])
+
+
+def _leads_to_objects(kind: t.DataType, steps: list[str]) -> bool:
+    if steps and isinstance(kind, t.ArrayType):
+        return _leads_to_objects(kind.elementType, steps)
+    if steps:
+        return isinstance(kind, t.StructType) and steps[0] in kind.names and _leads_to_objects(kind[steps[0]].dataType, steps[1:])
+    return isinstance(kind.elementType if isinstance(kind, t.ArrayType) else kind, t.StructType)
+
+
 def project_items(records: DataFrame, object_id: str, item_path: str, mappings: list[Mapping]) -> DataFrame:
-    """One projected record per item of an array of structs; ids are ``base::%04d``."""
-    items = records.select(F.col(object_id).alias("_base"), F.posexplode(item_path).alias("_i", "_item"))
+    """One projected record per object at a dotted item path; ids are ``base::%04d``; ValueError for a path that leads to none."""
+    steps = [p for p in item_path.split(".") if p]
+    if not steps or not _leads_to_objects(records.schema, steps):
+        raise ValueError(f"no objects at {item_path}")
+    found = path_items(records.schema[steps[0]].dataType, F.col(f"`{steps[0]}`"), steps[1:])
+    items = records.select(F.col(object_id).alias("_base"), F.posexplode(found).alias("_i", "_item"))
     rows = items.select(F.format_string("%s::%04d", F.col("_base").cast("string"), F.col("_i").cast("long")).alias("object_id"), "_item.*")
     return project(rows, mappings)
 
 
+def field_at(records: DataFrame, path: str) -> Column:
+    """The column at a dotted path of records; ValueError names the first step that the type doesn't have."""
+    kind, at = records.schema, []
+    for step in path.split("."):
+        if not isinstance(kind, t.StructType) or step not in kind.names:
+            raise ValueError(f"unknown field {step} in {path}")
+        kind = kind[step].dataType
+        at.append(f"`{step}`")
+    return F.col(".".join(at))
+
+
 # ---- dynamic JSON ------------------------------------------------------------------
 
 
@@ -139,18 +174,18 @@ def leaves(value, path: str = "") -> Iterator[tuple[str, str]]:
 
 
 def flatten_json(records: DataFrame, key: str, json: str) -> DataFrame:
-    """``key, path, value`` of all leaves of JSON records, numbers by their JSON text."""
-    schema = f"`{key}` {records.schema[key].dataType.simpleString()}, path string, value string"
+    """``key, path, value, error`` of all leaves of JSON records, numbers by their JSON text; a record that doesn't parse is one row with ``error`` JSON_PARSE_FAILED."""
+    schema = f"`{key}` {records.schema[key].dataType.simpleString()}, path string, value string, error string"
 
     def run(batches):
         for pdf in batches:
             rows = []
             for k, text in zip(pdf[key], pdf[json], strict=True):
                 try:
-                    rows += [(k, p, v) for p, v in leaves(jsonlib.loads(text, parse_float=_Raw, parse_int=_Raw))]
+                    rows += [(k, p, v, None) for p, v in leaves(jsonlib.loads(text, parse_float=_Raw, parse_int=_Raw))]
                 except (TypeError, ValueError):
-                    continue
-            yield pd.DataFrame(rows, columns=[key, "path", "value"])
+                    rows.append((k, None, None, "JSON_PARSE_FAILED"))
+            yield pd.DataFrame(rows, columns=[key, "path", "value", "error"], dtype=object)
 
     return records.select(key, json).mapInPandas(run, schema)
 

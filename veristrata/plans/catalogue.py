@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from veristrata.functions import json_schema
 from veristrata.functions import text as T
 from veristrata.operators import audit, chunking, context, contracts, evidence, feed, layout, projection
-from veristrata.plans import completion
-from veristrata.sources import files
+from veristrata.plans import completion, output
+from veristrata.sources import files, scratch
 
 PROFILE = chunking.Profile(parent_min=60, parent_max=120, passage_max=40, overlap=8, prefix_max=12)
 WS = T.SPACE_SQL
@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A table in fewer splits than there are cores (one small file) is dealt out before heavy work by the row; a large one is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # ---- shared SQL --------------------------------------------------------------------
 
 
@@ -55,11 +61,11 @@ def _cleaned_sql(key: str, source: str, name: str) -> str:
 
 
 def clean_text_documents(spark, d):
-    return _cleaned(table(spark, d, "documents"), "doc_id", "text")
+    return _cleaned(dealt(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def clean_text_pages(spark, d):
-    return _cleaned(table(spark, d, "pages"), "page_id", "html")
+    return _cleaned(dealt(table(spark, d, "pages").select("page_id", "html")), "page_id", "html")
 
 
 def search_tokens(spark, d):
@@ -97,7 +103,7 @@ SELECT o_orderkey, day_number, authority_type, CASE authority_type WHEN 'legisla
 
 
 def _blocks(spark, d) -> DataFrame:
-    lines = table(spark, d, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("block_ord", "text"))
+    lines = dealt(table(spark, d, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("block_ord", "text"))
     path = F.array(F.col("lang"), F.concat(F.lit("s"), F.floor(F.col("block_ord") / 10).cast("string")))
     return lines.select("doc_id", "block_ord", path.alias("section_path"), "text")
 
@@ -152,7 +158,7 @@ RERANK = f"WITH {_PASSAGES} SELECT doc_id, chunk_index, sha256(array_to_string((
 
 
 def cite_exact(spark, d):
-    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
+    docs, items = dealt(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "benchmark")
     found = evidence.exact_anywhere(items, docs)
     best = found.groupBy("item_id").agg(F.min(F.struct("doc_id", "line_start", "pos")).alias("b"), F.count("*").alias("n_docs"))
     out = items.select("item_id").join(best, "item_id", "left")
@@ -175,7 +181,7 @@ CITE_SUMMARY = f"WITH c AS ({CITE_EXACT}) SELECT coalesce(d.source, 'none') AS s
 def _turns(spark, d) -> tuple[DataFrame, DataFrame]:
     """Sections are turns in ASCII (the oracle's similarity counts bytes); a conversation's leaf is a stretch of its last turn, altered."""
     c = table(spark, d, "conversations")
-    sections = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("section_ord"), F.regexp_replace("text", "[^\\x00-\\x7F]", "?").alias("text"))
+    sections = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("section_ord"), (F.col("turn") + 5).alias("line_start"), F.regexp_replace("text", "[^\\x00-\\x7F]", "?").alias("text"))
     last = sections.groupBy("doc_id").agg(F.max_by("text", "section_ord").alias("t"))
     quote = F.translate(F.substring("t", 3, 40), "aeo", "xzq")
     return sections, last.select("doc_id", F.lit("quote").alias("path"), quote.alias("value"))
@@ -184,7 +190,7 @@ def _turns(spark, d) -> tuple[DataFrame, DataFrame]:
 def cite_fuzzy(spark, d):
     sections, leaves = _turns(spark, d)
     c = evidence.cite(leaves, sections)
-    return c.select("doc_id", F.col("section_ord").cast("long").alias("section_ord"), F.length("quote").cast("long").alias("quote_len"), F.round("score", 4).alias("score"))
+    return c.select("doc_id", F.col("section_ord").cast("long").alias("section_ord"), "line_start", F.length("quote").cast("long").alias("quote_len"), F.round("score", 4).alias("score"))
 
 
 CITE_FUZZY = rf"""
@@ -201,7 +207,7 @@ q AS (SELECT doc_id, v, section_ord, o, ln, substr(text, s0 + 1, ln) AS win FROM
 z AS (SELECT *, jaro_winkler_similarity(v, win) AS sc FROM q),
 t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section_ord ORDER BY sc DESC, o, ln) AS rn FROM z),
 u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sc DESC, section_ord) AS best FROM t WHERE rn = 1 AND trim(win) <> '')
-SELECT leaf.doc_id, coalesce(e.section_ord, u.section_ord)::BIGINT AS section_ord, length(coalesce(e.v, u.win, leaf.v))::BIGINT AS quote_len, round(CASE WHEN e.doc_id IS NOT NULL THEN 1.0 ELSE coalesce(u.sc, 0.0) END, 4)::DOUBLE AS score
+SELECT leaf.doc_id, coalesce(e.section_ord, u.section_ord)::BIGINT AS section_ord, coalesce(e.section_ord + 5, u.section_ord + 5, 1)::BIGINT AS line_start, length(coalesce(e.v, u.win, leaf.v))::BIGINT AS quote_len, round(CASE WHEN e.doc_id IS NOT NULL THEN 1.0 ELSE coalesce(u.sc, 0.0) END, 4)::DOUBLE AS score
 FROM leaf LEFT JOIN e USING (doc_id) LEFT JOIN (SELECT * FROM u WHERE best = 1) u ON u.doc_id = leaf.doc_id
 """
 
@@ -257,6 +263,7 @@ DUPLICATES = "SELECT * FROM (SELECT doc_id, lag(doc_id) OVER (PARTITION BY sha25
 def _records(spark, d) -> DataFrame:
     """JSON section records of the orders, with alias keys and faults by key."""
     k = F.col("o_orderkey")
+    cell = F.when(k % 46 == 0, "0.5").when(k % 62 == 0, "NaN").otherwise("0.25")
     row = F.struct(
         F.concat(F.lit("o"), (k - F.when(k % 50 == 0, 1).otherwise(0)).cast("string")).alias("doc_id"),
         F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("parent_doc_id"),
@@ -273,14 +280,17 @@ def _records(spark, d) -> DataFrame:
         F.when(k % 3 == 0, "Current").when(k % 3 == 1, "repealed").alias("status"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
         F.when(k % 5 == 0, "a &amp; b").otherwise("plain  text").alias("body"),
+        F.when(k % 2 == 0, F.array_repeat(cell, F.when(k % 38 == 0, 3).otherwise(16))).alias("dense_embedding"),
     )
-    return table(spark, d, "orders").select(k, F.to_json(row).alias("json"))
+    orders = dealt(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_orderdate"))
+    return orders.select(k, F.to_json(row).alias("json"))
 
 
 _RECORDS = """
 rec AS (SELECT o_orderkey AS k, 'o' || (o_orderkey - CASE WHEN o_orderkey % 50 = 0 THEN 1 ELSE 0 END) AS doc_id, CASE WHEN o_orderkey % 13 = 0 THEN 0 ELSE o_orderkey END AS ord,
   CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey::VARCHAR END AS num, CASE WHEN o_orderkey % 17 <> 0 THEN o_orderstatus END AS title, CASE WHEN o_orderkey % 2 = 0 THEN 'Act' ELSE 'guideline' END AS doc_type,
-  CASE o_orderkey % 3 WHEN 0 THEN 'Current' WHEN 1 THEN 'repealed' ELSE 'unknown' END AS status, strftime(o_orderdate, '%Y%m%d')::BIGINT AS days, CASE WHEN o_orderkey % 5 = 0 THEN 'a & b' ELSE 'plain text' END AS body, o_orderpriority FROM orders)
+  CASE o_orderkey % 3 WHEN 0 THEN 'Current' WHEN 1 THEN 'repealed' ELSE 'unknown' END AS status, strftime(o_orderdate, '%Y%m%d')::BIGINT AS days, CASE WHEN o_orderkey % 5 = 0 THEN 'a & b' ELSE 'plain text' END AS body, o_orderpriority, o_custkey,
+  CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey % 46 = 0 THEN '0.5' WHEN o_orderkey % 62 = 0 THEN 'NaN' ELSE '0.25' END END AS cell, CASE WHEN o_orderkey % 38 = 0 THEN 3 ELSE 16 END AS dims FROM orders)
 """
 
 
@@ -293,8 +303,8 @@ NORMALISE = f"WITH {_RECORDS} SELECT k AS o_orderkey, doc_id, doc_type, CASE WHE
 
 
 def section_preflight(spark, d):
-    s = feed.normalise(_records(spark, d)).withColumn("idx", F.col("o_orderkey")).drop("dense_embedding")
-    return feed.section_diagnostics(s).select("idx", "code", "path")
+    s = feed.normalise(_records(spark, d)).withColumn("idx", F.col("o_orderkey"))
+    return feed.section_diagnostics(s, size=16).select("idx", "code", "path")
 
 
 PREFLIGHT = f"""
@@ -303,18 +313,27 @@ SELECT k AS idx, 'E_REQUIRED_FIELD_EMPTY' AS code, 'sections[' || k || '].sectio
 UNION ALL SELECT k, 'E_REQUIRED_FIELD_EMPTY', 'sections[' || k || '].title' FROM l WHERE title IS NULL
 UNION ALL SELECT k, 'E_FEED_TYPE_MISMATCH', 'sections[' || k || '].section_ordinal' FROM l WHERE ord <= 0
 UNION ALL SELECT k, 'E_DUPLICATE_DOCUMENT_ID', 'sections[' || k || '].doc_id' FROM l WHERE before IS NOT NULL
+UNION ALL SELECT k, CASE WHEN dims <> 16 THEN 'E_DENSE_VECTOR_DIMENSION_MISMATCH' WHEN cell = 'NaN' THEN 'E_DENSE_VECTOR_NON_FINITE' ELSE 'E_DENSE_VECTOR_NORM_OUT_OF_RANGE' END, 'sections[' || k || '].dense_embedding' FROM l WHERE cell IS NOT NULL AND (dims <> 16 OR cell <> '0.25')
 """
 
 
 def feed_put(spark, d):
     p = feed.put(feed.normalise(_records(spark, d)))
     j = p.select("put", F.to_json("fields").alias("j"))
-    get = lambda n: F.get_json_object("j", f"$.{n}")
-    digest = F.sha2(F.concat_ws("|", get("section_number_attr"), get("citation_tokens"), get("is_current"), get("body_text"), get("url")), 256)
-    return j.select("put", F.size(F.json_object_keys("j")).cast("long").alias("n_fields"), digest.alias("fields_hash"))
-
-
-FEED_PUT = f"""WITH {_RECORDS} SELECT 'id:legal:legal_doc::' || doc_id AS put, 30::BIGINT AS n_fields, sha256(num || '|' || '["order","' || k || '"]' || '|' || CASE WHEN status = 'Current' THEN '1' ELSE '0' END || '|' || body || '|') AS fields_hash FROM rec WHERE num IS NOT NULL AND title IS NOT NULL AND ord > 0"""
+    return j.select("put", F.size(F.json_object_keys("j")).cast("long").alias("n_fields"), F.sha2("j", 256).alias("fields_hash"))
+
+
+#: All fields of a feed row in their order, as JSON.
+FEED_PUT = f"""
+WITH {_RECORDS}, f AS (SELECT *, doc_type = 'Act' AS act, CASE WHEN cell IS NULL THEN '' ELSE ',"dense_embedding_v1_256_native":[' || array_to_string(list_transform(range(dims), lambda i: CASE WHEN cell = 'NaN' THEN '"NaN"' ELSE cell END), ',') || ']' END AS vector,
+  '["' || array_to_string(regexp_extract_all(lower(o_orderpriority), '[a-z0-9]+'), '","') || '"]' AS heading FROM rec WHERE num IS NOT NULL AND title IS NOT NULL AND ord > 0),
+j AS (SELECT doc_id, cell, '{{"doc_id":"' || doc_id || '","parent_doc_id":"c' || o_custkey || '","version_id":"v1","chunk_type":"section","section_ordinal":' || ord || ',"section_number":"' || num || '","section_number_attr":"' || num || '","section_tokens":["' || num
+  || '"],"section_heading":"' || o_orderpriority || '","heading_tokens":' || heading || ',"part_label":"","division_label":"","subdivision_label":"","citation":"Order ' || k || '","citation_attr":"order ' || k || '","citation_tokens":["order","' || k
+  || '"],"title":"' || title || '","title_tokens":["' || lower(title) || '"],"jurisdiction":"cth","doc_type":"' || doc_type || '","source":"register","authority_type":"' || CASE WHEN act THEN 'legislation' ELSE 'regulator_guidance' END || '","authority_rank":' || CASE WHEN act THEN 90 ELSE 70 END
+  || ',"instrument_status":"' || status || '","is_current":' || CASE WHEN status = 'Current' THEN 1 ELSE 0 END || ',"decision_date":"' || substr(days::VARCHAR, 1, 4) || '-' || substr(days::VARCHAR, 5, 2) || '-' || substr(days::VARCHAR, 7, 2) || '","url":"","body_text":"' || body
+  || '","locator_confidence":"unavailable","version_date_days":' || days || vector || '}}' AS j FROM f)
+SELECT 'id:legal:legal_doc::' || doc_id AS put, (30 + CASE WHEN cell IS NULL THEN 0 ELSE 1 END)::BIGINT AS n_fields, sha256(j) AS fields_hash FROM j
+"""
 
 FEED_SCHEMA = feed.SchemaSpec(
     "orders",
@@ -331,12 +350,16 @@ FEED_SCHEMA = feed.SchemaSpec(
 )
 
 
-def feed_preflight(spark, d):
+def _feed_found(spark, d) -> DataFrame:
     k = F.col("o_orderkey")
     doc = F.concat(F.lit('{"doc_id":"o'), k.cast("string"), F.lit('"'), F.when(k % 7 != 0, ',"title":"t"').otherwise(""), F.lit(',"rank":'), F.when(k % 5 == 0, '"high"').when(k % 5 == 1, "1.5").otherwise("3"))
     doc = F.concat(doc, F.lit(',"tokens":'), F.when(k % 3 == 0, '["a",1]').otherwise('["a"]'), F.lit(',"pages":'), F.when(k % 4 == 0, "[1,2.5]").otherwise("[1,2]"), F.when(k % 6 == 0, ',"extra":null').otherwise(""), F.lit(',"current":true}'))
     rows = table(spark, d, "orders").select(k.alias("idx"), F.concat(F.lit('{"put":"p","fields":'), F.when(k % 19 == 0, "[1]").otherwise(doc), F.lit("}")).alias("json"))
-    return feed.feed_diagnostics(rows, spark, FEED_SCHEMA).select("idx", "code", "severity", "path")
+    return feed.feed_diagnostics(rows, spark, FEED_SCHEMA)
+
+
+def feed_preflight(spark, d):
+    return _feed_found(spark, d).select("idx", "code", "severity", "path")
 
 
 FEED_PREFLIGHT = """
@@ -350,10 +373,13 @@ UNION ALL SELECT k, 'W_UNKNOWN_FEED_FIELD', 'warning', 'feed[' || k || '].fields
 """
 
 
-def schema_compare(spark, d):
+def _other_schema() -> feed.SchemaSpec:
     f = {x.name: x for x in FEED_SCHEMA.fields}
-    actual = feed.SchemaSpec("orders2", (f["doc_id"], feed.FieldSpec("title", "string", bm25=True), feed.FieldSpec("rank", "long", fast_search=True), f["tokens"], f["pages"]), (), (feed.RankProfile("bm25_recall", ("body",)),))
-    return feed.compare_schemas(spark, FEED_SCHEMA, actual).select("code", "path")
+    return feed.SchemaSpec("orders2", (f["doc_id"], feed.FieldSpec("title", "string", bm25=True), feed.FieldSpec("rank", "long", fast_search=True), f["tokens"], f["pages"]), (), (feed.RankProfile("bm25_recall", ("body",)),))
+
+
+def schema_compare(spark, d):
+    return feed.compare_schemas(spark, FEED_SCHEMA, _other_schema()).select("code", "path")
 
 
 SCHEMA_COMPARE = """
@@ -363,13 +389,17 @@ SELECT * FROM (VALUES ('E_BM25_FIELD_NOT_INDEXED', 'schema.fields.title'), ('E_F
 """
 
 
-def query_preflight(spark, d):
+def _query_found(spark, d) -> DataFrame:
     c = table(spark, d, "customer")
     k = F.col("c_custkey")
     filters = F.array(F.struct(F.when(k % 3 == 0, "doc_id").when(k % 3 == 1, "title").otherwise("nothing").alias("field"), F.when(k % 2 == 0, "equals").otherwise("prefix").alias("operator")))
     lanes = F.array(F.lit("bm25"), F.when(k % 5 == 0, "sparse").otherwise("dense"))
     q = c.select(k.alias("query_id"), F.when(k % 7 == 0, "none").when(k % 7 < 4, "reranked").otherwise("bm25_recall").alias("ranking"), filters.alias("filters"), lanes.alias("lanes"), F.when(k % 4 != 0, (k % 4) * 80).cast("long").alias("rerank_top_k"), F.lit(100).cast("long").alias("total_target_hits"))
-    return feed.query_diagnostics(q, spark, FEED_SCHEMA).select(F.col("idx").alias("query_id"), "code", "path")
+    return feed.query_diagnostics(q, spark, FEED_SCHEMA)
+
+
+def query_preflight(spark, d):
+    return _query_found(spark, d).select(F.col("idx").alias("query_id"), "code", "path")
 
 
 QUERY_PREFLIGHT = """
@@ -411,6 +441,9 @@ ORDER_SCHEMA = {
         "price": {"type": "number", "exclusiveMaximum": 300000},
         "priority": {"type": ["string", "null"], "pattern": "^[1-5]-", "maxLength": 8},
         "tags": {"type": "array", "minItems": 1, "items": {"$ref": "#/$defs/tag"}},
+        "rate": {"enum": [1.5, 2, "x"]},
+        "word": {"pattern": "^\\p{L}+$"},
+        "most": {"type": "number", "maximum": 10},
     },
     "required": ["key", "status", "tags"],
     "additionalProperties": False,
@@ -419,18 +452,20 @@ ORDER_SCHEMA = {
 
 
 def json_schema_errors(spark, d):
-    o = table(spark, d, "orders")
+    o = dealt(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"))
     k = F.col("o_orderkey")
     doc = F.concat(
         F.lit('{"key":'), F.when(k % 9 == 0, F.concat(k.cast("string"), F.lit(".0"))).otherwise(k.cast("string")), F.when(k % 8 != 0, F.concat(F.lit(',"status":"'), F.col("o_orderstatus"), F.lit('"'))).otherwise(""),
         F.lit(',"price":'), F.format_string("%.2f", "o_totalprice"), F.lit(',"priority":'), F.when(k % 7 == 0, "null").otherwise(F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit('"'))),
-        F.lit(',"tags":'), F.when(k % 6 == 0, "[]").when(k % 6 == 1, '["ab","c"]').otherwise('["ab",3]'), F.when(k % 10 == 0, ',"more":1').otherwise(""), F.lit("}"),
+        F.lit(',"tags":'), F.when(k % 6 == 0, "[]").when(k % 6 == 1, '["ab","c"]').otherwise('["ab",3]'), F.when(k % 10 == 0, ',"more":1').otherwise(""),
+        F.when(k % 12 == 0, ',"rate":1.5').when(k % 12 == 1, ',"rate":2').when(k % 12 == 2, ',"rate":2.5').otherwise(""), F.when(k % 14 == 0, ',"word":"é"').when(k % 14 == 1, ',"word":"1"').otherwise(""),
+        F.when(k % 16 == 0, ',"most":1e30').when(k % 16 == 1, ',"most":10.0').when(k % 16 == 2, ',"most":123456789012345678901234567890').otherwise(""), F.when(k % 33 == 0, ',"key":1').otherwise(""), F.lit("}"),
     )
     errors = json_schema.validate(doc, ORDER_SCHEMA)
     return o.select("o_orderkey", errors.alias("e")).select("o_orderkey", F.size("e").cast("long").alias("n_errors"), F.array_join(F.array_sort("e"), "; ").alias("errors_text"))
 
 
-JSON_SCHEMA_ERRORS = """
+JSON_SCHEMA_ERRORS = r"""
 WITH e AS (SELECT o_orderkey, list_filter([
   CASE WHEN o_orderkey % 9 = 0 THEN '$.key expected integer but got number' WHEN o_orderkey < 10 THEN '$.key violates minimum 10' END,
   CASE WHEN o_orderkey % 8 = 0 THEN '$.status required field missing' WHEN o_orderstatus NOT IN ('O', 'F') THEN '$.status is not one of the allowed values' END,
@@ -438,8 +473,10 @@ WITH e AS (SELECT o_orderkey, list_filter([
   CASE WHEN o_orderkey % 7 <> 0 AND length(o_orderpriority) > 8 THEN '$.priority violates maxLength 8' END,
   CASE WHEN o_orderkey % 7 <> 0 AND NOT regexp_matches(o_orderpriority, '^[1-5]-') THEN '$.priority violates pattern ^[1-5]-' END,
   CASE WHEN o_orderkey % 6 = 0 THEN '$.tags violates minItems 1' WHEN o_orderkey % 6 = 1 THEN '$.tags[1] did not match anyOf' END,
-  CASE WHEN o_orderkey % 10 = 0 THEN '$.more additional property is not allowed' END], lambda x: x IS NOT NULL) AS e FROM orders)
-SELECT o_orderkey, len(e)::BIGINT AS n_errors, array_to_string(list_sort(e), '; ') AS errors_text FROM e
+  CASE WHEN o_orderkey % 12 = 2 THEN '$.rate is not one of the allowed values' END, CASE WHEN o_orderkey % 14 = 1 THEN '$.word violates pattern ^\p{L}+$' END, CASE WHEN o_orderkey % 16 IN (0, 2) THEN '$.most violates maximum 10' END,
+  CASE WHEN o_orderkey % 10 = 0 THEN '$.more additional property is not allowed' END], lambda x: x IS NOT NULL) AS e FROM orders),
+p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 33 <> 0 THEN e END AS e FROM e)
+SELECT o_orderkey, len(e)::BIGINT AS n_errors, array_to_string(list_sort(e), '; ') AS errors_text FROM p
 """
 
 
@@ -514,14 +551,14 @@ DOC_STATS = "SELECT source, count(*) AS sections, count(*) FILTER (NOT contains(
 
 def block_classify(spark, d):
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "t"))
-    said = F.when(F.col("line_no") % 9 == 0, F.concat(F.lit("- "), F.col("t"))).when(F.col("line_no") % 9 == 1, F.concat(F.lit(" 12) "), F.col("t"))).when(F.col("line_no") % 9 == 2, F.upper(F.substring("t", 1, 30))).otherwise(F.col("t"))
+    said = F.when(F.col("line_no") % 9 == 0, F.concat(F.lit("- "), F.col("t"))).when(F.col("line_no") % 9 == 1, F.concat(F.lit(" 12) "), F.col("t"))).when(F.col("line_no") % 9 == 2, F.upper("t")).otherwise(F.col("t"))
     height = F.when(F.col("line_no") % 9 == 3, 12.0).otherwise(10.0)
     return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), layout.classified(said, height, F.lit(10.0)).alias("kind"))
 
 
 BLOCK_CLASSIFY = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents),
-s AS (SELECT doc_id, n, CASE n % 9 WHEN 0 THEN '- ' || t WHEN 1 THEN ' 12) ' || t WHEN 2 THEN upper(substr(t, 1, 30)) ELSE t END AS x FROM l),
+s AS (SELECT doc_id, n, CASE n % 9 WHEN 0 THEN '- ' || t WHEN 1 THEN ' 12) ' || t WHEN 2 THEN upper(t) ELSE t END AS x FROM l),
 b AS (SELECT *, regexp_replace(x, '^[\t\n\x0B\f\r ]+', '') AS y, regexp_replace(x, '^[\t\n\x0B\f\r ]+|[\t\n\x0B\f\r ]+$', '', 'g') AS h FROM s)
 SELECT doc_id, n::BIGINT AS line_no, CASE WHEN y = '' THEN 'OTHER' WHEN substr(y, 1, 1) IN ('•', '▪', '*', '-', '·') OR regexp_matches(x, '^[\t\n\x0B\f\r ]*[0-9]+[.)][\t\n\x0B\f\r ]+') THEN 'LIST' WHEN n % 9 = 3 THEN 'HEADING'
   WHEN length(h) BETWEEN 5 AND 60 AND h = upper(h) AND regexp_matches(h, '\pL') AND length(regexp_replace(h, '[^\p{Nd}]', '', 'g')) / length(h) < 0.3 THEN 'HEADING' ELSE 'BODY' END AS kind FROM b
@@ -602,6 +639,204 @@ def completion_retry(spark, d):
 
 COMPLETION = "SELECT c_custkey AS request_id, CASE c_custkey % 4 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 1 END::BIGINT AS attempts, CASE c_custkey % 4 WHEN 2 THEN 'EXTRACTION_SCHEMA_VALIDATION_FAILED' WHEN 3 THEN 'PROVIDER_AUTH_FAILED' END AS error_code FROM customer"
 
+
+def audit_events(spark, d):
+    e = output.audit_events(completion_retry(spark, d), "canned")
+    return e.select("request_id", "type", F.col("attributes")["retries"].alias("retries"), F.col("attributes")["errorCode"].alias("error_code"))
+
+
+AUDIT_EVENTS = f"SELECT request_id, CASE WHEN error_code IS NULL THEN 'extraction.success' ELSE 'extraction.failed' END AS type, CASE WHEN error_code IS NULL THEN (attempts - 1)::VARCHAR END AS retries, error_code FROM ({COMPLETION})"
+
+# ---- files, reports, outputs -------------------------------------------------------
+
+
+def csv_files(spark, d):
+    """The nations written as a CSV file for each region and read again as documents."""
+    path = scratch.new_path(spark, "csv")
+    table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").repartition("n_regionkey").write.partitionBy("n_regionkey").csv(path)
+    rows = files.read_documents(spark, path).select("type", "page", F.explode("rows").alias("r"))
+    return rows.select("type", F.col("page").cast("long").alias("page"), F.col("r")[0].alias("nation_key"), F.col("r")[1].alias("name"))
+
+
+CSV_FILES = "SELECT 'table' AS type, 1::BIGINT AS page, n_nationkey::VARCHAR AS nation_key, n_name AS name FROM nation"
+
+
+def jsonl_sections(spark, d):
+    """Section records as JSON lines, some broken or no objects: sections and diagnostics counted."""
+    path = scratch.new_path(spark, "jsonl")
+    k = F.col("o_orderkey")
+    _records(spark, d).select(F.when(k % 41 == 0, "{").when(k % 43 == 0, "[1]").otherwise(F.col("json")).alias("value")).write.text(path)
+    sections, found = feed.sections_of(files.read_json_lines(spark, path))
+    counted = found.groupBy("code", F.regexp_replace("path", "^.*[.]|^sections.*$", "").alias("field")).agg(F.count("*").alias("n"))
+    return counted.unionByName(sections.agg(F.lit("section").alias("code"), F.lit("").alias("field"), F.count("*").alias("n")))
+
+
+JSONL_SECTIONS = f"""
+WITH {_RECORDS}, c AS (SELECT CASE WHEN k % 41 = 0 THEN 'E_JSONL_PARSE_FAILED' WHEN k % 43 = 0 THEN 'E_SECTION_PARSE_FAILED' WHEN num IS NULL OR title IS NULL THEN 'E_REQUIRED_FIELD_EMPTY' ELSE 'section' END AS code, CASE WHEN k % 41 = 0 OR k % 43 = 0 THEN '' WHEN num IS NULL THEN 'section_number' WHEN title IS NULL THEN 'title' ELSE '' END AS field FROM rec)
+SELECT code, field, count(*) AS n FROM c GROUP BY ALL
+"""
+
+
+def preflight_report(spark, d):
+    """Diagnostics of all four stages as one report: counts by stage and the outcome."""
+    rows = [feed.compare_schemas(spark, FEED_SCHEMA, _other_schema()), feed.section_diagnostics(feed.normalise(_records(spark, d)).withColumn("idx", F.col("o_orderkey")), size=16), _feed_found(spark, d), _query_found(spark, d)]
+    whole = feed.united(*rows)
+    counts = whole.groupBy("stage_no", "stage").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    head = feed.report(whole, FEED_SCHEMA.name).select("has_errors", F.col("exit_code").cast("long").alias("exit_code"))
+    return counts.crossJoin(F.broadcast(head)).select(F.col("stage_no").cast("long").alias("stage_no"), "stage", "errors", "warnings", "has_errors", "exit_code")
+
+
+def first_errors(spark, d):
+    found = _feed_found(spark, d)
+    return feed.first_errors(found).select("idx", "code", "path").crossJoin(F.broadcast(feed.has_errors(found)))
+
+
+FIRST_ERRORS = f"SELECT idx, code, path, TRUE AS has_errors FROM ({FEED_PREFLIGHT}) WHERE severity = 'error' ORDER BY idx, path LIMIT 10"
+REPORT = f"""
+SELECT k::BIGINT AS stage_no, stage, errors, warnings, TRUE AS has_errors, 1::BIGINT AS exit_code FROM (
+  SELECT 1 AS k, 'schema' AS stage, count(*) AS errors, 0::BIGINT AS warnings FROM ({SCHEMA_COMPARE})
+  UNION ALL SELECT 2, 'sections', count(*), 0 FROM ({PREFLIGHT})
+  UNION ALL SELECT 3, 'feed', count(*) FILTER (severity = 'error'), count(*) FILTER (severity = 'warning') FROM ({FEED_PREFLIGHT})
+  UNION ALL SELECT 4, 'query', count(*), 0 FROM ({QUERY_PREFLIGHT}))
+"""
+
+
+def parsed_documents(spark, d):
+    """Benchmark items as parsed documents of a text, a table and a figure."""
+    b = table(spark, d, "benchmark")
+    kinds = F.explode(F.array(*[F.struct(F.lit(i).alias("section_ord"), F.lit(t).alias("type")) for i, t in enumerate(("text", "table", "figure"))])).alias("s")
+    s = b.select(F.col("item_id").alias("doc_id"), "text", kinds).select("doc_id", "text", "s.*")
+    box = F.when(F.col("doc_id") % 2 == 0, F.struct(F.lit(1.5).alias("x0"), F.lit(2.0).alias("y0"), F.lit(3.0).alias("x1"), F.lit(4.0).alias("y1")))
+    s = s.select("*", F.concat(F.lit("b"), "doc_id", F.lit(".txt")).alias("source_filename"), F.lit(1).alias("page_count"), F.lit("BODY").alias("kind"), F.array(F.array("text", F.lit("x"))).alias("rows"), F.lit("a figure").alias("caption"), box.alias("bbox"))
+    s = s.withColumns({n: F.lit(None).cast("int") for n in ("page_start", "page_end", "line_end", "char_offset")} | {"line_start": F.col("section_ord") + 1})
+    return output.parsed_json(s).select("doc_id", F.length("json").cast("long").alias("n_chars"), F.sha2("json", 256).alias("json_hash"))
+
+
+PARSED = """
+WITH j AS (SELECT item_id AS doc_id, '{"docId":"' || item_id || '","metadata":{"sourceFilename":"b' || item_id || '.txt","pageCount":1},"sections":[{"type":"text","location":{"pageStart":1,"pageEnd":1,"lineStart":1,"lineEnd":1,"charOffset":0},"kind":"BODY","text":' || to_json(text)::VARCHAR
+  || CASE WHEN item_id % 2 = 0 THEN ',"boundingBox":{"x0":1.5,"y0":2.0,"x1":3.0,"y1":4.0}' ELSE '' END || '},{"type":"table","location":{"pageStart":1,"pageEnd":1,"lineStart":2,"lineEnd":1,"charOffset":0},"rows":[[' || to_json(text)::VARCHAR || ',"x"]]},{"type":"figure","location":{"pageStart":1,"pageEnd":1,"lineStart":3,"lineEnd":1,"charOffset":0},"caption":"a figure"}]}' AS j FROM benchmark)
+SELECT doc_id, length(j)::BIGINT AS n_chars, sha256(j) AS json_hash FROM j
+"""
+
+
+def corpus_stats(spark, d):
+    docs = table(spark, d, "documents")
+    read = docs.select(F.col("doc_id").cast("string").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("doc_id"), F.size(F.split("text", "\n")).cast("long").alias("n_sections"), F.when(F.col("doc_id") % 9 == 0, "CSV_PARSE_FAILED").alias("error_code"), "source")
+    return output.corpus_stats(read, ["source"])
+
+
+CORPUS_STATS = """
+WITH r AS (SELECT source, sha256(coalesce(text, '')) AS id, len(string_split(text, chr(10)))::BIGINT AS n, doc_id % 9 <> 0 AS good FROM documents),
+s AS (SELECT source, count(*) FILTER (c > 1) AS shared_ids FROM (SELECT source, id, count(*) AS c FROM r GROUP BY ALL) GROUP BY source)
+SELECT source, count(*) AS files, count(*) FILTER (good) AS passed, count(*) FILTER (good) / count(*) AS pass_rate, min(n) FILTER (good) AS least, median(n) FILTER (good)::DOUBLE AS median, max(n) FILTER (good) AS most, any_value(shared_ids) AS shared_ids FROM r JOIN s USING (source) GROUP BY source
+"""
+
+
+def page_kinds(spark, d):
+    b = block_classify(spark, d).select("doc_id", F.floor(F.col("line_no") / 10).cast("long").alias("page"), "kind")
+    return layout.page_kinds(b)
+
+
+PAGE_KINDS = f"SELECT doc_id, line_no // 10 AS page, kind, count(*) AS n_blocks FROM ({BLOCK_CLASSIFY}) GROUP BY ALL"
+
+
+def item_paths(spark, d):
+    """Line items two arrays deep, projected each by a dotted path."""
+    one = F.struct(F.array(F.struct(F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("flag"))).alias("parts"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag", one.alias("one")))), lambda x: x["one"])
+    orders = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.struct(lines.alias("lines")).alias("order"))
+    p = projection.project_items(orders, "l_orderkey", "order.lines.parts", [projection.Mapping("part", "part", "sort", True), projection.Mapping("flag", "flag", "filter")])
+    return p.select("object_id", F.col("sort")["part"].alias("part"), F.col("filter")["flag"].alias("flag"), "error")
+
+
+ITEM_PATHS = "SELECT l_orderkey || '::' || lpad((row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) - 1)::VARCHAR, 4, '0') AS object_id, l_partkey::VARCHAR AS part, l_returnflag AS flag, NULL::VARCHAR AS error FROM lineitem"
+
+
+def confidence_map(spark, d):
+    c = cite_exact(spark, d).select((F.col("item_id") % 10).alias("result_id"), F.concat(F.lit("f"), F.col("item_id").cast("string")).alias("path"), F.col("match_score").alias("score"))
+    return audit.confidence(c).select("result_id", F.explode("confidence").alias("path", "c")).select("result_id", "path", "c.score", "c.rationale")
+
+
+CONFIDENCE = f"SELECT item_id % 10 AS result_id, 'f' || item_id AS path, match_score AS score, CASE WHEN match_score >= 1 THEN 'quoted verbatim' ELSE 'no supporting passage' END AS rationale FROM ({CITE_EXACT})"
+
+
+def citation_filter(spark, d):
+    c = cite_exact(spark, d).select("item_id", F.concat(F.lit("f"), (F.col("item_id") % 5).cast("string")).alias("path"), "match_score")
+    return evidence.kept_citations(c, ("f1", "f3"))
+
+
+CITATION_FILTER = f"SELECT item_id, 'f' || (item_id % 5) AS path, match_score FROM ({CITE_EXACT}) WHERE item_id % 5 IN (1, 3)"
+
+
+def prov_text(spark, d):
+    """Whole audit documents, signed by a digest."""
+    c = cite_exact(spark, d)
+    cites = c.select((F.col("item_id") % 10).alias("result_id"), F.format_string("f%06d", "item_id").alias("path"), F.lit("q").alias("quote"), F.col("match_score").alias("score"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), "line_start", F.col("line_start").alias("line_end"), "char_offset")
+    made = cites.select("result_id").distinct().select("result_id", F.lit("m").alias("model"), F.lit("1").alias("model_version"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("extracted_at"))
+    return audit.signed(audit.prov_documents(cites, made), lambda text: F.sha2(text, 256)).select("result_id", F.col("audit").alias("signature"))
+
+
+PROV_TEXT = f"""
+WITH c AS (SELECT *, item_id % 10 AS result_id, '{{"@type":"prov:Entity","evidence:fieldPath":"f' || lpad(item_id::VARCHAR, 6, '0') || '","prov:value":"q","evidence:matchScore":' || match_score || ',"evidence:sourceLocation":{{"pageStart":1,"pageEnd":1,"lineStart":' || line_start || ',"lineEnd":' || line_start || ',"charOffset":' || char_offset || '}}}}' AS j FROM ({CITE_EXACT}))
+SELECT result_id, sha256('{{"@context":{{"prov":"http://www.w3.org/ns/prov#"}},"@type":"prov:Entity","prov:wasGeneratedBy":{{"@type":"prov:Activity","prov:startedAtTime":"2024-01-01T00:00:00Z","prov:wasAssociatedWith":{{"@type":"prov:SoftwareAgent","rdfs:label":"m","prov:version":"1"}}}},"prov:wasDerivedFrom":[' || string_agg(j, ',' ORDER BY item_id) || ']}}') AS signature FROM c GROUP BY result_id
+"""
+
+
+def layout_boxes(spark, d):
+    """The box of each turn's words, laid out as in block_group on pages of 100 by 4000."""
+    w = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.posexplode(F.split("text", " ")).alias("seq", "word"))
+    line = F.floor(F.col("seq") / 6)
+    g = w.select("doc_id", "page", "seq", F.concat("word", F.lit(" ")).alias("u"), ((F.col("seq") % 6) * 10).cast("double").alias("x"), (20 + line * 12).cast("double").alias("y"), F.lit(9.0).alias("w"), F.lit(10.0).alias("h"), F.lit(100.0).alias("page_width"), F.lit(4000.0).alias("page_height"))
+    b = layout.layout_boxes(g, ["doc_id", "page"])
+    return b.select("doc_id", "page", *[F.round(f"bbox.{n}", 4).alias(n) for n in ("x0", "y0", "x1", "y1")])
+
+
+LAYOUT_BOXES = r"""
+WITH w AS (SELECT conv_id AS doc_id, turn AS page, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS seq FROM conversations),
+g AS (SELECT doc_id, page, (seq % 6) * 10 AS x, 20 + (seq // 6) * 12 AS y FROM w WHERE NOT regexp_matches(word || ' ', '^[\t\n\x0B\f\r ]*$')),
+b AS (SELECT doc_id, page, least(1000, min(x) * 10.0) AS x0, least(1000, (min(y) - 16.7) / 4) AS y0, least(1000, (max(x) + 9) * 10.0) AS x1, least(1000, (max(y) + 3.1) / 4) AS y1 FROM g GROUP BY doc_id, page)
+SELECT doc_id, page, CASE WHEN ok THEN round(x0::DOUBLE, 4) END AS x0, CASE WHEN ok THEN round(y0::DOUBLE, 4) END AS y0, CASE WHEN ok THEN round(x1::DOUBLE, 4) END AS x1, CASE WHEN ok THEN round(y1::DOUBLE, 4) END AS y1 FROM (SELECT *, x1 > x0 AND y1 > y0 AS ok FROM b)
+"""
+
+
+def rendered_sections(spark, d):
+    c = table(spark, d, "conversations").withColumn("t", F.coalesce("text", F.lit("")))
+    kind = F.when(F.col("turn") % 3 == 0, "text").when(F.col("turn") % 3 == 1, "table").otherwise("figure")
+    r = context.rendered(kind, F.col("t"), F.array(F.array("role", "t"), F.array(F.lit("x"))), F.col("t"))
+    return c.select("conv_id", "turn", F.sha2(r, 256).alias("rendered_hash"))
+
+
+RENDERED = "SELECT conv_id, turn, sha256(CASE turn % 3 WHEN 0 THEN t WHEN 1 THEN coalesce(role, '') || ' | ' || t || chr(10) || 'x' ELSE '[Figure: ' || t || ']' END) AS rendered_hash FROM (SELECT *, coalesce(text, '') AS t FROM conversations)"
+
+
+def ranking_fields(spark, d):
+    k = F.col("c_custkey")
+    rank = F.concat(F.lit("bm25(title) + 2 * bm25( body"), (k % 4).cast("string"), F.lit(" ) + bm25(title)"))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(T.bm25_fields(rank), ",").alias("fields"))
+
+
+RANKING_FIELDS = "SELECT c_custkey, 'title,body' || (c_custkey % 4) AS fields FROM customer"
+
+
+def contract_records(spark, d):
+    """Corpus sources, clean texts, search qualities and documents against their contracts."""
+    k = F.col("p_partkey")
+    at = lambda n, good: F.when(k % n != 0, F.lit(good))
+    p = table(spark, d, "part").select(
+        k, at(7, "f").alias("source_family"), F.lit("n").alias("display_name"), F.lit("cth").alias("jurisdiction"), at(11, "u").alias("canonical_url"), F.when(k % 2 == 0, "supported").otherwise("planned").alias("coverage_status"), F.when(k % 3 == 0, "unspecified").otherwise("p").alias("parser"),
+        at(5, "t").alias("text"), (k % 4).alias("line_count"), (k % 3).alias("attempt"), F.lit(5).alias("top_k"), F.when(k % 13 == 0, 1.5).otherwise(0.5).alias("top_score"), F.lit(0.1).alias("coverage"), at(17, "why").alias("reason"),
+        F.lit("d").alias("doc_id"), F.lit("v").alias("version_id"), at(19, "c").alias("citation"), F.lit("t").alias("title"), F.lit("Act").alias("doc_type"), at(23, "s").alias("source"),
+    )
+    return p.select("p_partkey", contracts.corpus_source().alias("source_error"), contracts.clean_text_record().alias("text_error"), contracts.search_quality().alias("quality_error"), contracts.document().alias("document_error"))
+
+
+CONTRACT_RECORDS = """
+SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'source_family is required' WHEN p_partkey % 11 = 0 THEN 'canonical_url is required' WHEN p_partkey % 6 = 0 THEN 'parser is required' END AS source_error,
+  CASE WHEN p_partkey % 5 = 0 THEN 'text is required' WHEN p_partkey % 4 = 0 THEN 'line_count must be positive' END AS text_error,
+  CASE WHEN p_partkey % 3 = 0 THEN 'attempt must be positive' WHEN p_partkey % 13 = 0 THEN 'top_score is out of range' WHEN p_partkey % 17 = 0 THEN 'reason is required' END AS quality_error,
+  CASE WHEN p_partkey % 19 = 0 THEN 'citation is required' WHEN p_partkey % 23 = 0 THEN 'source is required' END AS document_error FROM part
+"""
+
 # ------------------------------------------------------------------------------------
 
 _ALL = {
@@ -640,6 +875,22 @@ _ALL = {
     "registry_coverage": (registry_coverage, REGISTRY),
     "contract_errors": (contract_errors, CONTRACTS),
     "completion_retry": (completion_retry, COMPLETION),
+    "audit_events": (audit_events, AUDIT_EVENTS),
+    "csv_files": (csv_files, CSV_FILES),
+    "jsonl_sections": (jsonl_sections, JSONL_SECTIONS),
+    "preflight_report": (preflight_report, REPORT),
+    "first_errors": (first_errors, FIRST_ERRORS),
+    "parsed_documents": (parsed_documents, PARSED),
+    "corpus_stats": (corpus_stats, CORPUS_STATS),
+    "page_kinds": (page_kinds, PAGE_KINDS),
+    "item_paths": (item_paths, ITEM_PATHS),
+    "confidence_map": (confidence_map, CONFIDENCE),
+    "citation_filter": (citation_filter, CITATION_FILTER),
+    "prov_text": (prov_text, PROV_TEXT),
+    "layout_boxes": (layout_boxes, LAYOUT_BOXES),
+    "rendered_sections": (rendered_sections, RENDERED),
+    "ranking_fields": (ranking_fields, RANKING_FIELDS),
+    "contract_records": (contract_records, CONTRACT_RECORDS),
 }
 
 

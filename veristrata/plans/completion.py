@@ -10,27 +10,28 @@ from __future__ import annotations
 import json
 import random
 import re
-import tempfile
 import time
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from email.utils import parsedate_to_datetime
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veristrata.functions import json_schema
+from veristrata.sources.scratch import new_path
 
-#: HTTP statuses worth another try.
+#: How much of an error's body is kept, and HTTP statuses worth another try.
+ERROR_BODY = 500
 RETRYABLE = (408, 429, 500, 502, 503, 504)
 
 
 class ProviderError(Exception):
     def __init__(self, code: str, message: str, status: int | None = None, wait: float | None = None):
-        super().__init__(message[:500])
+        super().__init__(message[: ERROR_BODY + 100])
         self.code, self.status, self.wait = code, status, wait
 
 
@@ -108,21 +109,57 @@ def candidate_text(response: Column) -> Column:
     return F.get_json_object(response, "$.candidates[0].content.parts[0].text")
 
 
+def http_provider(url: str, headers: dict[str, str], request: Callable[[str], dict], timeout: float = 60.0, send=None) -> Callable[[str, int], str]:
+    """A provider that posts ``request(prompt)`` as JSON and gives back the response's body.
+
+    Statuses from 300 on are errors PROVIDER_HTTP_<status> with the body's beginning; a
+    server's wait goes with them.  ``send(url, body, headers, timeout)`` gives ``(status, body, headers)``.
+    """
+
+    def call(prompt: str, attempt: int) -> str:
+        try:
+            body = json.dumps(request(prompt)).encode()
+        except (TypeError, ValueError) as e:
+            raise ProviderError("PROVIDER_REQUEST_INVALID", str(e)) from e
+        try:
+            status, text, said = (send or _post)(url, body, {"Content-Type": "application/json"} | headers, timeout)
+        except OSError as e:
+            raise ProviderError("PROVIDER_TRANSPORT_FAILED", str(e), 503) from e
+        if not 200 <= status < 300:
+            short = text if len(text) <= ERROR_BODY else text[:ERROR_BODY] + "...(truncated)"
+            raise ProviderError(f"PROVIDER_HTTP_{status}", f"HTTP {status}: {short}", status, retry_after(said.get("Retry-After"), datetime.now(UTC)))
+        try:
+            json.loads(text)
+        except ValueError as e:
+            raise ProviderError("PROVIDER_RESPONSE_INVALID", str(e)) from e
+        return text
+
+    return call
+
+
+def _post(url: str, body: bytes, headers: dict[str, str], timeout: float) -> tuple[int, str, dict]:
+    from urllib import error, request
+
+    try:
+        with request.urlopen(request.Request(url, body, headers, method="POST"), timeout=timeout) as r:
+            return r.status, r.read().decode("utf-8", "replace"), dict(r.headers)
+    except error.HTTPError as e:
+        return e.code, e.read().decode("utf-8", "replace"), dict(e.headers)
+
+
 def _written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="completions-")
-    path = f"{folder.rstrip('/')}/completions/{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, "completions")
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
-def complete(requests: DataFrame, provider: Callable[[str, int], str], schema: dict, check: Callable[[DataFrame], DataFrame] | None = None, max_retries: int = 0, repair: bool = True, key: str = "request_id") -> DataFrame:
+def complete(requests: DataFrame, provider: Callable[[str, int], str], schema: dict, check: Callable[[DataFrame], DataFrame] | None = None, max_retries: int = 0, repair: bool = True, key: str = "request_id", retry: Retry | None = None) -> DataFrame:
     """``key, response, attempts, error_code, error`` for requests ``key, prompt``.
 
     A response that doesn't parse, breaks the schema, or fails ``check`` (which
     adds ``check_error``) is asked for again, at most ``max_retries`` times;
     with ``repair`` its errors are added to the prompt.  An error of the
-    provider itself ends its request at once.
+    provider itself ends its request, at once or after the tries that ``retry`` allows.
     """
     kind = requests.schema[key].dataType.simpleString()
 
@@ -132,7 +169,7 @@ def complete(requests: DataFrame, provider: Callable[[str, int], str], schema: d
                 rows = []
                 for k, prompt in zip(pdf[key], pdf["_ask"], strict=True):
                     try:
-                        rows.append((k, provider(prompt, attempt), None, None))
+                        rows.append((k, retry.run(partial(provider, prompt, attempt)) if retry else provider(prompt, attempt), None, None))
                     except ProviderError as e:
                         rows.append((k, None, e.code, str(e)))
                 yield pd.DataFrame(rows, columns=[key, "response", "provider_code", "provider_error"])

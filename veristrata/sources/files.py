@@ -12,6 +12,7 @@ import csv
 import io
 import posixpath
 import re
+import sys
 import zipfile
 from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
@@ -35,6 +36,8 @@ def parse_csv(content: bytes) -> Parsed:
         text = content.decode("utf-8")
     except UnicodeDecodeError:
         text = content.decode("latin-1")
+    # A cell may be as long as the file.
+    csv.field_size_limit(sys.maxsize)
     rows = [r for r in csv.reader(io.StringIO(text, newline=""), strict=True) if r]
     return 1, [("table", None, rows, 1, 1, len(rows))] if rows else []
 
@@ -120,15 +123,35 @@ def parse_docx(content: bytes) -> Parsed:
 
 
 PARSERS: dict[str, Callable[[bytes], Parsed]] = {"csv": parse_csv, "xlsx": parse_xlsx, "docx": parse_docx}
+#: Readers of PDF bytes by their ids; none comes with the engine.
+PDF_BACKENDS: dict[str, Callable[[bytes], Parsed]] = {}
 
 
-def _sections(path: str, doc_id: str, content: bytes) -> Iterator[tuple]:
-    kind = path.rsplit(".", 1)[-1].lower()
-    if kind not in PARSERS:
+def pdf_backend(name: str | None) -> Callable[[bytes], Parsed]:
+    """The backend of an id, whatever its case and the space around it; ValueError for an unknown one."""
+    if name is None:
+
+        def absent(content: bytes) -> Parsed:
+            raise ValueError("no PDF backend is given")
+
+        return absent
+    known = PDF_BACKENDS.get(name.strip().lower())
+    if known is None:
+        raise ValueError(f"unknown PDF backend {name}")
+    return known
+
+
+def _kind(path: str) -> str:
+    return path.rsplit("/", 1)[-1].rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
+
+
+def _sections(path: str, doc_id: str, content: bytes, parsers: dict[str, Callable[[bytes], Parsed]] = PARSERS) -> Iterator[tuple]:
+    kind = _kind(path)
+    if kind not in parsers:
         yield (path, doc_id, None, None, None, None, None, None, None, None, "UNSUPPORTED_FORMAT", kind)
         return
     try:
-        pages, found = PARSERS[kind](bytes(content))
+        pages, found = parsers[kind](bytes(content))
     except Exception as e:  # noqa: BLE001  any malformed file is a row, not a failed job
         yield (path, doc_id, None, None, None, None, None, None, None, None, f"{kind.upper()}_PARSE_FAILED", str(e))
         return
@@ -138,20 +161,31 @@ def _sections(path: str, doc_id: str, content: bytes) -> Iterator[tuple]:
         yield (path, doc_id, pages, i, variant, text, rows, page, start, end, None, None)
 
 
-def read_documents(spark: SparkSession, path: str, glob: str = "*.{csv,xlsx,docx}") -> DataFrame:
-    """Sections of all files under a path. ``doc_id`` is the digest of a file's bytes and tells nothing of its path."""
+def read_documents(spark: SparkSession, path: str | list[str], glob: str = "*.{csv,xlsx,docx,pdf}", pdf: str | None = None) -> DataFrame:
+    """Sections of all files under a path, of any format. ``doc_id`` is the digest of a file's bytes and tells nothing of its path."""
+    parsers = PARSERS | {"pdf": pdf_backend(pdf)}
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     names = [c.split()[0] for c in SECTION.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [r for p, d, c in zip(pdf["path"], pdf["doc_id"], pdf["content"], strict=True) for r in _sections(p, d, c)]
+            rows = [r for p, d, c in zip(pdf["path"], pdf["doc_id"], pdf["content"], strict=True) for r in _sections(p, d, c, parsers)]
             yield pd.DataFrame(rows, columns=names, dtype=object)
 
     keyed = files.select("path", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("doc_id"), "content")
     return keyed.mapInPandas(run, SECTION)
 
 
+def read_listed(spark: SparkSession, paths: list[str], pdf: str | None = None) -> DataFrame:
+    """Sections of the listed files; a path without a file is a row with ``<FORMAT>_FILE_NOT_FOUND``."""
+    there, lost = [], []
+    for p in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(p)
+        (there if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place) else lost).append(p)
+    gone = spark.createDataFrame([(p, *[None] * 9, f"{_kind(p).upper() or 'DOCUMENT'}_FILE_NOT_FOUND", f"no file at {p}") for p in lost], SECTION)
+    return read_documents(spark, there, "*", pdf).unionByName(gone) if there else gone
+
+
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """``path, line_no, json, error_code``: blank lines skipped, lines that are no object marked, the rest carried on.
 
