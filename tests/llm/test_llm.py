@@ -208,6 +208,61 @@ def test_language_id(spark):
     assert [r.lang_pred for r in langid.identify(frame(spark, ["a", None]), none, "doc_id").collect()] == ["und", "und"]
 
 
+def test_network_equals_plain_loops():
+    """Each position's label from gates computed one by one; a document's probabilities pool them."""
+    model = langid.train([("aa", b"kato mira toka mika " * 20), ("bb", b"schung verich ungsch " * 20)], 200)
+    p, h = model.net.p, model.net.h
+    sig = lambda x: 1 / (1 + math.exp(-x))
+
+    def run(d, codes):
+        state, out = [0.0] * h, []
+        for c in codes:
+            x, u, bias = p["x" + d][c], p["u" + d], p["c" + d]
+            rec = [sum(state[i] * float(u[i, j]) for i in range(h)) for j in range(3 * h)]
+            z = [sig(float(x[j]) + rec[j]) for j in range(h)]
+            r = [sig(float(x[h + j]) + rec[h + j]) for j in range(h)]
+            new = [math.tanh(float(x[2 * h + j]) + r[j] * (rec[2 * h + j] + float(bias[j]))) for j in range(h)]
+            state = [new[j] + z[j] * (state[j] - new[j]) for j in range(h)]
+            out.append([sum(state[i] * float(p["o" + d][i, k]) for i in range(h)) for k in range(2)])
+        return out
+
+    for text in ("kato schung mi", "ungvermika 12 x", "w" * 100):
+        total, n = [0.0, 0.0], 0
+        for word in text.split():
+            if not re.search("[a-z]", word):
+                continue
+            for piece in [word[i : i + langid.PIECE].encode() for i in range(0, len(word), langid.PIECE)]:
+                ahead, behind = run("f", piece), run("b", piece[::-1])[::-1]
+                for a, b in zip(ahead, behind, strict=True):
+                    logits = [a[k] + b[k] + float(p["b"][k]) for k in range(2)]
+                    norm = math.log(sum(math.exp(x) for x in logits))
+                    total = [t + x - norm for t, x in zip(total, logits, strict=True)]
+                    n += 1
+        share = [math.exp(t / n) for t in total]
+        ((_, _, chunk),) = chunks(pa.array([text.encode()], pa.binary()))
+        best, score = model.predict(chunk)
+        assert best[0] == int(share[1] > share[0]) and abs(score[0] - max(share) / sum(share)) < 1e-4
+
+
+DATA = "/root/testdata/sf0.01"
+needs_tables = pytest.mark.skipif(not __import__("os").path.isdir(DATA), reason="no driver tables")
+
+
+@needs_tables
+def test_held_out_figures(spark):
+    """Language, quality and language-model scores of rows that were not learned from."""
+    docs = {r.doc_id: r.lang for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang").collect()}
+    found = [r for r in langid.op5_language_id(spark, DATA).collect() if r.held_out and docs[r.doc_id] and r.lang_pred != "und"]
+    assert np.mean([r.lang_pred == docs[r.doc_id] for r in found]) > 0.97
+    quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    judged = [(quality[r.doc_id], r.score, r.predicted) for r in pu_quality.op10_pu_quality(spark, DATA).collect() if r.held_out and r.doc_id in quality]
+    good, bad = [s for q, s, _ in judged if q == 1], [s for q, s, _ in judged if q == 0]
+    assert np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad]) > 0.95
+    assert np.mean([p == q for q, _, p in judged]) > 0.93
+    scored = [r for r in lm_score.op7_suffix_tree(spark, DATA).collect() if r.held_out]
+    assert sum(r.score for r in scored) > 0.95 * sum(r.base_score for r in scored)
+
+
 def test_every_language_label_is_learned(spark):
     names = [f"l{i:02d}" for i in range(70)]
     lang = {i: names[i // 2] for i in range(140)}
@@ -279,6 +334,71 @@ def test_suffix_tree_distributions_sum_to_one():
         assert abs(total - 1) < 1e-9, before
 
 
+def brute_suffix_tree(texts, learn):
+    """Scores by dictionaries: counts of words, pairs and triples, and the rule that decides which contexts stay."""
+    end = None
+    lines = [[*(w.lower() for w in words_of(t)), end] for t in texts]
+    one, two, three = Counter(), Counter(), Counter()
+    for line, good in zip(lines, learn, strict=True):
+        if good:
+            one.update(line)
+            two.update(zip(line, line[1:], strict=False))
+            three.update(zip(line, line[1:], line[2:], strict=False))
+    n, v, least = sum(one.values()), len(one), lm_score.MIN_COUNT
+    root = lambda x: math.log10((one[x] + 0.1) / (n + 0.1 * (v + 1)))
+    often = {x for x, c in one.items() if c >= least}
+    pairs = {p: c for p, c in two.items() if c >= least and set(p) <= often}
+    triples = {t: c for t, c in three.items() if c >= least and t[:2] in pairs and t[1:] in pairs}
+
+    def kept(entries, size, shorter):
+        """The factor of what a context doesn't store, and the probabilities it stores; nothing if it isn't worth it."""
+        held, mass = sum(entries.values()), sum(10 ** shorter[x] for x in entries)
+        own = {x: math.log10(c / (size + lm_score.NOVEL)) for x, c in entries.items()}
+        left = math.log10((size - held + lm_score.NOVEL) / (size + lm_score.NOVEL)) - math.log10(max(1 - mass, 1e-9))
+        gain = (sum(c * (own[x] - shorter[x]) for x, c in entries.items()) + (size - held) * left) * math.log(10)
+        return (left, own) if mass < 1 - 1e-9 and gain >= lm_score.MIN_GAIN + lm_score.ENTRY_COST * len(entries) else (0.0, {})
+
+    def tree(found, size, shorter):
+        by = {}
+        for key, c in found.items():
+            by.setdefault(key[:-1], {})[key[-1]] = c
+        return {k: kept(e, size(k), {x: shorter(k, x) for x in e}) for k, e in by.items()}
+
+    first = tree(pairs, lambda k: one[k[0]], lambda k, x: root(x))
+    step = lambda states, k, x, p: states[k][1].get(x, p + states[k][0]) if k in states else p
+    second = tree(triples, lambda k: pairs[k], lambda k, x: step(first, k[1:], x, root(x)))
+    out = []
+    for line in lines:
+        total = 0.0
+        for i, x in enumerate(line):
+            p = root(x)
+            if i:
+                p = step(first, (line[i - 1],), x, p)
+            if i > 1:
+                p = step(second, (line[i - 2], line[i - 1]), x, p)
+            total += p
+        out.append(total)
+    return out, len([1 for left, own in second.values() if own])
+
+
+def test_suffix_tree_equals_brute_force(spark, monkeypatch):
+    # Several blocks and groups, so that counts meet from all of them.
+    monkeypatch.setattr(lm_score, "BLOCK_CHARS", 2000)
+    rng = random.Random(16)
+    texts = []
+    for _ in range(150):
+        words = rng.choices(WORDS[:8], k=rng.randint(0, 15))
+        if rng.random() < 0.5:
+            words += "alpha beta gamma delta epsilon".split()[: rng.randint(2, 5)]
+        texts.append(" ".join(words) if rng.random() < 0.9 else " ".join(words).upper())
+    texts += [None, "", "never seen", *texts[:5]]
+    learn = [zlib.crc32(str(i).encode()) % 10 != 0 for i in range(len(texts))]
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
+    got = {r.doc_id: r.score for r in lm_score.lm_scores(frame(spark, texts), part != 0, part == 0).collect()}
+    want, deep = brute_suffix_tree(texts, learn)
+    assert deep > 3 and all(abs(got[i] - w) < 1e-6 for i, w in enumerate(want))
+
+
 def test_suffix_tree_learns_a_rare_phrase_in_a_large_corpus(spark):
     phrase = "alpha beta gamma delta"
     df = frame(spark, ["filler " * 2_500_000, phrase, phrase, phrase])
@@ -512,6 +632,29 @@ def test_quality_classifier(spark):
     assert {r.score for r in pu_quality.score_documents(frame(spark, texts), empty, "doc_id").collect()} == {0.5}
 
 
+def test_risk_is_least_where_the_classifier_ends():
+    """The non-negative risk by plain sums: lower than at the start, and not lowered by steps along any input."""
+    rng = np.random.default_rng(3)
+    p = np.concatenate([rng.normal(1, 1, (60, 2)), rng.normal(0, 1, (60, 2))], axis=1).astype(np.float32)
+    u = np.concatenate([rng.normal(0, 1.5, (200, 2)), rng.normal(0, 1, (200, 2))], axis=1).astype(np.float32)
+    prior = 0.4
+
+    def risk(w, b):
+        loss = lambda rows, sign: sum(math.log1p(math.exp(-sign * (sum(float(x) * float(y) for x, y in zip(r, w, strict=True)) + b))) for r in rows) / len(rows)
+        negative = loss(u, -1) - prior * loss(p, -1)
+        return prior * loss(p, 1) + max(0.0, negative) + pu_quality.DECAY / 2 * sum(float(x) ** 2 for x in w)
+
+    w, b = pu_quality.nnpu(p, u, prior)
+    least = risk(w, b)
+    assert least < risk(np.zeros(4), 0.0) - 0.05
+    for k in range(4):
+        for step in (-0.1, 0.1):
+            moved = w.copy()
+            moved[k] += step
+            assert risk(moved, b) > least - 1e-4
+    assert all(risk(w, b + step) > least - 1e-4 for step in (-0.1, 0.1))
+
+
 def brute_licenses(files):
     """Cosines of all units with all templates, by plain sums; ``(license, origin)`` of each path."""
     tokens = lambda t: re.findall("[a-z0-9]+(?:[.][0-9]+)*", t.lower())
@@ -655,6 +798,51 @@ def test_stages_keep_columns_of_any_name_and_all_rows(spark):
     assert {"_u", "_k", "_doc", "score", "target"} <= set(mixed.columns) and all(r["_u"] == 6 for r in mixed.collect())
 
 
+QUERIES = ["op1_quality_rules", "op2_pii", "op3_licenses", "op4_minhash", "op5_language_id", "op6_url_filters", "op7_suffix_tree", "op8_mixing", "op9_decontamination", "op10_pu_quality", "pipeline"]
+
+
+@pytest.fixture(scope="module")
+def odd_tables(spark, tmp_path_factory):
+    """Tables without rows, and tables with nulls in any column, empty and long texts, ties, repeated rows and clashing names."""
+    rng = random.Random(40)
+    folder = tmp_path_factory.mktemp("tables")
+    texts = [None, "", " ", "a", "!", "w" * 40_000, "word " * 9000, QUESTION, "Released under the MIT License.", "mail a@b.co"] + [" ".join(rng.choices(WORDS, k=40)) for _ in range(20)]
+    docs = [(i if i % 11 else None, x, rng.choice(["aa", "bb", None]), rng.choice(["s", "t", None]), None if i % 3 else 7, "x", 1, "k", 2, 3, 4) for i, x in enumerate(texts)]
+    docs += docs[:12] + [(5, texts[-1], "aa", "s", 1, "y", 1, "k", 2, 3, 4)] * 2
+    kinds = {
+        "documents": (docs, "doc_id long, text string, lang string, source string, n_chars long, path string, size int, kept string, node int, score int, hub int"),
+        "benchmark": ([(1, QUESTION, 0), (None, QUESTION, 0), (2, None, 0), (3, "", 0), (1, QUESTION, 0)], "item_id long, text string, doc int"),
+        "labels": ([(i, i % 2, 0) for i in range(30)] + [(None, 1, 0), (3, None, None), (3, 1, 0)], "doc_id long, quality int, toxic int"),
+        "pages": ([(1, "http://a.com/x", "h"), (1, "http://a.com/x", "h"), (None, None, None), (2, "", ""), (3, "http://" + "a" * 30_000 + ".net/es/", "")], "page_id long, url string, html string"),
+    }
+    for name, (rows, schema) in kinds.items():
+        df = spark.createDataFrame(rows, schema)
+        df.write.parquet(str(folder / "odd" / f"{name}.parquet"))
+        df.limit(0).write.parquet(str(folder / "empty" / f"{name}.parquet"))
+    return folder
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_queries_on_odd_and_empty_tables(spark, odd_tables, name):
+    import __spark_entry__ as entry
+
+    query = entry.queries()[name]
+    assert query(spark, str(odd_tables / "empty")).count() == 0
+    rows = query(spark, str(odd_tables / "odd")).collect()
+    n = spark.read.parquet(str(odd_tables / "odd" / ("pages.parquet" if "url" in name else "documents.parquet"))).count()
+    if name == "pipeline":
+        assert rows and len({r.text for r in rows}) == len(rows) and not any(QUESTION in r.text for r in rows)
+    elif "decontam" in name:
+        assert Counter(r.item_id for r in rows) == {1: 4, None: 2}
+    else:
+        assert len(rows) == n
+        by = {}
+        for r in rows:
+            d = r.asDict()
+            by.setdefault(d.get("doc_id", d.get("page_id")), []).append(r)
+        assert None in by
+
+
 def test_import_guard_is_in_the_entry_alone():
     import __spark_entry__ as entry
 

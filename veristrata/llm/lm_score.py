@@ -18,8 +18,9 @@ count them over the whole corpus, decide which contexts stay and answer with
 what concerns the block, which then scores its documents in a tree of its own.
 
 Defined results: a null or empty text is one token, the end; documents with a
-null id are scored, not learned from; repeated rows are counted and scored each;
-an empty table gives an empty result; extra columns are ignored.
+null id are scored, not learned from; a very long text is counted and scored whole;
+repeated rows are counted and scored each; ties don't arise; an empty table gives an
+empty result; extra columns are ignored whatever their names.
 """
 
 from __future__ import annotations

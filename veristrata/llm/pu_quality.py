@@ -14,8 +14,10 @@ whole text in one narrow pass.
 
 Defined results: null and empty texts are scored like any other, from the
 measures of an empty text; without positive labels every score is 0.5; repeated
-labels of a document count once, and it is good if any of them is; extra
-columns are ignored.
+labels of a document count once, and it is good if any of them is (null ones are
+no label); repeated rows are scored each; very long texts are scored whole; rows
+that tie in the sample's order are alike; an empty table gives an empty result;
+extra columns are ignored whatever their names.
 """
 
 from __future__ import annotations

@@ -8,8 +8,9 @@ and ``ablation`` work on the ledger only, by bitwise operations and
 map-side-combined aggregates.
 
 Defined results: a null or empty text has no words, so only ``too_few_words``
-fails; repeated rows are judged separately; extra columns are ignored, and an
-empty table gives an empty ledger.
+fails; a very long text is measured whole; repeated rows are judged separately and lines
+that tie count as repeats of the first; extra columns are ignored whatever their
+names, and an empty table gives an empty ledger.
 """
 
 from __future__ import annotations

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType
 
+from veristrata.sources.scratch import new_path
+
 #: Bytes of one Arrow batch sent to a Python worker; a longer single text is one batch.
 BATCH_BYTES = 4 << 20
 #: A side of a join is broadcast up to this size.
@@ -24,17 +23,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a session on one machine that names none (as in tests) gets one of its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
 def _hadoop_path(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -47,7 +35,7 @@ def settle(df: DataFrame) -> DataFrame:
     size, and survives lost executors; it goes when it is released or the session ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/settled/{uuid.uuid4().hex}"
+    path = new_path(spark, "settled")
     df.write.parquet(path)
     place, files = _hadoop_path(spark, path)
     files.deleteOnExit(place)

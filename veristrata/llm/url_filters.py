@@ -14,8 +14,9 @@ Two kinds of rules share the index:
   alphanumeric run, ``*`` anything; an allow pattern beats block patterns.
 
 Defined results: a null url or one without ``://`` has empty host and path and
-the verdict ``allow``; repeated rows are judged alike; an empty table gives an
-empty result; extra columns are ignored.
+the verdict ``allow``; a very long url is read whole; of rules that tie the one listed first counts;
+repeated rows are judged alike; an empty table gives an empty result; extra
+columns are ignored whatever their names.
 """
 
 from __future__ import annotations
