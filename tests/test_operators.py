@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veristrata.functions import json_schema
 from veristrata.functions import text as T
 from veristrata.operators import audit, chunking, context, contracts, evidence, feed, layout, projection
-from veristrata.plans import client, completion
+from veristrata.plans import cli, client, completion, output
 from veristrata.sources import files
 
 
@@ -330,3 +330,76 @@ def test_items_at_a_dotted_path(spark):
         projection.project_items(df, "id", "v.a.b.n", [])
     with pytest.raises(ValueError):
         projection.field_at(df, "v.c")
+
+
+def test_http_provider_and_retries(spark):
+    asked = []
+
+    def send(url, body, headers, timeout):
+        asked.append((url, json.loads(body), headers["Content-Type"], timeout))
+        return [(503, "busy", {"Retry-After": "0"}), (200, '{"a": 1}', {})][min(len(asked), 2) - 1]
+
+    call = completion.http_provider("http://x", {"K": "v"}, lambda prompt: {"q": prompt}, send=send)
+    assert completion.Retry().run(lambda: call("hi", 1), sleep=lambda s: None) == '{"a": 1}' and asked[0] == ("http://x", {"q": "hi"}, "application/json", 60.0) and len(asked) == 2
+    for answer, code in (((401, "x" * 900, {}), "PROVIDER_HTTP_401"), ((200, "no json", {}), "PROVIDER_RESPONSE_INVALID")):
+        with pytest.raises(completion.ProviderError) as e:
+            completion.http_provider("http://x", {}, lambda p: {}, send=lambda *a, answer=answer: answer)("p", 1)
+        assert e.value.code == code and len(str(e.value)) < 600
+
+    def flaky(prompt: str, attempt: int, seen={}):  # noqa: B006
+        seen[prompt] = seen.get(prompt, 0) + 1
+        if seen[prompt] < 3:
+            raise completion.ProviderError("PROVIDER_HTTP_503", "busy", 503, 0.0)
+        return "{}"
+
+    df = spark.createDataFrame([(1, "p")], "request_id int, prompt string")
+    assert one(completion.complete(df, flaky, {"type": "object"}, retry=completion.Retry(3, 0.0, 0.0))).error_code is None
+
+
+def test_reports_runs_and_schemas_are_written(spark, tmp_path):
+    rows = [("query", 1, "E_X", "error", "q", "m", None), ("schema", 0, "W_Y", "warning", "s", "m", None)]
+    found = spark.createDataFrame(rows, feed.DIAGNOSTIC)
+    assert feed.write_report(found, str(tmp_path / "r"), "orders", 3) == 1
+    head = json.loads(spark.read.text(str(tmp_path / "r/report")).first()[0])
+    assert head == {"schema": "orders", "has_errors": True, "errors": 1, "warnings": 1, "feed_preview_count": 3}
+    assert [json.loads(r[0])["stage"] for r in spark.read.text(str(tmp_path / "r/diagnostics")).collect()] == ["schema", "query"]
+    assert feed.write_report(found.where("severity = 'warning'"), str(tmp_path / "r2"), "orders") == 0
+    now = datetime(2026, 6, 4, 1, 2, 3, tzinfo=UTC)
+    assert output.run_id(now) == "run_20260604T010203Z"
+    place = output.write_run(spark.createDataFrame([(1, "{}")], "id int, response string"), spark.createDataFrame([("{}",)], "audit string"), str(tmp_path), now)
+    assert json.loads(spark.read.text(place + "/result").first()[0]) == {"id": 1, "response": "{}"}
+    output.write_schema(spark, {"type": "object"}, str(tmp_path / "schema"))
+    assert json.loads(spark.read.text(str(tmp_path / "schema"), wholetext=True).first()[0]) == {"type": "object"}
+
+
+def test_files_that_are_not_there_and_pdf_backends(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text("x,y")
+    (tmp_path / "b.pdf").write_bytes(b"%PDF")
+    paths = [str(tmp_path / n) for n in ("a.csv", "b.pdf", "none.docx")]
+    got = {r.path.rsplit("/", 1)[1]: r.error_code for r in files.read_listed(spark, paths).collect()}
+    assert got == {"a.csv": None, "b.pdf": "PDF_PARSE_FAILED", "none.docx": "DOCX_FILE_NOT_FOUND"}
+    with pytest.raises(ValueError):
+        files.pdf_backend("nothing")
+    monkeypatch.setitem(files.PDF_BACKENDS, "plain", lambda content: (1, [("text", "t", None, 1, 1, 1)]))
+    assert files.pdf_backend(" Plain ")(b"")[0] == 1
+
+
+def test_ocr_hook_and_stats(spark):
+    pages = spark.createDataFrame([(1, bytearray(b"abc")), (2, None)], "page int, image binary")
+    assert [r.ocr_text for r in layout.ocr_pages(pages).collect()] == ["", ""]
+    assert [r.ocr_text for r in layout.ocr_pages(pages, lambda b: b.decode().upper()).orderBy("page").collect()] == ["ABC", ""]
+    read = spark.createDataFrame([("a", "d1", 2, None), ("b", "d1", 4, None), ("c", None, None, "CSV_PARSE_FAILED")], "path string, doc_id string, n_sections int, error_code string")
+    r = one(output.corpus_stats(read))
+    assert (r.files, r.passed, round(r.pass_rate, 3), r.least, r.median, r.most, r.shared_ids) == (3, 2, 0.667, 2, 3.0, 4, 1)
+    assert {x.error_code: x.files for x in output.error_codes(read).collect()} == {"none": 2, "CSV_PARSE_FAILED": 1}
+
+
+def test_command_line(tmp_path):
+    said = []
+    assert cli.run([], said.append) == 2 and cli.run(["nothing"], said.append) == 2
+    assert cli.run(["version"], said.append) == 0 and said
+    assert cli.run(["init", str(tmp_path)], said.append) == 0 and cli.run(["init", str(tmp_path)], said.append) == 1
+    (tmp_path / "s.json").write_text('{"properties": {"a": {"$ref": "http://x"}}}')
+    assert cli.run(["schema", str(tmp_path / "s.json")], said.append) == 1 and json.loads(said[-1])["properties"] == 1
+    assert cli.run(["schema", str(tmp_path / "gone.json")], said.append) == 1
+    assert all(cli.run(["completion", s], said.append) == 0 for s in ("bash", "zsh", "fish")) and cli.run(["doctor"], said.append) == 0
