@@ -160,7 +160,7 @@ def mix(docs: DataFrame, sources, key: str = "doc_id", weights=WEIGHTS, share: f
     pattern = F.to_json(F.struct(member.alias("p")))
     # What the documents carry travels in one column, so that no name of theirs meets one of ours.
     drawn = docs.select(F.struct(*[col(c) for c in kept]).alias("_doc"), n_words().alias("size"), seeded(key, seed).alias("_u"), member.alias("_p"), pattern.alias("_k"))
-    rows = settle(drawn.drop("_doc"))
+    rows = settle(drawn.drop("_doc") if texts else drawn)
     found = rows.groupBy("_k").agg(F.first("_p").alias("p"), F.sum("size").alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -180,7 +180,8 @@ def mix(docs: DataFrame, sources, key: str = "doc_id", weights=WEIGHTS, share: f
     plans = spark.createDataFrame(plan, "_k string, source_size long, target double, _whole long, _rest long")
     limit = plans.join(_limits(rows, plans), "_k", "left")
     again = F.when((F.col("_rest") > 0) & (F.col("_u") <= F.col("_limit")), 1).otherwise(0)
-    chosen = drawn.join(F.broadcast(limit), "_k")
+    # Without their texts the documents have been settled already; with them they are read where they stand.
+    chosen = (drawn if texts else rows).join(F.broadcast(limit), "_k")
     return chosen.select("_doc.*", "size", "source_size", "target", (F.col("size") * (F.col("_whole") + again)).alias("taken"))
 
 
