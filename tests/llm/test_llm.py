@@ -316,24 +316,42 @@ def test_suffix_tree_scores(spark):
 
 
 def test_suffix_tree_distributions_sum_to_one():
-    words, count = np.arange(1, 5, dtype=np.uint64), np.array([40, 30, 20, 10])
-    pair = lambda a, b: (a << lm_score.BITS) | b
-    pairs = (np.array([pair(0, 1), pair(0, 2), pair(1, 0)]), np.array([25, 5, 28]))
-    triples = (np.array([pair(0, 2), pair(2, 1)]), np.array([24, 20]))
-    n, v = 100, 4
-    tree = lm_score.SuffixTree(words, count, pairs, triples, n, v)
-    assert len(tree.codes1) and len(tree.codes2)
-    # Four known tokens and one unseen, which stands for the mass of all unseen ones.
-    for before in ([], [1], [2], [3], [1, 2], [2, 1], [3, 1], [4, 4]):
-        total = 0.0
-        for w in (1, 2, 3, 4, 99):
-            line = lm_score.Line.__new__(lm_score.Line)
-            line.hash, line.doc, line.n = np.array([*before, w], np.uint64), np.zeros(len(before) + 1, int), 1
-            root = np.log10(np.array([count[x - 1] if x < 5 else 0 for x in [*before, w]]) + 0.1) - tree.floor
-            total += 10 ** tree.score(line, root)[-1]
+    rng = random.Random(8)
+    words = WORDS[:4]
+    learned = [" ".join(rng.choices(words, weights=(9, 3, 2, 1), k=6)) for _ in range(60)] + [" ".join(words)] * 40
+    befores = [[], [words[0]], [words[1]], words[:2], words[1:3], [words[3], words[3]], ["unseen"], [words[0], "unseen"]]
+    # Every token that may follow: the words, an unseen one for the mass of all of them, and the end.
+    probes = [" ".join([*before, *w]) for before in befores for w in ([words[0]], [words[1]], [words[2]], [words[3]], ["never"], [])]
+    texts = pa.table({"learn": [True] * len(learned) + [False] * len(probes), "raw": pa.array([t.encode() for t in learned + probes], pa.binary())})
+    key = (pa.scalar(0),)
+    answers = lm_score._count_words(lm_score._ask_words(3)(key, texts))
+    # One group of all tokens is what the groups are in sum; the rows of totals come first.
+    total = answers.slice(0, 1).to_pylist()[0]
+    answers, floor = answers.slice(1), math.log10(total["n"] + 0.1 * (total["v"] + 1))
+    assert total["n"] == sum(len(t.split()) + 1 for t in learned) and total["v"] == 5
+    for level in (1, 2):
+        found = lm_score._fit_level(level, floor)(lm_score._ask_level(level, 3, floor)(key, texts, answers))
+        assert sum(found.column("n").to_pylist()) > 0
+        answers = pa.concat_tables([answers, found])
+    block = lm_score.Block(texts, 3)
+    block.walk(answers, 2, floor)
+    for k, before in enumerate(befores):
+        rows = [len(learned) + 6 * k + i for i in range(6)]
+        total = sum(10 ** block.p[block.doc == r][len(before)] for r in rows)
         assert abs(total - 1) < 1e-9, before
 
 
+def test_numbers_travel_by_their_bytes():
+    rng = np.random.default_rng(4)
+    for values in (rng.integers(-(2**62), 2**62, 9), rng.integers(0, 2**64, 5, dtype=np.uint64), rng.random(7), np.arange(3, dtype=np.int32), rng.random(13) < 0.5, np.zeros(0, bool), np.zeros(0)):
+        assert (lm_score._unpacked(lm_score._packed(values), values.dtype) == values).all()
+    logs = -rng.random(50) * 20
+    cut = lm_score._unpacked(lm_score._packed(lm_score._fixed(logs), lm_score.FIXED_BYTES), np.int64, lm_score.FIXED_BYTES) / lm_score.FIXED
+    assert np.abs(cut - logs).max() < 1e-10
+    names = rng.integers(0, 2**64, 50, dtype=np.uint64)
+    assert (lm_score._unpacked(lm_score._packed(names, 6), np.uint64, 6) >> np.uint64(16) == names >> np.uint64(16)).all()
+
+
 def brute_suffix_tree(texts, learn):
     """Scores by dictionaries: counts of words, pairs and triples, and the rule that decides which contexts stay."""
     end = None

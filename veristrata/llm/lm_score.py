@@ -1,8 +1,8 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 Symbols are lower-cased words and an end after each text.  The tree's root is
-the smoothed distribution of single tokens; below it stand contexts of one and
-two preceding words.  Whatever occurs ``MIN_COUNT`` times in training rows is a
+the smoothed distribution of single tokens; below it stand contexts of one to
+``DEPTH`` preceding words.  Whatever occurs ``MIN_COUNT`` times in training rows is a
 candidate, at every size of the corpus, so the tree grows with its input.  A
 context is retained if its distribution diverges from that of its shorter
 suffix: the gain in training log likelihood must exceed ``MIN_GAIN`` plus
@@ -13,9 +13,14 @@ sums to one.
 
 Neither vocabulary nor tree is ever in one place.  Documents are dealt into
 blocks, words and contexts into groups, all sized by the input.  Level by level
-a block asks the groups for its distinct words, pairs and triples; the groups
-count them over the whole corpus, decide which contexts stay and answer with
-what concerns the block, which then scores its documents in a tree of its own.
+a block asks the groups for its distinct words and runs of words; the groups
+count them over the whole corpus, decide which contexts stay and answer in the
+order of the question, with a mark for each entry and counts and factors for
+what stays.  A block finds its own runs again from its texts, so that nothing
+travels twice; it walks down the levels and carries one probability a token.
+With each question goes a sieve for the next level: 32 bits of the hash of each
+run that may be an entry there, so that of runs that occur once in the corpus
+(most of all) no more than that is sent.  What passes is counted exactly.
 
 Defined results: a null or empty text is one token, the end; documents with a
 null id are scored, not learned from; a very long text is counted and scored whole;
@@ -27,29 +32,26 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veristrata.llm.session import bounded_batches, crc_mod, settle, table
 from veristrata.llm.words import Chunk, chunks, mix64
 
+#: Words of the longest context.
+DEPTH = 2
 MIN_COUNT = 2
 MIN_GAIN, ENTRY_COST = 3.0, 1.0
 #: Pseudo-count of a context's unstored continuations.
 NOVEL = 0.5
 UNSEEN = 0.1
 #: Characters of text in a block, and groups for each block.
-BLOCK_CHARS = 12_000_000
-GROUPS = 4
+BLOCK_CHARS = 8_000_000
+GROUPS = 1
 END = np.uint64(0x454E442D4F462D54)
-#: A code is a context's rank above this many bits of the next token's rank, both within a block.
-BITS = 31
-MASK = (1 << BITS) - 1
-
-
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    distinct, which = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(which, weights=counts, minlength=len(distinct)).astype(np.int64)
+#: Bytes of a run's hash in the sieve.
+SIEVE_BYTES = 4
 
 
 class Line:
@@ -60,50 +62,46 @@ class Line:
         self.hash = np.full(len(hashes) + chunk.n, END, np.uint64)
         self.hash[np.arange(len(hashes)) + chunk.doc] = hashes
         self.doc = np.repeat(np.arange(chunk.n), chunk.n_words + 1)
-        self.n = chunk.n
 
-    def per_doc(self, values: np.ndarray) -> np.ndarray:
-        return np.bincount(self.doc, weights=values, minlength=self.n)
+
+#: Upper bytes of a hash by which a context is told from others of its group (which has further bits), and a word from others after one context.
+CONTEXT_BYTES, WORD_BYTES = 6, 5
+#: A log10 probability travels as a multiple of 2**-34 in five bytes.
+FIXED_BYTES, FIXED = 5, 2.0**34 * 2**24
 
 
-def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """The place of each key among the sorted ones, -1 where absent."""
-    if not len(sorted_keys):
-        return np.full(len(keys), -1, np.int64)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, -1)
+def _packed(values: np.ndarray, width: int | None = None) -> bytes:
+    """The numbers' bytes by place, upper ones first, at most ``width`` of them; the like lie together, so that they compress."""
+    if values.dtype == bool:
+        return np.packbits(values).tobytes() + bytes([-len(values) % 8])
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T[::-1]
+    return planes[:width].tobytes()
 
 
-def _codes(line: Line, words: np.ndarray, pairs: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of (context, token) whose parts are frequent (pairs of words, or of a frequent pair and a word) and their texts."""
-    rank = find(words, line.hash)
-    same = line.doc[1:] == line.doc[:-1]
-    good = same & (rank[1:] >= 0) & (rank[:-1] >= 0)
-    code = np.where(good, (rank[:-1] << BITS) | rank[1:], -1)
-    if pairs is None:
-        return code[code >= 0], line.doc[1:][code >= 0]
-    place = find(pairs, code)
-    both = (place[:-1] >= 0) & (place[1:] >= 0) & same[1:] & same[:-1]
-    return ((place[:-1] << BITS) | rank[2:])[both], line.doc[2:][both]
+def _unpacked(data: bytes, kind, width: int | None = None) -> np.ndarray:
+    kind = np.dtype(kind)
+    if kind == bool:
+        return np.unpackbits(np.frombuffer(data[:-1], np.uint8), count=max(0, 8 * len(data) - 8 - data[-1])).astype(bool) if data else np.zeros(0, bool)
+    width = width or kind.itemsize
+    planes = np.zeros((len(data) // width, kind.itemsize), np.uint8)
+    planes[:, ::-1][:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return planes.view(kind).reshape(-1)
 
 
-def _counted(texts: pa.Table, keys) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of a block's texts, with occurrences in training rows; ``keys`` gives those of a line and their texts."""
-    learn = texts.column("learn").to_numpy().astype(np.int64)
-    held = []
-    for i, j, chunk in chunks(texts.column("raw"), lower=True):
-        found, doc = keys(Line(chunk))
-        held.append(_summed(found, learn[i:j][doc]))
-    return _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+def _fixed(logs: np.ndarray) -> np.ndarray:
+    return np.rint(logs * (FIXED / 2**24)).astype(np.int64) << 24
 
 
-def _arrays(rows: pa.Table, column: str, kind) -> list[np.ndarray]:
-    return [np.frombuffer(x or b"", kind) for x in rows.column(column).to_pylist()]
+def _arrays(rows: pa.Table, column: str, kind, width: int | None = None) -> list[np.ndarray]:
+    return [_unpacked(x or b"", kind, width) for x in rows.column(column).to_pylist()]
 
 
-ASKED = "grp bigint, block bigint, ranks binary, ids binary, sizes binary, entries binary, codes binary, names binary, counts binary, shorter binary"
-ANSWERED = "block bigint, level int, codes binary, counts binary, logs binary, ranks binary, rests binary, v bigint, n bigint"
-_KINDS = {"ranks": np.int32, "ids": np.uint64, "sizes": np.int64, "entries": np.int32, "codes": np.int64, "names": np.uint64, "counts": np.int64, "shorter": np.float64}
+def _all(rows: pa.Table, column: str, kind, width: int | None = None) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *_arrays(rows, column, kind, width)])
+
+
+ASKED = "grp bigint, block bigint, ids binary, sizes binary, entries binary, names binary, counts binary, shorter binary, sieved binary, seen binary"
+ANSWERED = "block bigint, level int, grp bigint, counts binary, often binary, kept binary, rests binary, maybe binary, v bigint, n bigint"
 
 
 def _table(names: str, rows: list[dict]) -> pa.Table:
@@ -112,30 +110,188 @@ def _table(names: str, rows: list[dict]) -> pa.Table:
     return pa.table({name: pa.array([r.get(name) for r in rows], kinds[kind]) for name, kind in fields})
 
 
+def _joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A 64-bit name of a context with a further word."""
+    return mix64(context * np.uint64(0x9FB21C651E98DF25) + word)
+
+
+def _ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, which = np.unique(values, return_inverse=True)
+    return distinct, which.astype(np.int32)
+
+
+def _dealt(group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by group, by place within one, and where each group starts in it."""
+    narrow = group.astype(np.uint16) if groups <= 1 << 16 else group
+    return np.argsort(narrow, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(group, minlength=groups))])
+
+
+class Block:
+    """A block's tokens, walked down the tree level by level.
+
+    ``state`` is the place of the frequent context that ends at a token (-1: none) among those of
+    the level, ``ids`` and ``sizes`` are these contexts' names and occurrences in training rows, and
+    ``p`` is every token's log10 probability in its longest retained context so far.
+    ``runs`` names the run of words that ends at a token, ``live`` marks those that the groups were asked of.
+    """
+
+    def __init__(self, texts: pa.Table, groups: int):
+        hashes, docs = [], []
+        for i, _, chunk in chunks(texts.column("raw"), lower=True):
+            line = Line(chunk)
+            hashes.append(line.hash)
+            docs.append(line.doc + i)
+        self.groups, self.n = groups, texts.num_rows
+        self.doc = np.concatenate(docs).astype(np.int32)
+        self.same = np.concatenate([[False], self.doc[1:] == self.doc[:-1]])
+        self.hash = self.runs = np.concatenate(hashes)
+        self.live = np.ones(len(self.hash), bool)
+        self.names, self.which = _ranked(self.hash)
+        self.order, self.starts = _dealt(self._group(self.names), groups)
+
+    def _group(self, names: np.ndarray) -> np.ndarray:
+        return (names % np.uint64(self.groups)).astype(np.int64)
+
+    def weights(self, texts: pa.Table) -> np.ndarray:
+        return texts.column("learn").to_numpy().astype(np.float64)[self.doc]
+
+    def per_doc(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.doc, weights=values, minlength=self.n)
+
+    def take_words(self, answers: pa.Table, floor: float) -> None:
+        """Start from the root: the corpus counts of the block's distinct tokens."""
+        count = np.zeros(len(self.names), np.int64)
+        count[self.order] = _all(answers, "counts", np.int64)
+        self.p = (np.log10(count + UNSEEN) - floor)[self.which]
+        self.known = count[self.which] > 0
+        often = count >= MIN_COUNT
+        self.state = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)[self.which]
+        self.ids, self.sizes = self.names[often], count[often]
+        self.word, self.words, self.word_counts = self.state, self.ids, self.sizes
+
+    def lengthen(self) -> None:
+        """Runs one word longer, where both that run's parts were asked of."""
+        longer = np.zeros(len(self.runs), np.uint64)
+        longer[1:] = _joined(self.runs[:-1], self.hash[1:])
+        self.run_at = np.flatnonzero(self.same & self.live & np.roll(self.live, 1))
+        self.runs = longer
+        self.run_names, self.run_which = _ranked(longer[self.run_at])
+        self.run_order, self.run_starts = _dealt(self._group(self.run_names), self.groups)
+
+    def ask_sieve(self, learn: np.ndarray) -> dict[str, np.ndarray]:
+        """What the groups need to mark the runs that may be frequent."""
+        seen = np.bincount(self.run_which, weights=learn[self.run_at], minlength=len(self.run_names))
+        return {"sieved": self.run_names[self.run_order], "seen": np.minimum(seen, 255).astype(np.uint8)[self.run_order]}
+
+    def next_level(self, answers: pa.Table) -> None:
+        """Find the level's entries among the runs that passed the sieve: frequent contexts with a next word whose own suffix is frequent too."""
+        self.before = np.roll(self.state, 1)
+        self.before[~self.same] = -1
+        maybe = np.zeros(len(self.run_names), bool)
+        maybe[self.run_order] = _all(answers, "maybe", bool)
+        some = np.zeros(len(maybe), np.int64)
+        some[self.run_which] = self.run_at
+        entry = maybe & (self.before[some] >= 0) & (self.state[some] >= 0)
+        inside = entry[self.run_which]
+        self.at = self.run_at[inside]
+        self.which = (np.cumsum(entry, dtype=np.int32) - 1)[self.run_which[inside]]
+        self.live = np.zeros(len(self.doc), bool)
+        self.live[self.at] = True
+        self.names, self.context, self.last = self.run_names[entry], self.before[some[entry]], self.word[some[entry]]
+        self.context_order, self.context_starts = _dealt(self._group(self.ids), self.groups)
+        place = np.empty(len(self.ids), np.int32)
+        place[self.context_order] = np.arange(len(self.ids), dtype=np.int32)
+        self.order = np.argsort(place[self.context], kind="stable")
+        entries = np.bincount(self.context, minlength=len(self.ids)).astype(np.int64)[self.context_order]
+        self.starts = np.concatenate([[0], np.cumsum(entries)])[self.context_starts]
+
+    def ask(self, level: int, learn: np.ndarray) -> dict[str, np.ndarray]:
+        """What the groups need of each context and of each entry, in the order of the groups."""
+        counts = np.bincount(self.which, weights=learn[self.at], minlength=len(self.names)).astype(np.int64)
+        if level == 1:
+            shorter = self.word_counts[self.last]
+        else:
+            shorter = np.zeros(len(self.names))
+            shorter[self.which] = self.p[self.at]
+            shorter = _fixed(shorter)
+        entries = np.bincount(self.context, minlength=len(self.ids)).astype(np.int32)
+        of_context = {"ids": self.ids, "sizes": self.sizes, "entries": entries}
+        of_entry = {"names": self.words[self.last], "counts": counts, "shorter": shorter}
+        return {k: x[self.context_order] for k, x in of_context.items()} | {k: x[self.order] for k, x in of_entry.items()}
+
+    def take(self, answers: pa.Table) -> None:
+        """Go down one level by the groups' answers."""
+        m = len(self.names)
+        often, kept, times, rest = np.zeros(m, bool), np.zeros(len(self.ids), bool), np.zeros(m, np.int64), np.zeros(len(self.ids))
+        often[self.order], kept[self.context_order] = _all(answers, "often", bool), _all(answers, "kept", bool)
+        times[self.order[often[self.order]]] = _all(answers, "counts", np.int64)
+        rest[self.context_order[kept[self.context_order]]] = _all(answers, "rests", np.int64, FIXED_BYTES) / FIXED
+        inside = np.flatnonzero(self.before >= 0)
+        self.p[inside] += rest[self.before[inside]]
+        own = np.log10(np.maximum(times, 1) / (self.sizes[self.context] + NOVEL))
+        stored = (often & kept[self.context])[self.which]
+        self.p[self.at[stored]] = own[self.which[stored]]
+        found = often[self.which]
+        self.state = np.full(len(self.doc), -1, np.int32)
+        self.state[self.at[found]] = (np.cumsum(often) - 1)[self.which[found]]
+        self.ids, self.sizes = self.names[often], times[often]
+
+    def walk(self, answers: pa.Table, levels: int, floor: float) -> None:
+        """From the texts alone to the place where ``levels`` levels below the root are known, and the next one's runs."""
+        answers = answers.sort_by("grp")
+        of_level = [answers.filter(pc.equal(answers.column("level"), k)) for k in range(levels + 1)]
+        self.take_words(of_level[0], floor)
+        for k in range(1, levels + 1):
+            self.lengthen()
+            self.next_level(of_level[k - 1])
+            self.take(of_level[k])
+
+
+#: Of a question: what there is one of for each context, and the bytes sent of a number if not all.
+OF_CONTEXT = ("ids", "sizes", "entries")
+WIDTH = {"ids": CONTEXT_BYTES, "names": WORD_BYTES, "sieved": SIEVE_BYTES}
+
+
+def _question(block: int, level: int, parts: list[tuple[dict[str, np.ndarray], np.ndarray]]) -> pa.Table:
+    """A row for each group that is asked; ``parts`` are columns in the order of the groups with the groups' starts."""
+    rows, widths = [], WIDTH | ({"shorter": FIXED_BYTES} if level > 1 else {})
+    for g in np.flatnonzero(sum(np.diff(starts) for _, starts in parts)).tolist():
+        packed = {k: _packed(x[starts[g] : starts[g + 1]], widths.get(k)) for columns, starts in parts for k, x in columns.items()}
+        rows.append({"grp": g, "block": block} | packed)
+    return _table(ASKED, rows)
+
+
 def _ask_words(groups: int):
-    """A block's distinct tokens, dealt to their groups."""
+    """A block's distinct tokens with their occurrences in its training rows, dealt to their groups."""
 
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table) -> pa.Table:
-        names, counts = _counted(texts, lambda line: (line.hash, line.doc))
-        group = (names % np.uint64(groups)).astype(np.int64)
-        rows = []
-        for g in np.unique(group).tolist():
-            mine = group == g
-            rows.append({"grp": g, "block": key[0].as_py(), "names": names[mine].tobytes(), "counts": counts[mine].tobytes()})
-        return _table(ASKED, rows)
+        block = Block(texts, groups)
+        learn = block.weights(texts)
+        counts = np.bincount(block.which, weights=learn, minlength=len(block.names)).astype(np.int64)
+        words = {"ids": block.names[block.order], "counts": counts[block.order]}
+        block.lengthen()
+        return _question(key[0].as_py(), 0, [(words, block.starts), (block.ask_sieve(learn), block.run_starts)])
 
     return run
 
 
+def _maybe(asked: pa.Table) -> list[np.ndarray]:
+    """Which of each block's runs may occur often enough over the whole corpus: all that do, and a few more."""
+    sieved = _arrays(asked, "sieved", np.uint64, SIEVE_BYTES)
+    distinct, which = np.unique((np.concatenate(sieved) >> np.uint64(32)).astype(np.uint32), return_inverse=True)
+    often = np.bincount(which, weights=_all(asked, "seen", np.uint8), minlength=len(distinct)) >= MIN_COUNT
+    return np.split(often[which], np.cumsum([len(x) for x in sieved])[:-1])
+
+
 def _count_words(asked: pa.Table) -> pa.Table:
     """One group of tokens: its totals (without a block), and corpus counts for each block that asked."""
-    names = _arrays(asked, "names", np.uint64)
+    names = _arrays(asked, "ids", np.uint64, CONTEXT_BYTES)
     distinct, which = np.unique(np.concatenate(names), return_inverse=True)
-    total = np.bincount(which, weights=np.concatenate(_arrays(asked, "counts", np.int64)), minlength=len(distinct)).astype(np.int64)
+    total = np.bincount(which, weights=_all(asked, "counts", np.int64), minlength=len(distinct)).astype(np.int64)
     rows = [{"v": int((total > 0).sum()), "n": int(total.sum())}]
     parts = np.split(which, np.cumsum([len(x) for x in names])[:-1])
-    for block, mine, at in zip(asked.column("block").to_pylist(), names, parts, strict=True):
-        rows.append({"block": block, "level": 0, "codes": mine.tobytes(), "counts": total[at].tobytes()})
+    for block, group, at, maybe in zip(asked.column("block").to_pylist(), asked.column("grp").to_pylist(), parts, _maybe(asked), strict=True):
+        rows.append({"block": block, "level": 0, "grp": group, "counts": _packed(total[at]), "maybe": _packed(maybe)})
     return _table(ANSWERED, rows)
 
 
@@ -143,155 +299,68 @@ def _ask_level(level: int, groups: int, floor: float):
     """A block's frequent contexts of ``level`` words and their continuations, dealt to the contexts' groups."""
 
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, answers: pa.Table) -> pa.Table:
-        tree = SuffixTree.of_block(answers, floor)
-        codes, counts = _counted(texts, lambda line: _codes(line, tree.words, tree.pairs if level == 2 else None))
-        context, last = codes >> BITS, codes & MASK
-        if level == 1:
-            ids, sizes, shorter = tree.words, tree.count, tree.root[last]
-        else:
-            head, tail = tree.pairs >> BITS, tree.pairs & MASK
-            ids, sizes = _joined(tree.words[head], tree.words[tail]), tree.times
-            shorter = tree._one(tail[context], last, tree.root[last])
-        names = _joined(ids[context], tree.words[last])
-        entries = np.bincount(context, minlength=len(ids)).astype(np.int32)
-        group = (ids % np.uint64(groups)).astype(np.int64)
-        order, theirs = np.argsort(group, kind="stable"), np.argsort(group[context], kind="stable")
-        rows = []
-        for g in np.unique(group).tolist():
-            p = order[slice(*np.searchsorted(group[order], [g, g + 1]))]
-            e = theirs[slice(*np.searchsorted(group[context][theirs], [g, g + 1]))]
-            parts = {"ranks": p.astype(np.int32), "ids": ids[p], "sizes": sizes[p], "entries": entries[p], "codes": codes[e], "names": names[e], "counts": counts[e], "shorter": shorter[e]}
-            rows.append({"grp": g, "block": key[0].as_py()} | {k: x.tobytes() for k, x in parts.items()})
-        return _table(ASKED, rows)
+        block = Block(texts, groups)
+        block.walk(answers, level - 1, floor)
+        block.lengthen()
+        block.next_level(answers.filter(pc.equal(answers.column("level"), level - 1)).sort_by("grp"))
+        learn = block.weights(texts)
+        asked = block.ask(level, learn)
+        parts = [({k: asked[k] for k in OF_CONTEXT}, block.context_starts), ({k: asked[k] for k in asked if k not in OF_CONTEXT}, block.starts)]
+        if level < DEPTH:
+            block.lengthen()
+            parts.append((block.ask_sieve(learn), block.run_starts))
+        return _question(key[0].as_py(), level, parts)
 
     return run
 
 
-def _joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """A 64-bit name of a context with a further word."""
-    return mix64(context * np.uint64(0x9FB21C651E98DF25) + word)
-
-
-def _fit_level(level: int):
+def _fit_level(level: int, floor: float):
     """One group of contexts: decided over the whole corpus, answered to each block that asked."""
 
     def run(asked: pa.Table) -> pa.Table:
-        rows = {k: _arrays(asked, k, kind) for k, kind in _KINDS.items()}
-        all_of = {k: np.concatenate(rows[k]) for k in ("ids", "sizes", "entries", "names", "counts", "shorter")}
-        contexts, at, context = np.unique(all_of["ids"], return_index=True, return_inverse=True)
-        sizes = all_of["sizes"][at].astype(float)
-        distinct, at, which = np.unique(all_of["names"], return_index=True, return_inverse=True)
-        times = np.bincount(which, weights=all_of["counts"], minlength=len(distinct)).astype(np.int64)
+        ids, words = _arrays(asked, "ids", np.uint64, CONTEXT_BYTES), _arrays(asked, "names", np.uint64, WORD_BYTES)
+        entries = _all(asked, "entries", np.int32)
+        contexts, at, context = np.unique(np.concatenate(ids), return_index=True, return_inverse=True)
+        sizes = _all(asked, "sizes", np.int64)[at].astype(float)
+        distinct, which = np.unique(_joined(np.repeat(np.concatenate(ids), entries), np.concatenate(words)), return_inverse=True)
+        times = np.bincount(which, weights=_all(asked, "counts", np.int64), minlength=len(distinct)).astype(np.int64)
         often = times >= MIN_COUNT
-        logs = np.full(len(distinct), -np.inf)
-        rest, logs[often] = SuffixTree._fit(np.repeat(context, all_of["entries"])[at][often], times[often], sizes, all_of["shorter"][at][often])
+        # What all blocks say of an entry is the same: any of them will do.
+        theirs, shorter = np.zeros(len(distinct), np.int64), np.zeros(len(distinct))
+        theirs[which] = np.repeat(context, entries)
+        shorter[which] = np.log10(_all(asked, "shorter", np.int64) + UNSEEN) - floor if level == 1 else _all(asked, "shorter", np.int64, FIXED_BYTES) / FIXED
+        good, rest = fit(theirs[often], times[often], sizes, shorter[often])
         # Deeper levels need every frequent continuation, the last one only those that are stored.
-        wanted = often if level == 1 else logs > -np.inf
+        wanted = often & good[theirs] if level == DEPTH else often
         out, c, e = [], 0, 0
-        for block, ranks, codes in zip(asked.column("block").to_pylist(), rows["ranks"], rows["codes"], strict=True):
-            mine, theirs = rest[context[c : c + len(ranks)]], which[e : e + len(codes)]
-            c, e = c + len(ranks), e + len(codes)
-            kept, good = mine != 0, wanted[theirs]
-            parts = {"codes": codes[good], "counts": times[theirs[good]], "logs": logs[theirs[good]], "ranks": ranks[kept], "rests": mine[kept]}
-            out.append({"block": block, "level": level} | {k: x.tobytes() for k, x in parts.items()})
+        for block, group, own, after, maybe in zip(asked.column("block").to_pylist(), asked.column("grp").to_pylist(), ids, words, _maybe(asked), strict=True):
+            mine, entry = context[c : c + len(own)], which[e : e + len(after)]
+            c, e = c + len(own), e + len(after)
+            kept, found = good[mine], wanted[entry]
+            parts = {"counts": times[entry[found]], "often": found, "kept": kept, "maybe": maybe}
+            out.append({"block": block, "level": level, "grp": group, "n": int(kept.sum()), "rests": _packed(_fixed(rest[mine[kept]]), FIXED_BYTES)} | {k: _packed(x) for k, x in parts.items()})
         return _table(ANSWERED, out)
 
     return run
 
 
-class SuffixTree:
-    """Retained contexts and their stored continuations, as sorted codes.
+def fit(context: np.ndarray, times: np.ndarray, size: np.ndarray, shorter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which contexts are retained, and log10 of the factor of what they don't store.
 
-    ``words`` are the frequent tokens' hashes in order and ``count`` their occurrences;
-    ``pairs``/``triples`` are ``(codes, counts)`` of frequent continuations of one word and of two.
+    An entry has its context's place, its occurrences and its log10 probability after the
+    shorter suffix; ``size`` are the contexts' occurrences.
     """
-
-    def __init__(self, words, count, pairs, triples, n: int, v: int):
-        self.words, self.floor = words, np.log10(n + UNSEEN * (v + 1))
-        root = np.log10(count + UNSEEN) - self.floor
-        codes, times = pairs
-        self.rest1, stored = self._fit(codes >> BITS, times, count.astype(float), root[codes & MASK] if len(codes) else np.zeros(0))
-        keep = stored > -np.inf
-        self.codes1, self.logs1 = codes[keep], stored[keep]
-        self.pairs = codes
-        three, often = triples
-        tail, last = codes[three >> BITS] & MASK if len(three) else three, three & MASK
-        self.rest2, stored = self._fit(three >> BITS, often, times.astype(float), self._one(tail, last, root[last] if len(three) else np.zeros(0)))
-        keep = stored > -np.inf
-        self.codes2, self.logs2 = three[keep], stored[keep]
-
-    @classmethod
-    def of_block(cls, answers: pa.Table, floor: float) -> SuffixTree:
-        """What the groups have answered to one block; ``known``/``known_count`` are all its tokens, in order."""
-        self = cls.__new__(cls)
-        self.floor = floor
-        level = answers.column("level").to_numpy()
-
-        def all_of(k: int, column: str, kind) -> np.ndarray:
-            return np.concatenate([np.zeros(0, kind), *_arrays(answers.filter(pa.array(level == k)), column, kind)])
-
-        known, count = all_of(0, "codes", np.uint64), all_of(0, "counts", np.int64)
-        order = np.argsort(known)
-        self.known, self.known_count = known[order], count[order]
-        often = self.known_count >= MIN_COUNT
-        self.words, self.count = self.known[often], self.known_count[often]
-        self.root = np.log10(self.count + UNSEEN) - floor
-        size = len(self.words)
-        for k in (1, 2):
-            codes, times, logs = all_of(k, "codes", np.int64), all_of(k, "counts", np.int64), all_of(k, "logs", np.float64)
-            order = np.argsort(codes)
-            codes, times, logs = codes[order], times[order], logs[order]
-            rest, keep = np.zeros(size), logs > -np.inf
-            rest[all_of(k, "ranks", np.int32)] = all_of(k, "rests", np.float64)
-            if k == 1:
-                self.pairs, self.times, size = codes, times, len(codes)
-                self.rest1, self.codes1, self.logs1 = rest, codes[keep], logs[keep]
-            else:
-                self.rest2, self.codes2, self.logs2 = rest, codes[keep], logs[keep]
-        return self
-
-    @staticmethod
-    def _fit(context, times, size, shorter):
-        """log10 of the factor for unstored continuations by context (0: not retained) and of each stored one (-inf: dropped)."""
-        m = len(size)
-        rest, stored = np.zeros(m), np.full(len(context), -np.inf)
-        if not len(context):
-            return rest, stored
-        held = np.bincount(context, weights=times, minlength=m)
-        mass = np.bincount(context, weights=10.0**shorter, minlength=m)
-        entries = np.bincount(context, minlength=m)
-        own = np.log10(times / (size[context] + NOVEL))
-        left = np.log10((size - held + NOVEL) / (size + NOVEL)) - np.log10(np.maximum(1 - mass, 1e-9))
-        gain = (np.bincount(context, weights=times * (own - shorter), minlength=m) + (size - held) * left) * np.log(10)
-        good = (entries > 0) & (mass < 1 - 1e-9) & (gain >= MIN_GAIN + ENTRY_COST * entries)
-        rest[good] = left[good]
-        stored[good[context]] = own[good[context]]
-        return rest, stored
-
-    def _one(self, context, token, shorter):
-        """log10 probabilities after one word, given those of the root; ranks below 0 are infrequent."""
-        frequent = context >= 0
-        out = shorter + np.where(frequent, self.rest1[np.maximum(context, 0)], 0.0) if len(self.rest1) else shorter.copy()
-        at = find(self.codes1, np.where(frequent & (token >= 0), (context << BITS) | token, -1))
-        out[at >= 0] = self.logs1[at[at >= 0]]
-        return out
-
-    def score(self, line: Line, root: np.ndarray) -> np.ndarray:
-        """log10 probability of every token in its longest retained context."""
-        rank = find(self.words, line.hash)
-        before = np.concatenate([[-1], rank[:-1]])
-        before[1:][line.doc[1:] != line.doc[:-1]] = -1
-        before[:1] = -1
-        out = self._one(before, rank, root)
-        if self.rest2.any():
-            pair = find(self.pairs, np.where((before >= 0) & (rank >= 0), (before << BITS) | rank, -1))
-            context = np.concatenate([[-1], pair[:-1]])
-            context[1:][line.doc[1:] != line.doc[:-1]] = -1
-            known = context >= 0
-            out = out + np.where(known, self.rest2[np.maximum(context, 0)], 0.0)
-            at = find(self.codes2, np.where(known & (rank >= 0), (context << BITS) | rank, -1))
-            out[at >= 0] = self.logs2[at[at >= 0]]
-        return out
+    m = len(size)
+    if not len(context):
+        return np.zeros(m, bool), np.zeros(m)
+    held = np.bincount(context, weights=times, minlength=m)
+    mass = np.bincount(context, weights=10.0**shorter, minlength=m)
+    entries = np.bincount(context, minlength=m)
+    own = np.log10(times / (size[context] + NOVEL))
+    left = np.log10((size - held + NOVEL) / (size + NOVEL)) - np.log10(np.maximum(1 - mass, 1e-9))
+    gain = (np.bincount(context, weights=times * (own - shorter), minlength=m) + (size - held) * left) * np.log(10)
+    good = (entries > 0) & (mass < 1 - 1e-9) & (gain >= MIN_GAIN + ENTRY_COST * entries)
+    return good, np.where(good, left, 0.0)
 
 
 def lm_scores(docs: DataFrame, learn, held_out, key: str = "doc_id") -> DataFrame:
@@ -304,26 +373,26 @@ def lm_scores(docs: DataFrame, learn, held_out, key: str = "doc_id") -> DataFram
     groups = GROUPS * blocks
     dealt = docs.select(F.pmod(F.xxhash64(key, text), F.lit(blocks)).alias("block"), F.coalesce(learn, F.lit(False)).alias("learn"), text.cast("binary").alias("raw"), F.col(key).alias("id"), held_out.alias("held_out"))
     texts = dealt.select("block", "learn", "raw").groupBy("block")
-    answers = settle(texts.applyInArrow(_ask_words(groups), ASKED).groupBy("grp").applyInArrow(_count_words, ANSWERED))
+    answers = settle(texts.applyInArrow(_ask_words(groups), ASKED).groupBy("grp").applyInArrow(_count_words, ANSWERED), transient=True)
     v, n = answers.where("block is null").agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     floor = float(np.log10(n + UNSEEN * (v + 1)))
-    answers = answers.where("block is not null")
-    for level in (1, 2):
-        asked = texts.cogroup(answers.groupBy("block")).applyInArrow(_ask_level(level, groups, floor), ASKED)
-        answers = answers.unionByName(settle(asked.groupBy("grp").applyInArrow(_fit_level(level), ANSWERED)))
+    answers, depth = answers.where("block is not null"), 0
+    while depth < DEPTH:
+        asked = texts.cogroup(answers.groupBy("block")).applyInArrow(_ask_level(depth + 1, groups, floor), ASKED)
+        found = settle(asked.groupBy("grp").applyInArrow(_fit_level(depth + 1, floor), ANSWERED), transient=True)
+        answers, depth = answers.unionByName(found), depth + 1
+        if not found.agg(F.sum("n")).first()[0]:
+            break
     kind = docs.schema[key].dataType.simpleString()
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        tree = SuffixTree.of_block(answers, floor)
-        out = [np.zeros(texts.num_rows, t) for t in (np.int64, np.int64, np.float64, np.float64)]
-        for i, j, chunk in chunks(texts.column("raw"), lower=True):
-            line = Line(chunk)
-            c = tree.known_count[np.searchsorted(tree.known, line.hash)]
-            root = np.log10(c + UNSEEN) - floor
-            out[0][i:j], out[1][i:j] = chunk.n_words + 1, line.per_doc(c > 0)
-            out[2][i:j], out[3][i:j] = line.per_doc(root), line.per_doc(tree.score(line, root))
+        block = Block(texts, groups)
+        block.walk(answers, 0, floor)
+        base, known = block.per_doc(block.p), block.per_doc(block.known).astype(np.int64)
+        block.walk(answers, depth, floor)
+        tokens = np.bincount(block.doc, minlength=block.n)
         names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        return pa.table([texts.column("id"), texts.column("held_out"), out[0], out[1], pa.array(np.full(texts.num_rows, n)), out[2], out[3]], names=names)
+        return pa.table([texts.column("id"), texts.column("held_out"), tokens, known, pa.array(np.full(texts.num_rows, n)), base, block.per_doc(block.p)], names=names)
 
     left = dealt.select("block", "id", "held_out", "raw").groupBy("block")
     return left.cogroup(answers.groupBy("block")).applyInArrow(score, f"`{key}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

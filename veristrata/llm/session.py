@@ -28,15 +28,26 @@ def _hadoop_path(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def settle(df: DataFrame) -> DataFrame:
+#: Whether the shuffles of a query are deleted as soon as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settle(df: DataFrame, transient: bool = False) -> DataFrame:
     """Compute ``df`` once into a table in the shared folder and read it from there.
 
     The table has true statistics, so that later joins are planned by its real
     size, and survives lost executors; it goes when it is released or the session ends.
+    ``transient``: the shuffles that led to it are deleted once it is written.
     """
     spark = df.sparkSession
     path = new_path(spark, "settled")
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    try:
+        if transient:
+            spark.conf.set(CLEANUP, "true")
+        df.write.option("compression", "zstd" if transient else "snappy").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     place, files = _hadoop_path(spark, path)
     files.deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
