@@ -45,7 +45,7 @@ def settle(df: DataFrame, transient: bool = False) -> DataFrame:
     try:
         if transient:
             spark.conf.set(CLEANUP, "true")
-        df.write.option("compression", "zstd" if transient else "snappy").parquet(path)
+        (df.write.option("compression", "zstd") if transient else df.write).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     place, files = _hadoop_path(spark, path)
