@@ -661,6 +661,34 @@ def csv_files(spark, d):
 CSV_FILES = "SELECT 'table' AS type, 1::BIGINT AS page, n_nationkey::VARCHAR AS nation_key, n_name AS name FROM nation"
 
 
+def pdf_files(spark, d):
+    """A PDF file for each nation, its name over its suppliers' names, read from its bytes: blocks, lines, offsets, kinds, boxes."""
+    path = scratch.new_path(spark, "pdf")
+    named = table(spark, d, "supplier").join(F.broadcast(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    said = named.groupBy("n_nationkey", "n_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))), lambda x: F.concat(F.lit("("), x["s_name"], F.lit(" ) Tj T*"))), "\n").alias("lines"))
+    said.select("n_nationkey", F.concat(F.lit(PDF_HEAD), "n_name", F.lit(") Tj /F1 10 Tf 12 TL 0 -40 Td\n"), "lines", F.lit(PDF_TAIL)).alias("value")).repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    rows = files.read_pdfs(spark, path, "*.txt")
+    box = F.concat_ws(",", *[F.round(F.col("bbox")[c]).cast("long").cast("string") for c in ("x0", "y0")])
+    key = F.regexp_extract("path", "n_nationkey=(\\d+)", 1).cast("long")
+    return rows.select(key.alias("nation"), *[F.col(c).cast("long").alias(c) for c in ("page_count", "section_ord", "page", "line_start", "line_end", "char_offset")], "kind", "text", box.alias("corner"), "error_code")
+
+
+PDF_HEAD = """%PDF-1.4
+1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj
+2 0 obj << /Type /Pages /Kids [3 0 R] /Count 1 /MediaBox [0 0 500 100000] >> endobj
+3 0 obj << /Type /Page /Parent 2 0 R /Resources << /Font << /F1 4 0 R >> >> /Contents 5 0 R >> endobj
+4 0 obj << /Type /Font /Subtype /Type1 /BaseFont /Helvetica >> endobj
+5 0 obj << >> stream
+BT /F1 18 Tf 50 90000 Td ("""
+PDF_TAIL = "ET\nendstream endobj\ntrailer << /Root 1 0 R >>"
+PDF_FILES = """
+WITH b AS (SELECT n_nationkey AS nation, n_name, string_agg(s_name, ' ' ORDER BY s_suppkey) AS names FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL)
+SELECT nation, 1::BIGINT AS page_count, i::BIGINT AS section_ord, 1::BIGINT AS page, i + 1::BIGINT AS line_start, i + 1::BIGINT AS line_end, CASE i WHEN 0 THEN 0 ELSE length(n_name) END::BIGINT AS char_offset,
+  CASE i WHEN 0 THEN 'HEADING' ELSE 'BODY' END AS kind, CASE i WHEN 0 THEN n_name ELSE names END AS text, '100,100' AS corner, NULL::VARCHAR AS error_code
+FROM b, (VALUES (0::BIGINT), (1::BIGINT)) AS v(i)
+"""
+
+
 def jsonl_sections(spark, d):
     """Section records as JSON lines, some broken or no objects: sections and diagnostics counted."""
     path = scratch.new_path(spark, "jsonl")
@@ -877,6 +905,7 @@ _ALL = {
     "completion_retry": (completion_retry, COMPLETION),
     "audit_events": (audit_events, AUDIT_EVENTS),
     "csv_files": (csv_files, CSV_FILES),
+    "pdf_files": (pdf_files, PDF_FILES),
     "jsonl_sections": (jsonl_sections, JSONL_SECTIONS),
     "preflight_report": (preflight_report, REPORT),
     "first_errors": (first_errors, FIRST_ERRORS),

@@ -1,4 +1,4 @@
-"""Whole files as documents and sections: CSV, XLSX, DOCX, document trees, JSON lines.
+"""Whole files as documents and sections: CSV, XLSX, DOCX, PDF, document trees, JSON lines.
 
 Files are read by Spark (``binaryFile``), so any store it reaches will do, and
 parsed in Arrow batches by the standard library alone.  A file that can't be
@@ -19,7 +19,8 @@ from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SECTION = "path string, doc_id string, page_count int, section_ord int, type string, text string, rows array<array<string>>, page int, line_start int, line_end int, error_code string, error string"
@@ -123,18 +124,13 @@ def parse_docx(content: bytes) -> Parsed:
 
 
 PARSERS: dict[str, Callable[[bytes], Parsed]] = {"csv": parse_csv, "xlsx": parse_xlsx, "docx": parse_docx}
-#: Readers of PDF bytes by their ids; none comes with the engine.
+#: Other readers of PDF bytes by their ids, beside the engine's own, which is ``glyphs``.
 PDF_BACKENDS: dict[str, Callable[[bytes], Parsed]] = {}
+GLYPHS = "glyphs"
 
 
-def pdf_backend(name: str | None) -> Callable[[bytes], Parsed]:
+def pdf_backend(name: str) -> Callable[[bytes], Parsed]:
     """The backend of an id, whatever its case and the space around it; ValueError for an unknown one."""
-    if name is None:
-
-        def absent(content: bytes) -> Parsed:
-            raise ValueError("no PDF backend is given")
-
-        return absent
     known = PDF_BACKENDS.get(name.strip().lower())
     if known is None:
         raise ValueError(f"unknown PDF backend {name}")
@@ -161,23 +157,54 @@ def _sections(path: str, doc_id: str, content: bytes, parsers: dict[str, Callabl
         yield (path, doc_id, pages, i, variant, text, rows, page, start, end, None, None)
 
 
+def read_pdfs(spark: SparkSession, path: str | list[str], glob: str = "*.pdf", where: Column | None = None) -> DataFrame:
+    """Blocks of PDF files as sections, with ``kind, char_offset, bbox`` beside the columns of other files.
+
+    The glyphs are parsed once, into a table in the session's shared folder.
+    Blocks are found by path, so that copies of a file don't mix.  ``where`` picks files by their path.
+    """
+    from veristrata.operators import layout
+    from veristrata.sources import pdf, scratch
+
+    place = scratch.new_path(spark, "glyphs")
+    pdf.read_glyphs(spark, path, glob, where).write.parquet(place)
+    glyphs = spark.read.schema(pdf.GLYPH).parquet(place)
+    files = glyphs.groupBy("path", "doc_id").agg(F.max("page").alias("page_count"), F.max("error_code").alias("error_code"), F.max("error").alias("error"))
+    found = layout.glyph_sections(glyphs.where("page is not null").withColumn("doc_id", F.col("path"))).withColumnRenamed("doc_id", "path")
+    order = W.partitionBy("path").orderBy("page", "block_no")
+    number = F.when(F.col("block_no").isNotNull(), F.row_number().over(order) - 1).alias("section_ord")
+    kind = F.when(F.col("block_no").isNotNull(), F.lit("text")).alias("type")
+    rows = F.lit(None).cast("array<array<string>>").alias("rows")
+    lines = [F.col(c).cast("int").alias(c) for c in ("line_start", "line_end")]
+    return files.join(found, "path", "left").select("path", "doc_id", "page_count", number, kind, "text", rows, "page", *lines, "error_code", "error", "kind", "char_offset", "bbox")
+
+
 def read_documents(spark: SparkSession, path: str | list[str], glob: str = "*.{csv,xlsx,docx,pdf}", pdf: str | None = None) -> DataFrame:
-    """Sections of all files under a path, of any format. ``doc_id`` is the digest of a file's bytes and tells nothing of its path."""
-    parsers = PARSERS | {"pdf": pdf_backend(pdf)}
+    """Sections of all files under a path, of any format. ``doc_id`` is the digest of a file's bytes and tells nothing of its path.
+
+    PDF files go through the backend ``pdf``, the engine's own if none is named.
+    """
+    own = pdf is None or pdf.strip().lower() == GLYPHS
+    parsers = PARSERS if own else PARSERS | {"pdf": pdf_backend(pdf)}
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     names = [c.split()[0] for c in SECTION.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [r for p, d, c in zip(pdf["path"], pdf["doc_id"], pdf["content"], strict=True) for r in _sections(p, d, c, parsers)]
+        for batch in batches:
+            rows = [r for p, d, c in zip(batch["path"], batch["doc_id"], batch["content"], strict=True) for r in _sections(p, d, c, parsers)]
             yield pd.DataFrame(rows, columns=names, dtype=object)
 
-    keyed = files.select("path", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("doc_id"), "content")
-    return keyed.mapInPandas(run, SECTION)
+    is_pdf = F.lower("path").endswith(".pdf")
+    some = [r.path for r in files.where(is_pdf).select("path").limit(1).collect()] if own else []
+    keyed = (files.where(~is_pdf) if some else files).select("path", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("doc_id"), "content")
+    read = keyed.mapInPandas(run, SECTION)
+    if not some:
+        return read
+    return read.unionByName(read_pdfs(spark, path, glob, is_pdf).select(*names))
 
 
 def read_listed(spark: SparkSession, paths: list[str], pdf: str | None = None) -> DataFrame:
-    """Sections of the listed files; a path without a file is a row with ``<FORMAT>_FILE_NOT_FOUND``."""
+    """Sections of the listed files, whatever their names; a path without a file is a row with ``<FORMAT>_FILE_NOT_FOUND``."""
     there, lost = [], []
     for p in paths:
         place = spark._jvm.org.apache.hadoop.fs.Path(p)
