@@ -226,22 +226,31 @@ def test_network_equals_plain_loops():
             out.append([sum(state[i] * float(p["o" + d][i, k]) for i in range(h)) for k in range(2)])
         return out
 
-    for text in ("kato schung mi", "ungvermika 12 x", "w" * 100):
+    long = " ".join(["kato schung 12 mi", "x" * 130, "ungver -- 7"] * 4)
+    for text in ("kato schung mi", "12 ungvermika 12 x 3", "w" * 100, long, "é" * 90 + " 1\n2 ungé"):
+        raw, spans = text.encode(), []
+        for m in re.finditer(rb"[^\x20\x09-\x0d]+", raw):
+            if re.search(rb"[A-Za-z\x80-\xff]", m[0]):
+                spans += [(at, min(at + langid.PIECE, m.end())) for at in range(m.start(), m.end(), langid.PIECE)]
+        runs = {}
+        for start, end in spans:
+            runs.setdefault((start - spans[0][0]) // langid.SPAN, []).append((start, end))
         total, n = [0.0, 0.0], 0
-        for word in text.split():
-            if not re.search("[a-z]", word):
-                continue
-            for piece in [word[i : i + langid.PIECE].encode() for i in range(0, len(word), langid.PIECE)]:
-                ahead, behind = run("f", piece), run("b", piece[::-1])[::-1]
-                for a, b in zip(ahead, behind, strict=True):
-                    logits = [a[k] + b[k] + float(p["b"][k]) for k in range(2)]
-                    norm = math.log(sum(math.exp(x) for x in logits))
-                    total = [t + x - norm for t, x in zip(total, logits, strict=True)]
-                    n += 1
+        for read in runs.values():
+            whole = raw[read[0][0] : read[-1][1]]
+            ahead, behind = run("f", whole), run("b", whole[::-1])[::-1]
+            for at, (a, b) in enumerate(zip(ahead, behind, strict=True), read[0][0]):
+                if not any(start <= at < end for start, end in read):
+                    continue
+                logits = [a[k] + b[k] + float(p["b"][k]) for k in range(2)]
+                norm = math.log(sum(math.exp(x) for x in logits))
+                total = [t + x - norm for t, x in zip(total, logits, strict=True)]
+                n += 1
         share = [math.exp(t / n) for t in total]
-        ((_, _, chunk),) = chunks(pa.array([text.encode()], pa.binary()))
+        # Texts beside it change nothing.
+        ((_, _, chunk),) = chunks(pa.array([b"mika", raw, b"", b"12"], pa.binary()))
         best, score = model.predict(chunk)
-        assert best[0] == int(share[1] > share[0]) and abs(score[0] - max(share) / sum(share)) < 1e-4
+        assert best[1] == int(share[1] > share[0]) and abs(score[1] - max(share) / sum(share)) < 1e-4
 
 
 DATA = "/root/testdata/sf0.01"

@@ -1,12 +1,12 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of a word in both directions, labels every byte
-position with language probabilities, and a document's probabilities pool the
-log probabilities of all its positions.  The state starts afresh at each word,
-so a word's labels do not depend on its neighbours; whole texts are therefore
-scored by running the network once per distinct word of a chunk and weighting
-by occurrences, which changes nothing in the result.  Training is plain
-backpropagation through time in numpy, with Adam, on a bounded sample.
+The network reads runs of words in both directions, its state running on across
+the words and what stands between them, and labels every byte position with
+language probabilities; a document's probabilities pool the log probabilities
+of all positions in words with a letter.  A run is what starts in the same
+``SPAN`` bytes of a text, so that runs of all texts are read side by side; at the
+next run the state starts afresh.  Training is plain backpropagation through
+time in numpy, with Adam, on a bounded sample.
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
 so is every text if no labelled row exists; a language of one sample row is
@@ -30,13 +30,15 @@ from veristrata.llm.words import chunks
 
 #: Bounds of the training sample: documents a language, characters of each (a window at a hashed place).
 SAMPLE_DOCS, SAMPLE_CHARS = 96, 2000
-#: Words that are read in training, for each language.
-SAMPLE_WORDS = 15_000
+#: Runs that are read in training, for each language.
+SAMPLE_RUNS = 5000
 HIDDEN = 12
-#: A longer word is read in pieces of this many bytes, all of them.
+#: Bytes of a text in which the words of a run start, and those of the short runs that are learned from as well.
+SPAN, SHORT = 160, 24
+#: A longer word stands for several, of this many bytes each.
 PIECE = 48
-#: Words kept with their scores, and words run at once, of up to 64 languages; of more languages accordingly fewer.
-CACHE_WORDS, RUN_WORDS = 300_000, 4096
+#: Runs read at once, of up to 16 languages; of more languages accordingly fewer.
+READ_RUNS = 512
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -100,15 +102,15 @@ class BiGRU:
         logits -= np.log(np.exp(logits).sum(axis=2, keepdims=True))
         return logits, inside
 
-    def word_scores(self, codes: np.ndarray, lengths: np.ndarray, block: int = RUN_WORDS) -> np.ndarray:
-        """Sum over each word's positions of the log probabilities, (n, L)."""
+    def run_scores(self, codes: np.ndarray, lengths: np.ndarray, counted: np.ndarray, block: int = READ_RUNS) -> np.ndarray:
+        """Sum over each run's counted positions of the log probabilities, (n, L)."""
         order = np.argsort(-lengths, kind="stable")
-        block = max(1, block * 64 // max(64, self.labels))
+        block = max(1, block * 16 // max(16, self.labels))
         out = np.zeros((len(lengths), self.labels), np.float64)
         for i in range(0, len(order), block):
             rows = order[i : i + block]
             logp, inside = self.log_probs(codes[rows], lengths[rows])
-            out[rows] = (logp * inside[:, :, None]).sum(axis=1)
+            out[rows] = np.einsum("ntl,nt->nl", logp, inside & counted[rows][:, : inside.shape[1]])
         return out
 
     def gradients(self, codes: np.ndarray, lengths: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
@@ -148,7 +150,8 @@ class BiGRU:
                 dh[:m] = dn * z + pre @ p["u" + d].T
         return float(loss), g
 
-    def fit(self, codes: np.ndarray, lengths: np.ndarray, target: np.ndarray, epochs: int = 4, batch: int = 512, rate: float = 0.01, seed: int = 6) -> BiGRU:
+    def fit(self, codes: np.ndarray, lengths: np.ndarray, target: np.ndarray, epochs: int = 3, batch: int = 128, rate: float = 0.01, seed: int = 6) -> BiGRU:
+        """Batches hold runs of like lengths, in a drawn order."""
         rng = np.random.Generator(np.random.PCG64(seed))
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -156,9 +159,9 @@ class BiGRU:
         total = epochs * -(-len(target) // batch)
         for _ in range(epochs):
             drawn = rng.permutation(len(target))
-            for i in range(0, len(drawn), batch):
+            drawn = drawn[np.argsort(-lengths[drawn], kind="stable")]
+            for i in rng.permutation(np.arange(0, len(drawn), batch)).tolist():
                 rows = drawn[i : i + batch]
-                rows = rows[np.argsort(-lengths[rows], kind="stable")]
                 _, g = self.gradients(codes[rows], lengths[rows], target[rows])
                 now = rate * (1 - 0.9 * step / total)
                 step += 1
@@ -169,18 +172,29 @@ class BiGRU:
         return self
 
 
-def pieces(chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(starts, ends, doc)`` of what the network reads: words with a letter, long ones in pieces."""
+def runs(chunk, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(starts, ends, doc)`` of what the network reads, and which bytes of the chunk stand in words with a letter.
+
+    A run begins and ends with such a word, or a piece of a long one; those that start within the same
+    ``span`` bytes, counted from the text's first, make one run.
+    """
     marks = np.zeros(len(chunk.buf) + 1, dtype=np.int64)
     np.cumsum(_LETTER[chunk.buf], out=marks[1:])
     real = marks[chunk.ends] > marks[chunk.starts]
     starts, ends, doc = chunk.starts[real], chunk.ends[real], chunk.doc[real]
+    size = len(chunk.buf) + 1
+    counted = np.cumsum(np.bincount(starts, minlength=size) - np.bincount(ends, minlength=size))[:-1] > 0
     parts = np.maximum(1, -(-(ends - starts) // PIECE))
     if (parts > 1).any():
         k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         starts, ends, doc = np.repeat(starts, parts) + k * PIECE, np.repeat(ends, parts), np.repeat(doc, parts)
         ends = np.minimum(ends, starts + PIECE)
-    return starts, ends, doc
+    if not len(starts):
+        return starts, ends, doc, counted
+    first = np.concatenate([[True], doc[1:] != doc[:-1]])
+    place = (starts - starts[first][np.cumsum(first) - 1]) // span
+    at = np.flatnonzero(first | np.concatenate([[True], place[1:] != place[:-1]]))
+    return starts[at], ends[np.append(at[1:], len(ends)) - 1], doc[at], counted
 
 
 def byte_matrix(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -190,38 +204,22 @@ def byte_matrix(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.
 
 
 class Identifier:
-    """A trained network and its languages; ``score`` serves chunks with a bounded cache of words."""
+    """A trained network and its languages."""
 
     def __init__(self, languages: list[str], net: BiGRU | None):
         self.languages, self.net = languages, net
-        self._known: np.ndarray | None = None
-
-    def piece_scores(self, chunk, starts, ends) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of the distinct pieces and, per piece, which of them it is."""
-        hashes, at, which = np.unique(chunk.span_hash(starts, ends), return_index=True, return_inverse=True)
-        if self._known is None:
-            self._known, self._scores = np.zeros(0, np.uint64), np.zeros((0, len(self.languages)))
-        place = np.minimum(np.searchsorted(self._known, hashes), max(len(self._known) - 1, 0))
-        hit = self._known[place] == hashes if len(self._known) else np.zeros(len(hashes), bool)
-        out = np.empty((len(hashes), len(self.languages)))
-        out[hit] = self._scores[place[hit]]
-        new = at[~hit]
-        if len(new):
-            lengths = ends[new] - starts[new]
-            out[~hit] = self.net.word_scores(byte_matrix(chunk.buf, starts[new], lengths), lengths)
-            if len(self._known) + len(new) <= CACHE_WORDS * 64 // max(64, len(self.languages)):
-                where = np.searchsorted(self._known, hashes[~hit])
-                self._known, self._scores = np.insert(self._known, where, hashes[~hit]), np.insert(self._scores, where, out[~hit], axis=0)
-        return out, which
 
     def predict(self, chunk) -> tuple[np.ndarray, np.ndarray]:
         """Per text: the best language's index and the pooled probability of it."""
-        starts, ends, doc = pieces(chunk)
+        starts, ends, doc, counted = runs(chunk)
         if not len(starts):
             return np.zeros(chunk.n, np.int64), np.zeros(chunk.n)
-        scores, which = self.piece_scores(chunk, starts, ends)
-        positions = np.maximum(chunk.per_doc((ends - starts).astype(float), doc), 1)
-        pooled = np.stack([chunk.per_doc(scores[which, k], doc) for k in range(len(self.languages))], axis=1) / positions[:, None]
+        lengths = ends - starts
+        scores = self.net.run_scores(byte_matrix(chunk.buf, starts, lengths), lengths, byte_matrix(counted, starts, lengths))
+        sums = np.zeros(len(counted) + 1, np.int64)
+        np.cumsum(counted, out=sums[1:])
+        positions = np.maximum(chunk.per_doc((sums[ends] - sums[starts]).astype(float), doc), 1)
+        pooled = np.stack([chunk.per_doc(scores[:, k], doc) for k in range(len(self.languages))], axis=1) / positions[:, None]
         pooled = np.exp(pooled - pooled.max(axis=1, keepdims=True))
         pooled /= pooled.sum(axis=1, keepdims=True)
         return pooled.argmax(axis=1), pooled.max(axis=1)
@@ -243,26 +241,27 @@ def training_sample(docs: DataFrame, learn) -> list[tuple[str, bytes]]:
     return sorted((r.lang, r.t.encode("utf-8", "surrogatepass")) for r in rows.collect() if r.t)
 
 
-def train(sample: list[tuple[str, bytes]], most_words: int | None = None) -> Identifier:
-    """A network for every language of the sample, from ``SAMPLE_WORDS`` words a language if not told otherwise."""
+def train(sample: list[tuple[str, bytes]], most_runs: int | None = None) -> Identifier:
+    """A network for every language of the sample, from ``SAMPLE_RUNS`` runs a language if not told otherwise."""
     languages = sorted({lang for lang, _ in sample})
-    most_words = SAMPLE_WORDS * len(languages) if most_words is None else most_words
+    most_runs = SAMPLE_RUNS * len(languages) if most_runs is None else most_runs
     if not languages:
         return Identifier([], None)
     parts, targets = [], []
-    # A fifth of each window is read a second time in capitals, which are rare in the sample but not in texts.
-    capitals = [(lang, text[: len(text) // 5].decode("utf-8", "ignore").upper().encode()) for lang, text in sample]
-    for lang, text in sample + capitals:
+    # Of each window a quarter is read again in short runs, like short texts, and a fifth in capitals, which are rare in the sample but not in texts.
+    quarters = [(lang, text[: len(text) // 4], SHORT) for lang, text in sample]
+    capitals = [(lang, text[: len(text) // 5].decode("utf-8", "ignore").upper().encode(), SHORT) for lang, text in sample]
+    for lang, text, span in [(*s, SPAN) for s in sample] + quarters + capitals:
         for _, _, chunk in chunks(pa.array([text], pa.binary())):
-            starts, ends, _ = pieces(chunk)
+            starts, ends, _, _ = runs(chunk, span)
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 parts.append(chunk.buf[s:e])
                 targets.append(languages.index(lang))
     if not parts:
         return Identifier([], None)
-    drawn = np.random.Generator(np.random.PCG64(4)).permutation(len(parts))[:most_words]
+    drawn = np.random.Generator(np.random.PCG64(4)).permutation(len(parts))[:most_runs]
     lengths = np.array([len(parts[i]) for i in drawn])
-    codes = np.zeros((len(drawn), PIECE), np.uint8)
+    codes = np.zeros((len(drawn), lengths.max()), np.uint8)
     for row, i in enumerate(drawn):
         codes[row, : len(parts[i])] = parts[i]
     target = np.array(targets)[drawn]
