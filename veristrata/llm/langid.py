@@ -92,15 +92,50 @@ class BiGRU:
         inside = at < lengths[:, None]
         return codes, np.take_along_axis(codes, back, 1), back, inside, inside.sum(axis=0)
 
-    def log_probs(self, codes: np.ndarray, lengths: np.ndarray):
-        """Per position log probabilities (n, T, L) and which positions exist; rows longest first."""
-        ahead, behind, back, inside, active = self._layout(codes, lengths)
-        f = self._run("f", ahead, active).transpose(1, 0, 2)
-        b = self._run("b", behind, active).transpose(1, 0, 2)
-        logits = f + np.take_along_axis(b, back[:, :, None], 1) + self.p["b"]
-        logits -= logits.max(axis=2, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=2, keepdims=True))
-        return logits, inside
+    def _states(self, d: str, at: np.ndarray, active: np.ndarray) -> np.ndarray:
+        """One direction's states at each position, (T, n, H), from codes (T, n), longest column first; zero where a row has ended.
+
+        The gates are those of ``_run``; that a sigmoid is half of a tanh and a half is put into the weights.
+        """
+        H, half = self.h, np.float32(0.5)
+        parts = [slice(k * H, (k + 1) * H) for k in range(3)]
+        x = [np.ascontiguousarray(self.p["x" + d][:, s]) * w for s, w in zip(parts, (half, half, np.float32(1)), strict=True)]
+        u = [np.ascontiguousarray(self.p["u" + d][:, s]) * half for s in parts]
+        bias = self.p["c" + d] * half
+        out = np.zeros((*at.shape, H), np.float32)
+        before = np.zeros(out.shape[1:], np.float32)
+        for t in range(len(at)) if d == "f" else range(len(at) - 1, -1, -1):
+            m = active[t]
+            read, was, new = at[t, :m], before[:m], out[t, :m]
+            keep, reset, inner = x[0][read], x[1][read], was @ u[2]
+            keep += was @ u[0]
+            reset += was @ u[1]
+            np.tanh(keep, out=keep)
+            np.tanh(reset, out=reset)
+            inner += bias
+            reset += 1
+            inner *= reset
+            inner += x[2][read]
+            np.tanh(inner, out=inner)
+            keep += 1
+            keep *= half
+            np.subtract(was, inner, out=new)
+            new *= keep
+            new += inner
+            before = out[t]
+        return out
+
+    def log_probs(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per position log probabilities (L, T, n) and which positions exist (T, n); rows longest first."""
+        T = int(lengths[0])
+        inside = np.arange(T)[:, None] < lengths
+        at, active = codes[:, :T].T.astype(np.intp), inside.sum(axis=1)
+        logits = self.p["b"][:, None].repeat(at.size, axis=1)
+        for d in "fb":
+            logits += self.p["o" + d].T @ self._states(d, at, active).reshape(-1, self.h).T
+        logits -= logits.max(axis=0)
+        logits -= np.log(np.exp(logits).sum(axis=0))
+        return logits.reshape(-1, *inside.shape), inside
 
     def run_scores(self, codes: np.ndarray, lengths: np.ndarray, counted: np.ndarray, block: int = READ_RUNS) -> np.ndarray:
         """Sum over each run's counted positions of the log probabilities, (n, L)."""
@@ -110,7 +145,8 @@ class BiGRU:
         for i in range(0, len(order), block):
             rows = order[i : i + block]
             logp, inside = self.log_probs(codes[rows], lengths[rows])
-            out[rows] = np.einsum("ntl,nt->nl", logp, inside & counted[rows][:, : inside.shape[1]])
+            logp *= inside & counted[rows, : len(inside)].T
+            out[rows] = logp.sum(axis=1).T
         return out
 
     def gradients(self, codes: np.ndarray, lengths: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
