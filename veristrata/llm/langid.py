@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
-from veristrata.llm.session import bounded_batches, col, crc_mod, free_names, table
+from veristrata.llm.session import bounded_batches, col, crc_mod, free_names, give_back, table
 from veristrata.llm.words import chunks
 
 #: Bounds of the training sample: documents a language, characters of each (a window at a hashed place).
@@ -137,15 +137,16 @@ class BiGRU:
         logits -= np.log(np.exp(logits).sum(axis=0))
         return logits.reshape(-1, *inside.shape), inside
 
-    def run_scores(self, codes: np.ndarray, lengths: np.ndarray, counted: np.ndarray, block: int = READ_RUNS) -> np.ndarray:
-        """Sum over each run's counted positions of the log probabilities, (n, L)."""
-        order = np.argsort(-lengths, kind="stable")
+    def run_scores(self, buf: np.ndarray, counted: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = READ_RUNS) -> np.ndarray:
+        """Sum over each run's counted positions of the log probabilities, (n, L); only a block's runs are laid out at once."""
+        order = np.argsort(starts - ends, kind="stable")
         block = max(1, block * 16 // max(16, self.labels))
-        out = np.zeros((len(lengths), self.labels), np.float64)
+        out = np.zeros((len(starts), self.labels), np.float64)
         for i in range(0, len(order), block):
             rows = order[i : i + block]
-            logp, inside = self.log_probs(codes[rows], lengths[rows])
-            logp *= inside & counted[rows, : len(inside)].T
+            lengths = ends[rows] - starts[rows]
+            logp, inside = self.log_probs(byte_matrix(buf, starts[rows], lengths), lengths)
+            logp *= inside & byte_matrix(counted, starts[rows], lengths).T
             out[rows] = logp.sum(axis=1).T
         return out
 
@@ -214,12 +215,14 @@ def runs(chunk, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     A run begins and ends with such a word, or a piece of a long one; those that start within the same
     ``span`` bytes, counted from the text's first, make one run.
     """
-    marks = np.zeros(len(chunk.buf) + 1, dtype=np.int64)
+    marks = np.zeros(len(chunk.buf) + 1, dtype=np.int32)
     np.cumsum(_LETTER[chunk.buf], out=marks[1:])
     real = marks[chunk.ends] > marks[chunk.starts]
     starts, ends, doc = chunk.starts[real], chunk.ends[real], chunk.doc[real]
-    size = len(chunk.buf) + 1
-    counted = np.cumsum(np.bincount(starts, minlength=size) - np.bincount(ends, minlength=size))[:-1] > 0
+    edges = np.zeros(len(chunk.buf) + 1, np.int8)
+    edges[starts] += 1
+    edges[ends] -= 1
+    counted = np.cumsum(edges[:-1], dtype=np.int8) > 0
     parts = np.maximum(1, -(-(ends - starts) // PIECE))
     if (parts > 1).any():
         k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -250,9 +253,8 @@ class Identifier:
         starts, ends, doc, counted = runs(chunk)
         if not len(starts):
             return np.zeros(chunk.n, np.int64), np.zeros(chunk.n)
-        lengths = ends - starts
-        scores = self.net.run_scores(byte_matrix(chunk.buf, starts, lengths), lengths, byte_matrix(counted, starts, lengths))
-        sums = np.zeros(len(counted) + 1, np.int64)
+        scores = self.net.run_scores(chunk.buf, counted, starts, ends)
+        sums = np.zeros(len(counted) + 1, np.int32)
         np.cumsum(counted, out=sums[1:])
         positions = np.maximum(chunk.per_doc((sums[ends] - sums[starts]).astype(float), doc), 1)
         pooled = np.stack([chunk.per_doc(scores[:, k], doc) for k in range(len(self.languages))], axis=1) / positions[:, None]
@@ -321,6 +323,7 @@ def identify(docs: DataFrame, model: Identifier, *keep: str, names: tuple[str, s
                     best[i:j], score[i:j] = model.predict(chunk)
             best[~has], score[~has] = len(labels) - 1, 0.0
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(labels[best], pa.string()), pa.array(score)], names=schema.names)
+        give_back()
 
     # A text that is kept anyway is read where it stands, not sent twice.
     at = keep.index("text") if "text" in keep else len(keep)
