@@ -551,9 +551,11 @@ DOC_STATS = "SELECT source, count(*) AS sections, count(*) FILTER (NOT contains(
 
 def block_classify(spark, d):
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "t"))
-    said = F.when(F.col("line_no") % 9 == 0, F.concat(F.lit("- "), F.col("t"))).when(F.col("line_no") % 9 == 1, F.concat(F.lit(" 12) "), F.col("t"))).when(F.col("line_no") % 9 == 2, F.upper("t")).otherwise(F.col("t"))
+    said = F.when(F.col("line_no") % 9 == 0, F.concat(F.lit("- "), F.col("t"))).when(F.col("line_no") % 9 == 1, F.concat(F.lit(" 12) "), F.col("t"))).when(F.col("line_no") % 9 == 2, T.upper_by_letter(F.col("t"))).otherwise(F.col("t"))
     height = F.when(F.col("line_no") % 9 == 3, 12.0).otherwise(10.0)
-    return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), layout.classified(said, height, F.lit(10.0)).alias("kind"))
+    # A column of its own, computed once a line.
+    lines = lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), said.alias("said"), height.alias("height"))
+    return lines.select("doc_id", "line_no", layout.classified(F.col("said"), F.col("height"), F.lit(10.0), T.upper_by_letter).alias("kind"))
 
 
 BLOCK_CLASSIFY = r"""
