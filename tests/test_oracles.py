@@ -40,7 +40,7 @@ def test_matches_oracle(spark, con, name):
     assert rows_of(found.columns, [tuple(r) for r in found.collect()]) == rows_of(wanted.columns, wanted.fetchall())
 
 
-@pytest.mark.parametrize("name", ["block_classify"])
+@pytest.mark.parametrize("name", ["block_classify", "page_kinds"])
 def test_kinds_of_lines_with_letters_of_several_capitals(spark, tmp_path, name):
     """A line of 60 letters with ß, and each letter whose case the engines tell differently, on all nine kinds of lines."""
     odd = [chr(i) for i in range(1, 0x11000) if not 0xD800 <= i < 0xE000 and (len(chr(i).upper()) > 1 or chr(i).upper() != chr(i) or i in (0x19B, 0x264, 0x1C8A, 0xA7CD, 0xA7DB) or i in range(0x10D50, 0x10D90))]
