@@ -1,6 +1,7 @@
 import io
 import json
 import random
+import re
 import zipfile
 from datetime import UTC, datetime
 
@@ -233,6 +234,36 @@ def test_files(spark, tmp_path):
     assert [(r.line_no, r.error_code) for r in files.read_json_lines(spark, str(tmp_path / "l.jsonl")).orderBy("line_no").collect()] == [(0, None), (2, "E_JSONL_PARSE_FAILED"), (3, "E_JSONL_PARSE_FAILED")]
 
 
+def test_json_lines_are_numbered_across_splits(spark, tmp_path, monkeypatch):
+    """Files in many splits, with blank, broken and other lines, ends of both kinds, a byte order mark, none at the end."""
+    monkeypatch.setattr(feed, "BLOCK_LINES", 7)
+    one = lambda i: ("" if i % 5 == 0 else "{" if i % 7 == 0 else "[1]" if i % 11 == 0 else json.dumps({"a": i, "b": "é\u2028\rx" * (i % 4)}, ensure_ascii=False).replace("\\r", "\\t")) + " " * (i % 3)
+    texts = {"a": "".join(one(i) + ("\r\n" if i % 2 else "\n") for i in range(400)), "b": "\ufeff" + "\n".join(map(one, range(1, 90))), "c": "\n\n", "d": "\ufeff{}\n1\n", "e": "{}\n"}
+    (tmp_path / "l").mkdir()
+    for name, text in texts.items():
+        (tmp_path / "l" / f"{name}.jsonl").write_bytes(text.encode())
+    wanted = {(name, i, line) for name, text in texts.items() for i, line in enumerate(re.split("\r?\n", text)) if line.strip(" ")}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        # No task reads a whole file of several splits.
+        assert spark.read.text(str(tmp_path / "l"), lineSep="\n").rdd.getNumPartitions() > 8
+        lines = files.read_json_lines(spark, str(tmp_path / "l"))
+        assert "wholetext" not in lines._jdf.queryExecution().toString().lower()
+        rows = lines.collect()
+        sections, found = feed.sections_of(lines.select("path", "line_no", "json"))
+        bad = {(r.code, r.idx) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {(r.path.rsplit("/", 1)[1][0], r.line_no, r.json) for r in rows} == wanted and len(rows) == len(wanted)
+    codes, is_object = {}, lambda t: t.startswith("{") and len(t.strip()) > 1
+    for name in texts:
+        parsed = [t for n, _, t in sorted(w for w in wanted if w[0] == name) if t.strip() != "{" and not t.startswith("\ufeff")]
+        codes |= {("E_REQUIRED_FIELD_EMPTY" if is_object(t) else "E_SECTION_PARSE_FAILED", i): 1 for i, t in enumerate(parsed)}
+        codes |= {("E_JSONL_PARSE_FAILED", i): 1 for n, i, t in wanted if n == name and (t.strip() == "{" or t.startswith("\ufeff"))}
+    assert bad == set(codes) and sections.count() == 0
+
+
 def test_search_schema_file():
     s = files.parse_search_schema("schema legal {\n document legal {\n  field title type string { indexing: index | summary\n index: enable-bm25 }\n  field day type int { indexing: attribute\n attribute: fast-search }\n }\n fieldset default { fields: title }\n rank-profile base { first-phase { expression: bm25(title) } global-phase { rerank-count: 200 } }\n}")
     assert s.name == "legal" and s.fields[0] == feed.FieldSpec("title", "string", index=True, bm25=True, summary=True) and s.fields[1].fast_search and s.fieldset == ("title",)

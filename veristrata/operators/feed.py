@@ -19,6 +19,8 @@ from veristrata.operators import contracts
 REQUIRED_TEXT = contracts.SECTION_TEXT
 #: Fixed value: the document id prefix of the feed.
 PUT_PREFIX = "id:legal:legal_doc::"
+#: Lines of a file that are counted together.
+BLOCK_LINES = 8192
 #: The lanes that queries may use, and the codes ``E_...`` and ``W_...`` of all diagnostics below.
 LANES = ("bm25", "fuzzy", "prefix", "dense")
 DIAGNOSTIC = "stage string, idx long, code string, severity string, path string, message string, source_id string"
@@ -375,7 +377,12 @@ def sections_of(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     shape = F.schema_of_variant(F.try_parse_json("json"))
     seen = lines.withColumn("_shape", shape)
     broken = seen.where("_shape is null").select(F.lit("sections").alias("stage"), F.col("line_no").alias("idx"), F.explode(F.array(diagnostic("E_JSONL_PARSE_FAILED", F.format_string("sections:%d", F.col("line_no") + 1), "not JSON"))).alias("d"))
-    values = seen.where("_shape is not null").withColumn("idx", (F.row_number().over(W.partitionBy("path").orderBy("line_no")) - 1).cast("long"))
+    # Counted in blocks of lines, after those of the blocks before, so that no task holds a whole file.
+    values = seen.where("_shape is not null").withColumn("_block", F.floor(F.col("line_no") / BLOCK_LINES))
+    earlier = W.partitionBy("path").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = values.groupBy("path", "_block").agg(F.count("*").alias("_n")).select("path", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    here = F.row_number().over(W.partitionBy("path", "_block").orderBy("line_no")) - 1
+    values = values.withColumn("_here", here).join(blocks, ["path", "_block"]).withColumn("idx", (F.col("_before") + F.col("_here")).cast("long"))
     read = normalise(values.select("path", "line_no", "idx", "json", F.col("_shape").startswith("OBJECT").alias("_object")))
     at = F.format_string("sections[%d]", F.col("idx"))
     lost = F.when(~F.col("_object"), diagnostic("E_SECTION_PARSE_FAILED", at, "not an object")).when(F.col("error").isNotNull(), diagnostic("E_REQUIRED_FIELD_EMPTY", F.concat(at, F.lit("."), "error"), F.concat("error", F.lit(" is missing or empty"))))
