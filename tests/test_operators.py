@@ -270,6 +270,31 @@ def test_search_schema_file():
     assert s.rank_profiles == (feed.RankProfile("base", ("title",), 200),)
 
 
+def test_feed_diagnostics_take_no_join_and_reports_one_pass(spark):
+    """Problems of odd feed rows, found without a shuffle; counts by stage and the outcome read each row once."""
+    schema = feed.SchemaSpec("s", (feed.FieldSpec("a", "string", required=True), feed.FieldSpec("k.$['x", "array<int>"), feed.FieldSpec("t", "tensor<float>(x[2])")))
+    rows = ["{", "[]", '{"fields":null}', '{"fields":{}}', '{"fields":{"a":null,"":1}}', """{"fields":{"a":"x","k.$['x":[1,null],"t":[1,2.5]}}""", '{"fields":{"a":"x","t":[1]}}']
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        seen.add(1)
+        return text
+
+    lines = spark.createDataFrame(list(enumerate(rows)), "idx long, json string").withColumn("json", told.asNondeterministic()("json"))
+    found = feed.feed_diagnostics(lines, spark, schema, size=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    none = [("E_FEED_FIELDS_NOT_OBJECT", f"feed[{i}].fields") for i in range(3)]
+    assert sorted((r.code, r.path) for r in found.collect()) == sorted(
+        [*none, ("E_REQUIRED_FIELD_EMPTY", "feed[3].fields.a"), ("E_FEED_TYPE_MISMATCH", "feed[4].fields.a"), ("W_UNKNOWN_FEED_FIELD", "feed[4].fields."), ("E_FEED_TYPE_MISMATCH", "feed[5].fields.k.$['x"), ("E_FEED_TYPE_MISMATCH", "feed[6].fields.t")]
+    )
+    before = seen.value
+    (counts,) = feed.stage_counts(feed.united(found)).collect()
+    assert tuple(counts) == (3, "feed", 7, 1, True, 1) and seen.value - before == len(rows)
+    assert feed.stage_counts(feed.united(found.where("severity = 'warning'"))).first().exit_code == 0
+
+
 def test_retry_and_headers():
     now = datetime(2024, 1, 1, tzinfo=UTC)
     assert completion.retry_after("5", now) == 5 and completion.retry_after("-1", now) is None and completion.retry_after("Mon, 01 Jan 2024 00:00:30 GMT", now) == 30 and completion.retry_after("Mon, 01 Jan 2018 00:00:30 GMT", now) is None

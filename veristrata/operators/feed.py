@@ -31,7 +31,10 @@ DIAGNOSTIC = "stage string, idx long, code string, severity string, path string,
 
 def text_value(value: Column) -> Column:
     """A non-blank string trimmed, or a number's or boolean's own text; arrays and objects count as absent."""
-    plain = T.trimmed(value)
+    return _plain_text(T.trimmed(value))
+
+
+def _plain_text(plain: Column) -> Column:
     nested = (plain.startswith("[") | plain.startswith("{")) & F.try_parse_json(plain).isNotNull()
     return F.when((plain == "") | nested, None).otherwise(plain)
 
@@ -83,7 +86,7 @@ def normalise(records: DataFrame, json: str = "json") -> DataFrame:
     # One parse into a record of texts: strings as they are, other values by their JSON text.
     schema = ", ".join(f"{n} string" for n in (*TEXT_FIELDS, *ARRAY_FIELDS))
     parsed = bound(records, "_m", F.col(json), lambda j: F.from_json(j, schema))
-    read = bound(parsed, "_v", F.array(*[F.col("_m")[n] for n in TEXT_FIELDS]), lambda texts: F.transform(texts, text_value))
+    read = bound(parsed, "_v", F.array(*[F.col("_m")[n] for n in TEXT_FIELDS]), lambda texts: F.transform(F.transform(texts, T.trimmed), _plain_text))
     inputs = F.struct(F.col("_v").alias("v"), *[F.col("_m")[n].alias(n) for n in ARRAY_FIELDS])
     made = bound(read, "_n", inputs, _section)
     kept = [c for c in records.columns if c not in made.schema["_n"].dataType.names]
@@ -335,36 +338,39 @@ def query_diagnostics(queries: DataFrame, spark: SparkSession, schema: SchemaSpe
 
 
 def feed_diagnostics(feed: DataFrame, spark: SparkSession, schema: SchemaSpec, json: str = "json", index: str = "idx", size: int = 256) -> DataFrame:
-    """Problems of feed operations ``{put, fields}``: fields absent, of another type, or unknown (a warning)."""
-    v = F.try_parse_json(json)
-    ops = feed.select(F.col(index).cast("long").alias("idx"), v.alias("v"), F.expr(f"try_variant_get(try_parse_json({json}), '$.fields', 'variant')").alias("fields"))
-    shape = F.coalesce(F.schema_of_variant("fields"), F.lit("none"))
+    """Problems of feed operations ``{put, fields}``: fields absent, of another type, or unknown (a warning).
+
+    A row's fields are a map, and all its problems are found in it at once: rows are neither joined nor shuffled.
+    """
+    ops = feed.select(F.col(index).cast("long").alias("idx"), F.expr(f"try_variant_get(try_parse_json({json}), '$.fields', 'map<string,variant>')").alias("fields"))
     at = F.format_string("feed[%d].fields", F.col("idx"))
-    bad = _rows(ops.where(~shape.startswith("OBJECT")), "feed", "idx", [diagnostic("E_FEED_FIELDS_NOT_OBJECT", at, "fields must be an object")])
-    good = ops.where(shape.startswith("OBJECT"))
-    keys = good.lateralJoin(spark.tvf.variant_explode(F.col("fields").outer())).select("idx", F.col("key").alias("name"), F.col("value").alias("val"))
-    specs = F.broadcast(_spec_frame(spark, schema).select("name", "type", "required"))
-    typed = keys.join(specs, "name", "left").withColumn("t", F.schema_of_variant("val"))
-    t, kind_ = F.col("t"), F.col("type")
-    items = F.expr("try_variant_get(val, '$', 'array<variant>')")
-    every = lambda test: F.coalesce(F.forall(items, test), F.lit(False))
+    kinds = F.create_map(*[F.lit(x) for f in schema.fields for x in (f.name, f.type)]) if schema.fields else F.lit(None).cast("map<string,string>")
     number = lambda x: F.schema_of_variant(x).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-    is_array = t.startswith("ARRAY")
-    valid = (
-        F.when(kind_ == "string", t == "STRING")
-        .when(kind_ == "int", t == "BIGINT")
-        .when(kind_ == "bool", t == "BOOLEAN")
-        .when(kind_ == "array<string>", is_array & every(lambda x: F.schema_of_variant(x) == "STRING"))
-        .when(kind_ == "array<int>", is_array & every(lambda x: F.schema_of_variant(x) == "BIGINT"))
-        .when(kind_.startswith("tensor"), is_array & (F.size(items) == size) & every(number))
-        .otherwise(True)
-    )
-    path = F.format_string("feed[%d].fields.%s", F.col("idx"), F.col("name"))
-    seen = _rows(typed, "feed", "idx", [F.when(kind_.isNull(), diagnostic("W_UNKNOWN_FEED_FIELD", path, "not in the schema", "warning")), F.when(kind_.isNotNull() & ~valid, diagnostic("E_FEED_TYPE_MISMATCH", path, "type differs"))])
+
+    def problem(x: Column) -> Column:
+        t, kind, val = x["t"], x["kind"], x["val"]
+        items = F.call_function("try_variant_get", val, F.lit("$"), F.lit("array<variant>"))
+        every = lambda test: F.coalesce(F.forall(items, test), F.lit(False))
+        is_array = t.startswith("ARRAY")
+        valid = (
+            F.when(kind == "string", t == "STRING")
+            .when(kind == "int", t == "BIGINT")
+            .when(kind == "bool", t == "BOOLEAN")
+            .when(kind == "array<string>", is_array & every(lambda i: F.schema_of_variant(i) == "STRING"))
+            .when(kind == "array<int>", is_array & every(lambda i: F.schema_of_variant(i) == "BIGINT"))
+            .when(kind.startswith("tensor"), is_array & (F.size(items) == size) & every(number))
+            .otherwise(True)
+        )
+        path = F.format_string("feed[%d].fields.%s", F.col("idx"), x["name"])
+        unknown = diagnostic("W_UNKNOWN_FEED_FIELD", path, "not in the schema", "warning")
+        return F.when(kind.isNull(), unknown).when(~valid, diagnostic("E_FEED_TYPE_MISMATCH", path, "type differs"))
+
+    entry = lambda e: F.struct(e["key"].alias("name"), e["value"].alias("val"), F.schema_of_variant(e["value"]).alias("t"), kinds[e["key"]].alias("kind"))
+    seen = F.transform(F.transform(F.map_entries("fields"), entry), problem)
     names = F.array(*[F.lit(f.name) for f in schema.fields if f.required]).cast("array<string>")
-    absent = good.select("idx", F.explode(names).alias("name")).join(keys.select("idx", "name"), ["idx", "name"], "left_anti")
-    lost = _rows(absent, "feed", "idx", [diagnostic("E_REQUIRED_FIELD_EMPTY", path, "field is absent")])
-    return bad.unionByName(seen).unionByName(lost)
+    lost = F.transform(F.filter(names, lambda n: ~F.map_contains_key("fields", n)), lambda n: diagnostic("E_REQUIRED_FIELD_EMPTY", F.format_string("feed[%d].fields.%s", F.col("idx"), n), "field is absent"))
+    found = F.when(F.col("fields").isNull(), F.array(diagnostic("E_FEED_FIELDS_NOT_OBJECT", at, "fields must be an object"))).otherwise(F.filter(F.concat(seen, lost), lambda d: d.isNotNull()))
+    return ops.select(F.lit("feed").alias("stage"), "idx", F.explode(found).alias("d")).select("stage", "idx", "d.*")
 
 
 def sections_of(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -402,12 +408,23 @@ def united(*found: DataFrame) -> DataFrame:
     return out.withColumn("stage_no", F.array_position(F.array(*[F.lit(s) for s in STAGES]), F.col("stage")))
 
 
+def _outcome(errors: Column) -> list[Column]:
+    return [(errors > 0).alias("has_errors"), F.when(errors > 0, 1).otherwise(0).alias("exit_code")]
+
+
+def stage_counts(diagnostics: DataFrame) -> DataFrame:
+    """``stage_no, stage, errors, warnings, has_errors, exit_code`` of united diagnostics: counts by stage, the outcome of all; they are gone through once."""
+    counts = diagnostics.groupBy("stage_no", "stage").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    # A row for each stage at most.
+    return counts.select("*", *_outcome(F.sum("errors").over(W.partitionBy())))
+
+
 def report(diagnostics: DataFrame, schema: str, feed_preview_count: int = 0) -> DataFrame:
     """The report's head as one row: ``report`` (JSON), ``has_errors``, ``exit_code``."""
     errors = F.count_if(F.col("severity") == "error")
     d = diagnostics.agg(errors.alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
     head = F.struct(F.lit(schema).alias("schema"), (F.col("errors") > 0).alias("has_errors"), "errors", "warnings", F.lit(feed_preview_count).alias("feed_preview_count"))
-    return d.select(F.to_json(head).alias("report"), (F.col("errors") > 0).alias("has_errors"), F.when(F.col("errors") > 0, 1).otherwise(0).alias("exit_code"))
+    return d.select(F.to_json(head).alias("report"), *_outcome(F.col("errors")))
 
 
 def write_report(diagnostics: DataFrame, folder: str, schema: str, feed_preview_count: int = 0) -> int:

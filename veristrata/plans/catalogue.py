@@ -354,7 +354,7 @@ def _feed_found(spark, d) -> DataFrame:
     k = F.col("o_orderkey")
     doc = F.concat(F.lit('{"doc_id":"o'), k.cast("string"), F.lit('"'), F.when(k % 7 != 0, ',"title":"t"').otherwise(""), F.lit(',"rank":'), F.when(k % 5 == 0, '"high"').when(k % 5 == 1, "1.5").otherwise("3"))
     doc = F.concat(doc, F.lit(',"tokens":'), F.when(k % 3 == 0, '["a",1]').otherwise('["a"]'), F.lit(',"pages":'), F.when(k % 4 == 0, "[1,2.5]").otherwise("[1,2]"), F.when(k % 6 == 0, ',"extra":null').otherwise(""), F.lit(',"current":true}'))
-    rows = table(spark, d, "orders").select(k.alias("idx"), F.concat(F.lit('{"put":"p","fields":'), F.when(k % 19 == 0, "[1]").otherwise(doc), F.lit("}")).alias("json"))
+    rows = dealt(table(spark, d, "orders").select("o_orderkey")).select(k.alias("idx"), F.concat(F.lit('{"put":"p","fields":'), F.when(k % 19 == 0, "[1]").otherwise(doc), F.lit("}")).alias("json"))
     return feed.feed_diagnostics(rows, spark, FEED_SCHEMA)
 
 
@@ -390,7 +390,7 @@ SELECT * FROM (VALUES ('E_BM25_FIELD_NOT_INDEXED', 'schema.fields.title'), ('E_F
 
 
 def _query_found(spark, d) -> DataFrame:
-    c = table(spark, d, "customer")
+    c = dealt(table(spark, d, "customer").select("c_custkey"))
     k = F.col("c_custkey")
     filters = F.array(F.struct(F.when(k % 3 == 0, "doc_id").when(k % 3 == 1, "title").otherwise("nothing").alias("field"), F.when(k % 2 == 0, "equals").otherwise("prefix").alias("operator")))
     lanes = F.array(F.lit("bm25"), F.when(k % 5 == 0, "sparse").otherwise("dense"))
@@ -710,10 +710,8 @@ SELECT code, field, count(*) AS n FROM c GROUP BY ALL
 def preflight_report(spark, d):
     """Diagnostics of all four stages as one report: counts by stage and the outcome."""
     rows = [feed.compare_schemas(spark, FEED_SCHEMA, _other_schema()), feed.section_diagnostics(feed.normalise(_records(spark, d)).withColumn("idx", F.col("o_orderkey")), size=16), _feed_found(spark, d), _query_found(spark, d)]
-    whole = feed.united(*rows)
-    counts = whole.groupBy("stage_no", "stage").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
-    head = feed.report(whole, FEED_SCHEMA.name).select("has_errors", F.col("exit_code").cast("long").alias("exit_code"))
-    return counts.crossJoin(F.broadcast(head)).select(F.col("stage_no").cast("long").alias("stage_no"), "stage", "errors", "warnings", "has_errors", "exit_code")
+    counts = feed.stage_counts(feed.united(*rows))
+    return counts.select(F.col("stage_no").cast("long").alias("stage_no"), "stage", "errors", "warnings", "has_errors", F.col("exit_code").cast("long").alias("exit_code"))
 
 
 def first_errors(spark, d):
